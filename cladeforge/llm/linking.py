@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from cladeforge.llm.common import materialise
 
+#: Buckets that hold no more pairs than so many times their rows are compared at once, without stars.
+DIRECT = 4
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) edges -> (id, label): the smallest id reachable. Alternates large-star and small-star steps
@@ -49,7 +51,8 @@ def link(members: DataFrame, sketch: list[str], possible: Callable[[str, str], s
 
     ``possible(l, r)`` is an SQL condition on two rows' sketch columns that no true pair fails; ``verify`` takes
     distinct (a, b) pairs and returns those that are linked. Hubs are the members that share most buckets with
-    most others, then (while stars still find links) members in a keyed order; hubs never decide who is left out.
+    most others, then (while stars still find links and buckets are large) members in a keyed order; hubs never decide who
+    is left out.
     """
     rows = members.select(F.explode("keys").alias("key"), "id").distinct()
     full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -84,6 +87,9 @@ def link(members: DataFrame, sketch: list[str], possible: Callable[[str, str], s
     turn, going = 0, True
     while going:
         rows = now_apart()
+        size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.sum(F.expr("n * (n - 1) / 2"))).first()
+        if (size[1] or 0) <= DIRECT * (size[0] or 0):
+            break
         rank = F.col("degree") if turn == 0 else F.xxhash64(F.lit(turn), "id")
         hubs = rows.groupBy("key").agg(F.max_by(F.struct("id", "label", *sketch), F.struct(rank, "id")).alias("h")).select("key", "h.*")
         star = rows.join(hubs.select("key", *(F.col(c).alias(f"h_{c}") for c in hubs.columns if c != "key")), "key").where("label <> h_label").where(possible("", "h_"))
