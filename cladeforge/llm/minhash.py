@@ -104,8 +104,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
             for ta, tb in zip(batch["text_a"], batch["text_b"], strict=True):
                 x, y = (kept[t] if t in kept else kept.setdefault(t, sk.shingles(t)) for t in (ta, tb))
                 at = np.searchsorted(y, x)
-                same = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                good.append(100 * same >= percent * (len(x) + len(y) - same))
+                same = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
+                good.append(same > 0 and 100 * same >= percent * (len(x) + len(y) - same))
                 held += len(x) + len(y)
                 if held > 2_000_000:
                     kept, held = {}, 0

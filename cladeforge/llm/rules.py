@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from operator import ne
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,9 @@ SYMBOLS = re.compile(r"[#*$%&|<>]")
 #: Phrases of lines that are boilerplate.
 BOILERPLATE = re.compile(r"all rights reserved|terms of (?:use|service)|privacy policy|cookie|javascript|lorem ipsum|licensed under|click here|sign up|log in|copyright", re.I)
 SEPARATOR = re.compile(r"[|»›•·]| > | / ")
+PERIODS = re.compile(r"[.!?。]")
 ENDS = re.compile(r"[.!?…:;,\"'”’)\]]\s*$")
-WORDLIKE = re.compile(r"[^\W\d_]")
+CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]{3}")
 
 
 def repeated_words(tokens: list[bytes], hashes: WordHashes, width: int = 5) -> int:
@@ -39,22 +41,21 @@ def repeated_words(tokens: list[bytes], hashes: WordHashes, width: int = 5) -> i
     return int((np.cumsum(edges[:-1]) > 0).sum())
 
 
-def line_fails(line: str, max_symbols: float = 0.1, max_separators: float = 0.2, long_words: int = 30) -> str:
-    """The rule that the line fails, or ''. Lines without words pass."""
-    n = len(line.split())
-    if not n:
-        return ""
-    if len(SEPARATOR.findall(line)) > max_separators * n and n >= 4:
+def line_fails(line: str, n: int, max_symbols: float = 0.1, max_separators: float = 0.2, long_words: int = 30) -> str:
+    """The rule that a line of ``n`` words fails, or ''."""
+    if n >= 4 and len(SEPARATOR.findall(line)) > max_separators * n:
         return "navigation"
     if n <= 20 and BOILERPLATE.search(line):
         return "boilerplate"
     if len(SYMBOLS.findall(line)) > max_symbols * len(line):
         return "symbols"
-    if n > long_words and not ENDS.search(line) and not re.search(r"[.!?。]", line):
+    if n > long_words and not ENDS.search(line[-40:]) and not PERIODS.search(line):
         return "punctuation"
-    letters = [c for c in line if WORDLIKE.match(c)]
-    if n >= 10 and len(letters) >= 20 and sum(c.isupper() for c in letters) > 0.7 * len(letters):
-        return "capitals"
+    if n >= 10 and CAPITALS.search(line):
+        upper, lower = line.upper(), line.lower()
+        letters = sum(map(ne, upper, lower)) if len(upper) == len(lower) == len(line) else len(line)
+        if letters >= 20 and sum(map(ne, line, lower)) > 0.7 * letters:
+            return "capitals"
     return ""
 
 
@@ -80,7 +81,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_l
                     if size:
                         dup += line in seen
                         seen.add(line)
-                    if size and line_fails(line):
+                    if size and line_fails(line, size):
                         removed, lost = removed + 1, lost + size
                     else:
                         good.append(line)
