@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from cladeforge.llm.common import materialise
 
 #: Buckets that hold no more pairs than so many times their rows are compared at once, without stars.
-DIRECT = 4
+DIRECT = 64
+#: Rounds of stars at most; what they leave apart is compared whatever its size.
+STARS = 3
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(a, b) edges -> (id, label): the smallest id reachable. Alternates large-star and small-star steps
+    """(a, b) edges -> (id, label), label the smallest id reachable, for every id but those smallest ones. Alternates large-star and small-star steps
     (Kiveris et al. 2014) until the edges stay as they are; each step's edges are a table in the shared folder."""
 
     def fingerprint(df: DataFrame) -> tuple:
@@ -85,7 +87,7 @@ def link(members: DataFrame, sketch: list[str], possible: Callable[[str, str], s
         return n > 0 and 20 * n >= pairs.count()
 
     turn, going = 0, True
-    while going:
+    while going and turn < STARS:
         rows = now_apart()
         size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.sum(F.expr("n * (n - 1) / 2"))).first()
         if (size[1] or 0) <= DIRECT * (size[0] or 0):

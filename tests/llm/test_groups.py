@@ -73,7 +73,8 @@ def test_near_duplicates_null_ids_repeated_rows_empty_table(spark):
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(5, 5)]
     got = {r["id"]: r["label"] for r in linking.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == components(list(range(41)) + list(range(100, 160)), edges)
+    want = components(list(range(41)) + list(range(100, 160)), edges)
+    assert got == {k: v for k, v in want.items() if k != v}
 
 
 def norm(line):
