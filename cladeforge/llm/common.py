@@ -51,7 +51,7 @@ def words(text: str | None, lower: bool = True) -> list[bytes]:
 class WordHashes(dict):
     """word -> 64-bit hash; emptied at ``limit`` entries so that a worker's memory is bounded."""
 
-    def __init__(self, seed: int = 0, limit: int = 1 << 19):
+    def __init__(self, seed: int = 0, limit: int = 1 << 17):
         super().__init__()
         self.seed, self.limit = seed, limit
 

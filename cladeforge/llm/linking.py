@@ -48,20 +48,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "id")
 
 
-def link(members: DataFrame, sketch: list[str], possible: Callable[[str, str], str], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, keys array<long>, sketch...) -> (id, label) for every id that has a verified link; label is the group's smallest id.
-
-    ``possible(l, r)`` is an SQL condition on two rows' sketch columns that no true pair fails; ``verify`` takes
-    distinct (a, b) pairs and returns those that are linked. Hubs are the members that share most buckets with
+def link(
+    members: DataFrame, sketch: list[str], possible: Callable[[str, str], str], fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame]
+) -> DataFrame:
+    """(id, keys array<long>, sketch...), a row an id -> (id, label) for every id that has a verified link; label is the group's smallest id.
+
+    ``possible(l, r)`` is an SQL condition on two rows' sketch columns that no true pair fails. ``fetch`` takes the ids
+    that share a bucket and returns what they are verified by, once, so that the rest of the corpus is moved no more;
+    ``verify`` takes distinct (a, b) pairs and that, and returns the pairs that are linked. Hubs are the members that share most buckets with
     most others, then (while stars still find links and buckets are large) members in a keyed order; hubs never decide who
     is left out.
     """
-    rows = members.select(F.explode("keys").alias("key"), "id").distinct()
+    rows = members.select(F.explode(F.array_distinct("keys")).alias("key"), "id")
     full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = materialise(rows.join(full, "key"), "buckets")
-    degree = buckets.groupBy("id").agg(F.sum("size").alias("degree"))
-    sketches = members.select("id", *sketch).join(degree, "id").dropDuplicates(["id"])
+    degree = materialise(buckets.groupBy("id").agg(F.sum("size").alias("degree")), "degree")
+    sketches = members.select("id", *sketch).join(degree, "id")
     buckets = materialise(buckets.select("key", "id").join(sketches, "id"), "members")
+    bodies = materialise(fetch(degree.select("id")), "bodies")
     tested, linked, labels = None, None, None
 
     def now_apart() -> DataFrame:
@@ -79,7 +83,7 @@ def link(members: DataFrame, sketch: list[str], possible: Callable[[str, str], s
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs.distinct(), f"pairs-{tag}")
         tested = pairs if tested is None else tested.union(pairs)
-        found = materialise(verify(pairs), f"links-{tag}")
+        found = materialise(verify(pairs, bodies), f"links-{tag}")
         n = found.count()
         linked = found if linked is None else linked.union(found)
         if n or labels is None:

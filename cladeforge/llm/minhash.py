@@ -120,14 +120,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two sets are linked from ``percent`` per cent of their union on. component_id is the smallest id reachable over
     links, kept is ``id = component_id``. Texts without words (null, empty, only spaces) have no shingles, are linked
     with nothing and kept. A null id can't name a group: such a row has a null component_id, is kept and never
-    stands for others. Rows that repeat an id and a text get equal answers; rows that repeat an id with another text
-    are judged by their own text. Other columns are ignored.
+    stands for others. Rows that repeat an id and a text get equal answers; of an id with several texts, copies of any are
+    in its group, near copies of one or more. Other columns are ignored.
     """
     bands = plan_bands(percent / 100, rows)
     sk = materialise(sketches(docs, id_col, text_col, width, bands, rows), "sketches")
     named = sk.where("id is not null and n > 0")
     sets = materialise(named.groupBy("digest").agg(F.min("id").alias("rep")), "sets")
-    nodes = named.select("id", "digest", "n", "keys", "bits").join(sets.withColumnRenamed("rep", "id"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
+    # a row a node: equal sets have one, and an id with several texts has the one with the smallest digest
+    own = sets.groupBy(F.col("rep").alias("id")).agg(F.min("digest").alias("digest"))
+    nodes = materialise(named.select("id", "digest", "n", "keys", "bits").join(own, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]), "nodes")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     k = bands * rows
     words64 = -(-k // 16)
@@ -141,7 +143,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         off = " + ".join(f"bit_count({x} & {0x1111111111111111})" for x in folded)
         return f"100 * least({left}n, {right}n) >= {percent} * greatest({left}n, {right}n) and {off} <= {differ}"
 
-    labels = link(nodes, ["n", "bits"], possible, lambda pairs: verified(pairs, texts, width, percent))
+    labels = link(nodes, ["n", "bits"], possible, lambda ids: texts.join(ids, "id"), lambda pairs, found: verified(pairs, found, width, percent))
     out = sk.select("id", "n", "digest").join(sets, "digest", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     out = out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("label", "rep", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
