@@ -2,5 +2,494 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cladeforge.operators import clustering, gathering, orthogroups, similarity, trees
+from cladeforge.plans import inputs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if there is one."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+def ctes(*parts: str) -> str:
+    return "with " + ",\n".join(parts)
+
+
+# ---- gathering ----------------------------------------------------------------------------------------------------
+
+GENES, RAW = inputs.PART_GENES, inputs.PART_HITS
+BEST = "hits as (select q, h, max(score) as score from raw where score > 0 and q <> h group by q, h)"
+SCORED = "scored as (select q, h, a.sp as q_sp, b.sp as h_sp, a.len as lq, b.len as lh, score from hits join genes a on a.gene = q join genes b on b.gene = h)"
+BINS = """ranked as (select *, count(*) over (partition by q_sp, h_sp) as n, row_number() over (partition by q_sp, h_sp order by lq * lh, q, h) as rn from scored),
+  binned as (select *, (rn - 1) // (case when n <= 1000 then 20 when n <= 5000 then 200 else 1000 end) as bin, n // (case when n <= 1000 then 20 when n <= 5000 then 200 else 1000 end) as bins from ranked),
+  barred as (select *, quantile_cont(score, 0.95) over (partition by q_sp, h_sp, bin) as bar from binned where n < 100 or bin < bins),
+  tops as (select * from barred where n < 100 or score >= bar)"""
+FIT = """fit as (select q_sp, h_sp, regr_slope(log10(score), log10(lq * lh)) as a, regr_intercept(log10(score), log10(lq * lh)) as b from tops group by q_sp, h_sp having count(*) > 1)"""
+NORM = "norm as (select s.q, s.h, s.q_sp, s.h_sp, s.score * pow(10, -b) * pow(lq, -a) * pow(lh, -a) as score from scored s join fit f on s.q_sp = f.q_sp and s.h_sp = f.h_sp)"
+NORM_LEN = "norm as (select q, h, q_sp, h_sp, score / sqrt(lq * lh) as score from scored)"
+BH = """marked as (select *, max(score) over (partition by q, h_sp) as best, max(case when q_sp <> h_sp then score end) over (partition by q) as away from norm),
+  bh as (select q, h, q_sp, h_sp, score from marked where score > (case when q_sp <> h_sp then best else coalesce(away, -1) end) - 1e-3)"""
+RBH = "rbh as (select * from bh a where exists (select 1 from bh b where b.q = a.h and b.h = a.q))"
+CUT = """cut as (select m.q, coalesce(l.least, m.most + 1e-6) as cutoff from (select q, coalesce(max(case when q_sp <> h_sp then score end), 0) as most from norm group by q) m
+  left join (select q, min(score) as least from rbh where q_sp <> h_sp group by q) l on l.q = m.q)"""
+CONNECT = "conn as (select n.* from norm n join cut c on c.q = n.q where n.score >= c.cutoff)"
+EDGES = "edges as (select b.q, b.h, round(b.ways * n.score, 3) as weight from (select q, h, count(*) as ways from (select q, h from conn union all select h, q from conn) group by q, h) b join norm n on n.q = b.q and n.h = b.h)"
+
+
+def _scored(spark, sf_dir):
+    return gathering.with_genes(gathering.best_per_pair(inputs.part_hits(spark, sf_dir)), inputs.part_genes(spark, sf_dir))
+
+
+def _norm(spark, sf_dir):
+    return gathering.normalise_by_length(_scored(spark, sf_dir))
+
+
+@query(ctes(RAW, BEST) + " select * from hits")
+def best_scores(spark, sf_dir):
+    return gathering.best_per_pair(inputs.part_hits(spark, sf_dir))
+
+
+@query(ctes(RAW) + " select q, h, max(score) as score from (select q, h, score from raw where q < h union all select h, q, score from raw where q < h) group by q, h")
+def one_way_hits(spark, sf_dir):
+    return gathering.one_way(inputs.part_hits(spark, sf_dir).where("q < h"))
+
+
+@query(ctes(GENES, RAW) + " select distinct g as gene from (select q as g from raw union select h from raw) where g not in (select gene from genes where len > 2)")
+def unknown_genes(spark, sf_dir):
+    return gathering.unknown_genes(inputs.part_hits(spark, sf_dir), inputs.part_genes(spark, sf_dir).where("len > 2"))
+
+
+@query(ctes(GENES, RAW, BEST, SCORED) + " select * from scored")
+def hits_with_genes(spark, sf_dir):
+    return _scored(spark, sf_dir)
+
+
+@query(ctes(GENES, RAW, BEST, SCORED, BINS) + " select q, h, q_sp, h_sp, lq, lh, score from tops")
+def length_bin_tops(spark, sf_dir):
+    return gathering.top_of_length_bins(_scored(spark, sf_dir))
+
+
+@query(ctes(GENES, RAW, BEST, SCORED, BINS, FIT) + " select q_sp, h_sp, round(a, 6) as a, round(b, 6) as b from fit")
+def length_fit(spark, sf_dir):
+    return gathering.length_fit(_scored(spark, sf_dir)).select("q_sp", "h_sp", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
+
+
+@query(ctes(GENES, RAW, BEST, SCORED, BINS, FIT, NORM) + " select q, h, round(score, 5) as score from norm")
+def normalised_by_fit(spark, sf_dir):
+    return gathering.normalise_by_fit(_scored(spark, sf_dir)).select("q", "h", F.round("score", 5).alias("score"))
+
+
+@query(ctes(GENES, RAW, BEST, SCORED, NORM_LEN) + " select q, h, round(score, 6) as score from norm")
+def normalised_by_length(spark, sf_dir):
+    return _norm(spark, sf_dir).select("q", "h", F.round("score", 6).alias("score"))
+
+
+@query(ctes(GENES, RAW, BEST, SCORED, NORM_LEN, BH) + " select q, h, q_sp, h_sp from bh")
+def best_hits(spark, sf_dir):
+    return gathering.best_hits(_norm(spark, sf_dir)).select("q", "h", "q_sp", "h_sp")
+
+
+@query(ctes(GENES, RAW, BEST, SCORED, NORM_LEN, BH, RBH) + " select q, h, q_sp, h_sp from rbh")
+def reciprocal_best_hits(spark, sf_dir):
+    return gathering.reciprocal(gathering.best_hits(_norm(spark, sf_dir))).select("q", "h", "q_sp", "h_sp")
+
+
+@query(ctes(GENES, RAW, BEST, SCORED, NORM_LEN, BH, RBH, CUT) + " select q, round(cutoff, 5) as cutoff from cut")
+def hit_cutoffs(spark, sf_dir):
+    norm = _norm(spark, sf_dir)
+    return gathering.cutoffs(norm, gathering.reciprocal(gathering.best_hits(norm))).select("q", F.round("cutoff", 5).alias("cutoff"))
+
+
+RATIO = """single as (select * from (select *, count(*) over (partition by q, h_sp) as k from rbh where q_sp <> h_sp) where k = 1),
+  ratios as (select a.q_sp, a.h_sp as j, b.h_sp as k, quantile_cont(b.score / a.score, 0.1) as r from single a join single b on a.q = b.q and a.h_sp <> b.h_sp group by all),
+  factor as (select q_sp, j, least(1.0, min(r)) as f from ratios group by q_sp, j),
+  bars as (select r.q, min(coalesce(f.f, 1.0) * r.score) as least from rbh r left join factor f on f.q_sp = r.q_sp and f.j = r.h_sp where r.q_sp <> r.h_sp group by r.q)"""
+
+
+@query(ctes(GENES, RAW, BEST, SCORED, NORM_LEN, BH, RBH, RATIO) + " select m.q, round(coalesce(b.least, m.most + 1e-6), 5) as cutoff from (select q, coalesce(max(case when q_sp <> h_sp then score end), 0) as most from norm group by q) m left join bars b on b.q = m.q")
+def hit_cutoffs_by_ratio(spark, sf_dir):
+    norm = _norm(spark, sf_dir)
+    return gathering.cutoffs_by_ratio(norm, gathering.reciprocal(gathering.best_hits(norm))).select("q", F.round("cutoff", 5).alias("cutoff"))
+
+
+@query(ctes(GENES, RAW, BEST, SCORED, NORM_LEN, BH, RBH, CUT, CONNECT) + " select q, h from conn")
+def connected_hits(spark, sf_dir):
+    norm = _norm(spark, sf_dir)
+    return gathering.connect(norm, gathering.cutoffs(norm, gathering.reciprocal(gathering.best_hits(norm)))).select("q", "h")
+
+
+@query(ctes(GENES, RAW, BEST, SCORED, NORM_LEN, BH, RBH, CUT, CONNECT, EDGES) + " select * from edges")
+def orthogroup_graph(spark, sf_dir):
+    return gathering.orthogroup_graph(inputs.part_hits(spark, sf_dir), inputs.part_genes(spark, sf_dir), gathering.normalise_by_length)
+
+
+@query(ctes(RAW, BEST) + " select distinct q, h, 1.0::double as weight from (select q, h from hits union select h, q from hits)")
+def homology_graph(spark, sf_dir):
+    return gathering.homology_graph(gathering.best_per_pair(inputs.part_hits(spark, sf_dir)))
+
+
+# ---- similarity joins ---------------------------------------------------------------------------------------------
+
+
+@query("""with w as (select doc_id as gene, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') as w from documents),
+  s as (select gene, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) as piece from w where len(w) >= 5)
+  select count(*) as n_rows, count(distinct piece) as n_pieces, count(distinct gene) as n_genes from s""")
+def shingle_index(spark, sf_dir):
+    genes = inputs.document_genes(spark, sf_dir)
+    return similarity.shingle_index(genes, 5).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("piece").alias("n_pieces"), F.countDistinct("gene").alias("n_genes"))
+
+
+@query("""with s as (select p_partkey as gene, unnest(list_transform(range(1, len(p_name) - 1), lambda i: p_name[i:i+2])) as kmer from part where len(p_name) >= 3) select kmer, count(*) as n, count(distinct gene) as n_genes from s group by kmer""")
+def kmer_counts(spark, sf_dir):
+    rows = inputs.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene"), F.explode(similarity.kmers(F.col("p_name"), 3)).alias("kmer"))
+    return rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("gene").alias("n_genes"))
+
+
+NEAR = """w as (select doc_id as gene, source as sp, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') as w from documents),
+  s as (select gene, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) as piece from w where len(w) >= 5),
+  c as (select gene, count(*) as n from s group by gene),
+  near as (select a.gene as q, b.gene as h, count(*) / (ca.n + cb.n - count(*)) as score from s a join s b on a.piece = b.piece and a.gene <> b.gene join c ca on ca.gene = a.gene join c cb on cb.gene = b.gene group by a.gene, b.gene, ca.n, cb.n having count(*) / (ca.n + cb.n - count(*)) >= 0.1)"""
+
+
+def _near(spark, sf_dir):
+    genes = inputs.document_genes(spark, sf_dir)
+    return similarity.jaccard_join(similarity.shingle_index(genes, 5), 0.1)
+
+
+@query("with " + NEAR + " select q, h, round(score, 9) as score from near")
+def similarity_join(spark, sf_dir):
+    return _near(spark, sf_dir).select("q", "h", F.round("score", 9).alias("score"))
+
+
+NEAR_GRAPH = NEAR + """, norm as (select q, h, a.source as q_sp, b.source as h_sp, score from near join documents a on a.doc_id = q join documents b on b.doc_id = h), """ + ", ".join((BH, RBH, CUT, CONNECT))
+
+
+def _near_edges(spark, sf_dir):
+    scored = gathering.with_genes(_near(spark, sf_dir), inputs.document_genes(spark, sf_dir))
+    return gathering.connect(scored, gathering.cutoffs(scored, gathering.reciprocal(gathering.best_hits(scored))))
+
+
+COMPONENTS = """, links as (select q, h from conn union select h, q from conn),
+  reach(gene, root) as (select q, q from links union select l.h, r.root from reach r join links l on l.q = r.gene),
+  comp as (select gene, min(root) as og from reach group by gene)"""
+
+
+@query("with recursive " + NEAR_GRAPH + COMPONENTS + " select og, source as sp, count(*) as n from comp join documents on doc_id = gene group by og, source")
+def gather_orthogroups(spark, sf_dir):
+    """The flagship: shingle similarity to hits, cutoffs, connected hits, components, counts by group and species."""
+    labels = clustering.components(_near_edges(spark, sf_dir).select("q", "h"))
+    genes = inputs.document_genes(spark, sf_dir).select("gene", "sp")
+    return orthogroups.counts(labels.join(genes, "gene"))
+
+
+@query("with recursive " + NEAR_GRAPH + COMPONENTS + " select gene, og from comp")
+def graph_components(spark, sf_dir):
+    return clustering.components(_near_edges(spark, sf_dir).select("q", "h"))
+
+
+@query()
+def markov_clusters(spark, sf_dir):
+    """Flow clusters of the near-duplicate graph; rows are a partition of its genes (tests hold it against numpy)."""
+    scored = gathering.with_genes(_near(spark, sf_dir), inputs.document_genes(spark, sf_dir))
+    edges = gathering.graph(gathering.connect(scored, gathering.cutoffs(scored, gathering.reciprocal(gathering.best_hits(scored)))), scored)
+    return clustering.number_groups(clustering.markov(edges))
+
+
+ASSIGN_SQL = """hits as (select l_orderkey as gene, l_partkey % 50 as og, l_suppkey % 7 as sp, l_extendedprice as evalue from lineitem)"""
+
+
+def _assign_hits(spark, sf_dir):
+    return inputs.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("gene"), (F.col("l_partkey") % 50).alias("og"), (F.col("l_suppkey") % 7).alias("sp"), F.col("l_extendedprice").alias("evalue"))
+
+
+@query("with " + ASSIGN_SQL + " select gene, og, sp as hit_sp from (select *, row_number() over (partition by gene order by evalue, og, sp) as rn from hits) where rn = 1")
+def assign_to_groups(spark, sf_dir):
+    return similarity.assign(_assign_hits(spark, sf_dir))
+
+
+@query("with " + ASSIGN_SQL + ", per as (select gene, og, min(evalue) as evalue from hits group by gene, og) select gene, og, rank from (select *, cast(row_number() over (partition by gene order by evalue, og) as int) as rank from per) where rank <= 2")
+def first_two_groups(spark, sf_dir):
+    return similarity.first_groups(_assign_hits(spark, sf_dir), 2)
+
+
+@query("with " + ASSIGN_SQL + """, a as (select gene, og, sp as hit_sp from (select *, row_number() over (partition by gene order by evalue, og, sp) as rn from hits) where rn = 1),
+  n as (select o_orderpriority as sp, hit_sp, count(*) as n from a join orders on o_orderkey = gene group by all) select sp, hit_sp, n from (select *, row_number() over (partition by sp order by n desc, hit_sp) as rn from n) where rn = 1""")
+def closest_species(spark, sf_dir):
+    genes = inputs.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("gene"), F.col("o_orderpriority").alias("sp"))
+    return similarity.closest_species(similarity.assign(_assign_hits(spark, sf_dir)), genes)
+
+
+SPECIES_SQL = "species as (select n_nationkey as species_id, n_regionkey = 0 as is_new, count(s_suppkey) as n_genes from nation left join supplier on s_nationkey = n_nationkey group by all)"
+
+
+def _species(spark, sf_dir):
+    n, s = inputs.table(spark, sf_dir, "nation"), inputs.table(spark, sf_dir, "supplier")
+    return n.join(s, F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_nationkey").alias("species_id"), (F.col("n_regionkey") == 0).alias("is_new")).agg(F.count("s_suppkey").alias("n_genes"))
+
+
+@query("with " + SPECIES_SQL + " select a.species_id as i, b.species_id as j, a.n_genes * b.n_genes as cost from species a, species b where a.species_id <= b.species_id and a.n_genes > 0 and b.n_genes > 0 and (a.is_new or b.is_new)")
+def search_pairs(spark, sf_dir):
+    return similarity.search_pairs(_species(spark, sf_dir), one_way=True)
+
+
+@query("select a.n_regionkey as clade, a.n_nationkey as i, b.n_nationkey as j from nation a join nation b on a.n_regionkey = b.n_regionkey")
+def clade_pairs(spark, sf_dir):
+    return similarity.clade_pairs(inputs.table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("clade"), F.col("n_nationkey").alias("species_id")))
+
+
+# ---- groups -------------------------------------------------------------------------------------------------------
+
+MEM = inputs.SUPPLIER_MEMBERS
+
+
+def _members(spark, sf_dir):
+    return inputs.supplier_members(spark, sf_dir)
+
+
+@query(ctes(MEM) + " select og, 'OG' || lpad(og::varchar, 7, '0') || ': ' || string_agg(gene::varchar, ' ' order by gene::varchar) as line from members group by og")
+def orthogroup_lines(spark, sf_dir):
+    return orthogroups.lines(_members(spark, sf_dir))
+
+
+@query(ctes(MEM) + " select og, " + ", ".join(f"coalesce(string_agg(gene::varchar, ', ' order by gene::varchar) filter (sp = {k}), '') as \"{k}\"" for k in range(25)) + " from members group by og having count(*) >= 2")
+def orthogroup_table(spark, sf_dir):
+    return orthogroups.gene_table(_members(spark, sf_dir), list(range(25)))
+
+
+@query(ctes(MEM) + " select og, sp, gene from members where og in (select og from members group by og having count(*) = 1)")
+def unassigned_genes(spark, sf_dir):
+    return orthogroups.unassigned(_members(spark, sf_dir))
+
+
+@query(ctes(MEM) + " select og, sp, count(*) as n from members group by og, sp")
+def orthogroup_counts(spark, sf_dir):
+    return orthogroups.counts(_members(spark, sf_dir))
+
+
+@query(ctes(MEM) + " select og, " + ", ".join(f"count(*) filter (sp = {k}) as \"{k}\"" for k in range(25)) + ", count(*) as total from members group by og having count(*) >= 2")
+def orthogroup_count_table(spark, sf_dir):
+    return orthogroups.count_table(_members(spark, sf_dir), list(range(25)))
+
+
+@query(ctes(MEM) + " select og, count(*) as n from members group by og having count(*) >= 4")
+def groups_of_four(spark, sf_dir):
+    return orthogroups.of_size(_members(spark, sf_dir), 4)
+
+
+@query(ctes(MEM) + ", p as (select distinct og, sp from members) select a.sp as sp_a, b.sp as sp_b, count(*) as n from p a join p b on a.og = b.og group by all")
+def species_overlap(spark, sf_dir):
+    return orthogroups.species_overlap(_members(spark, sf_dir))
+
+
+ALL_GENES = "genes as (select s_nationkey as sp, p_partkey * 1000000 + s_suppkey as gene from part, supplier where (p_partkey + s_suppkey) % 40 = 0 union select sp, gene from members)"
+
+
+def _all_genes(spark, sf_dir):
+    p, s = inputs.table(spark, sf_dir, "part"), inputs.table(spark, sf_dir, "supplier")
+    lattice = p.withColumn("r", F.col("p_partkey") % 40).join(s.withColumn("r", (40 - F.col("s_suppkey") % 40) % 40), "r")
+    return lattice.select(F.col("s_nationkey").alias("sp"), (F.col("p_partkey") * 1000000 + F.col("s_suppkey")).alias("gene")).union(_members(spark, sf_dir).select("sp", "gene")).distinct()
+
+
+@query(ctes(MEM, ALL_GENES) + " select og, sp, gene from members union all select (select max(og) from members) + row_number() over (order by gene) as og, sp, gene from genes where gene not in (select gene from members)")
+def with_singletons(spark, sf_dir):
+    return orthogroups.with_singletons(_members(spark, sf_dir), _all_genes(spark, sf_dir))
+
+
+@query(ctes(MEM, ALL_GENES) + " select sp, gene from genes where gene not in (select gene from members where og in (select og from members group by og having count(*) > 1))")
+def genes_not_grouped(spark, sf_dir):
+    return orthogroups.not_grouped(_members(spark, sf_dir), _all_genes(spark, sf_dir)).select("sp", "gene")
+
+
+EDGE_SQL = "edges as (select unnest([" + ", ".join(map(str, orthogroups.SIZE_EDGES)) + "]) as lo)"
+
+
+@query(ctes(MEM, EDGE_SQL) + """, s as (select og, count(*) as n, count(*) // (select count(distinct sp) from members) as v from members group by og),
+  b as (select (select max(lo) from edges where lo <= v) as lo, n from s), g as (select e.lo, count(n) as n_groups, coalesce(sum(n), 0)::bigint as n_genes from edges e left join b on b.lo = e.lo group by e.lo)
+  select lo, n_groups, n_genes, round(100 * n_groups / sum(n_groups) over (), 1) as pct_groups, round(100 * n_genes / sum(n_genes) over (), 1) as pct_genes from g""")
+def size_histogram(spark, sf_dir):
+    return orthogroups.size_histogram(_members(spark, sf_dir), spark)
+
+
+@query(ctes(MEM, EDGE_SQL) + """, s as (select og, sp, count(*) as n from members group by og, sp),
+  b as (select sp, (select max(lo) from edges where lo <= n) as lo, n from s), grid as (select distinct sp, lo from members, edges),
+  g as (select e.sp, e.lo, count(n) as n_groups, coalesce(sum(n), 0)::bigint as n_genes from grid e left join b on b.lo = e.lo and b.sp = e.sp group by all)
+  select sp, lo, n_groups, n_genes, round(100 * n_groups / sum(n_groups) over (partition by sp), 1) as pct_groups, round(100 * n_genes / sum(n_genes) over (partition by sp), 1) as pct_genes from g""")
+def species_histogram(spark, sf_dir):
+    return orthogroups.species_histogram(_members(spark, sf_dir), spark)
+
+
+@query(ctes(MEM) + """, s as (select count(*) as size from members group by og), r as (select size, sum(size) over (order by size, rowid_ rows unbounded preceding) as cum, rn from (select size, row_number() over (order by size) as rowid_, row_number() over (order by size) as rn from s)),
+  f as (select min(rn) as rn from r where cum > (select sum(size) / 2 from s)) select (select size from r where r.rn = f.rn)::bigint as g50, (select count(*) from r) - f.rn + 1 as o50 from f""")
+def g50_o50(spark, sf_dir):
+    return orthogroups.n50(_members(spark, sf_dir))
+
+
+@query(ctes(MEM, ALL_GENES) + """, g as (select og, count(*) as n, count(distinct sp) as k from members group by og having count(*) > 1), t as (select count(distinct sp) as s, count(*) as n_genes from genes)
+  select n_genes, coalesce(sum(n), 0)::bigint as n_assigned, count(*) as n_groups, count(*) filter (k = 1) as n_specific, coalesce(sum(n) filter (k = 1), 0)::bigint as genes_specific, round(avg(n), 1) as mean_size, median(n)::double as median_size,
+  count(*) filter (k = s) as n_all_species, count(*) filter (k = s and n = s) as n_single_copy, (n_genes - coalesce(sum(n), 0))::bigint as n_unassigned, round(100 * coalesce(sum(n), 0) / n_genes, 1) as pct_assigned from g, t group by n_genes""")
+def overall_statistics(spark, sf_dir):
+    return orthogroups.overall(_members(spark, sf_dir), _all_genes(spark, sf_dir))
+
+
+@query(ctes(MEM, ALL_GENES) + """, z as (select og, count(*) as n, count(distinct sp) as k from members group by og having count(*) > 1), m as (select members.*, k from members join z using (og)),
+  p as (select sp, count(*) as n_assigned, count(distinct og) as n_groups, count(distinct case when k = 1 then og end) as n_specific, count(*) filter (k = 1) as genes_specific from m group by sp), g as (select sp, count(*) as n_genes from genes group by sp)
+  select g.sp, n_genes, coalesce(n_assigned, 0) as n_assigned, coalesce(n_groups, 0) as n_groups, coalesce(n_specific, 0) as n_specific, coalesce(genes_specific, 0) as genes_specific, n_genes - coalesce(n_assigned, 0) as n_unassigned,
+  round(100 * coalesce(n_assigned, 0) / n_genes, 1) as pct_assigned, round(100 * coalesce(n_groups, 0) / (select count(*) from z), 1) as pct_groups from g left join p on p.sp = g.sp""")
+def species_statistics(spark, sf_dir):
+    return orthogroups.per_species(_members(spark, sf_dir), _all_genes(spark, sf_dir))
+
+
+ALLOW = "allow as (select unnest(range(25)) as k, unnest([" + ", ".join(map(str, orthogroups.multicopy_allowance(25))) + "]) as m)"
+
+
+@query(ctes(MEM, ALLOW) + """, c as (select og, sp, count(*) as n from members group by og, sp), p as (select og, count(*) filter (n = 1) as single, count(*) filter (n > 1) as multi from c group by og)
+  select og, single, multi from p where single > 0.5 * 25 and multi <= coalesce((select m from allow where k = 25 - single), 0)""")
+def single_copy_groups(spark, sf_dir):
+    return orthogroups.single_copy(_members(spark, sf_dir), 0.5, n_species=25)
+
+
+@query(ctes(MEM, ALLOW) + """, c as (select og, sp, count(*) as n from members group by og, sp), p as (select og, count(*) filter (n = 1) as single, count(*) filter (n > 1) as multi from c group by og),
+  ok as (select single from p where multi <= coalesce((select m from allow where k = 25 - single), 0)) select k::int as k, (select count(*) from ok where single >= k) as n from (select unnest(range(1, 26)) as k)""")
+def occupancy(spark, sf_dir):
+    return orthogroups.occupancy(_members(spark, sf_dir), n_species=25)
+
+
+# ---- trees as tables ----------------------------------------------------------------------------------------------
+
+HEAP = inputs.HEAP_NODES
+PATHS = """paths(tree, node, ancestor, steps, dist) as (select tree, node, node, 0, 0.0::double from nodes union all
+  select p.tree, p.node, n.parent, p.steps + 1, p.dist + n.dist from paths p join nodes n on n.tree = p.tree and n.node = p.ancestor where n.parent is not null)"""
+LEAVES = "below as (select p.tree, p.ancestor as node, p.node as leaf, p.steps, p.dist, n.sp from paths p join nodes n on n.tree = p.tree and n.node = p.node where n.is_leaf)"
+TREE = "with recursive " + HEAP + ",\n" + PATHS + ",\n" + LEAVES
+
+
+def _heap(spark, sf_dir):
+    nodes = inputs.heap_nodes(spark, sf_dir)
+    return nodes, trees.closure(nodes)
+
+
+@query(TREE + " select tree, node, ancestor, steps, round(dist, 6) as dist from paths")
+def tree_paths(spark, sf_dir):
+    return _heap(spark, sf_dir)[1].select("tree", "node", "ancestor", "steps", F.round("dist", 6).alias("dist"))
+
+
+@query(TREE + " select tree, node, max(steps) as depth, round(max(dist), 6) as height from paths group by tree, node")
+def tree_depths(spark, sf_dir):
+    return trees.depths(_heap(spark, sf_dir)[1]).select("tree", "node", "depth", F.round("height", 6).alias("height"))
+
+
+@query(TREE + " select tree, node, count(*) as n_leaves from below group by tree, node")
+def tree_leaf_counts(spark, sf_dir):
+    return trees.leaf_counts(*_heap(spark, sf_dir))
+
+
+@query(TREE + ", b as (select tree, node, leaf, round(dist, 9) as d from below where node <> leaf) select tree, node, (min((d, leaf)))[2] as closest, (min((-d, leaf)))[2] as farthest from b group by tree, node")
+def tree_extreme_leaves(spark, sf_dir):
+    return trees.extreme_leaves(*_heap(spark, sf_dir))
+
+
+@query(TREE + " select tree, node, array_to_string(list_sort(list_distinct(list(sp))), ',') as species from below group by tree, node")
+def tree_species_below(spark, sf_dir):
+    return trees.species_below(*_heap(spark, sf_dir)).withColumn("species", F.array_join("species", ","))
+
+
+@query(TREE + """, t as (select tree, sp, count(*) as total from nodes where is_leaf group by tree, sp), c as (select tree, node, sp, count(*) as n from below group by all)
+  select n.tree, n.node, array_to_string(coalesce(list_sort(list(t.sp) filter (t.total > coalesce(c.n, 0))), []), ',') as species from nodes n join t on t.tree = n.tree left join c on c.tree = n.tree and c.node = n.node and c.sp = t.sp group by n.tree, n.node""")
+def tree_species_above(spark, sf_dir):
+    return trees.species_above(*_heap(spark, sf_dir)).withColumn("species", F.array_join("species", ","))
+
+
+MRCA = """top as (select tree, sp, ancestor from (select b.tree, b.sp, b.node as ancestor, count(*) as n, max(b.steps) as far, row_number() over (partition by b.tree, b.sp order by max(b.steps), b.node) as rn
+  from below b group by b.tree, b.sp, b.node having count(*) = (select count(*) from nodes m where m.is_leaf and m.sp = b.sp)) where rn = 1)"""
+
+
+@query(TREE + ", " + MRCA + " select tree, sp as set, ancestor as node from top")
+def tree_mrca(spark, sf_dir):
+    nodes, paths = _heap(spark, sf_dir)
+    return trees.mrca(paths, nodes.where("is_leaf").select("tree", F.col("sp").alias("set"), "node"))
+
+
+@query(TREE + ", " + MRCA + ", k as (select sp, count(*) as size from nodes where is_leaf group by sp) select t.tree, t.sp, t.ancestor as node, (select count(*) from below b where b.node = t.ancestor) = k.size as monophyletic from top t join k on k.sp = t.sp")
+def tree_monophyly(spark, sf_dir):
+    return trees.monophyly(*_heap(spark, sf_dir))
+
+
+@query(TREE + """, pairs as (select 0::bigint as tree, node as a, node + 1 as b from nodes where node + 1 in (select node from nodes)), m as (select p.tree, p.a, p.b, x.dist + y.dist as dist, x.steps + y.steps as steps, row_number() over (partition by p.a, p.b order by x.steps + y.steps) as rn
+  from pairs p join paths x on x.node = p.a join paths y on y.node = p.b and y.ancestor = x.ancestor) select tree, a, b, round(dist, 6) as dist, steps from m where rn = 1""")
+def tree_distances(spark, sf_dir):
+    nodes, paths = _heap(spark, sf_dir)
+    last = nodes.agg(F.max("node").alias("last"))
+    pairs = nodes.crossJoin(F.broadcast(last)).where("node < last").select("tree", F.col("node").alias("a"), (F.col("node") + 1).alias("b"))  # one row
+    return trees.distances(paths, pairs)
+
+
+@query(TREE + " select b.tree, b.node, array_to_string(list_sort(list(b.leaf)), ',') as side from below b join nodes n on n.node = b.node where not n.is_leaf and n.parent is not null group by b.tree, b.node")
+def tree_splits(spark, sf_dir):
+    return trees.splits(*_heap(spark, sf_dir)).withColumn("side", F.array_join("side", ","))
+
+
+@query(TREE + """, s as (select distinct list_sort(list(b.leaf)) as side from below b join nodes n on n.node = b.node where not n.is_leaf and n.parent is not null group by b.node),
+  s2 as (select distinct list_sort(list(b.leaf)) as side from below b join nodes n on n.node = b.node where not n.is_leaf and n.parent is not null and n.node % 3 <> 0 group by b.node)
+  select 0::bigint as tree, count(*) filter (s2.side is null) as rf, count(*) as n from s left join s2 on s2.side = s.side""")
+def tree_robinson_foulds(spark, sf_dir):
+    nodes, paths = _heap(spark, sf_dir)
+    all_splits = trees.splits(nodes, paths)
+    return trees.robinson_foulds(all_splits, all_splits.where("node % 3 <> 0"))
+
+
+OVERLAP = "kids as (select distinct n.tree, n.parent, n.node, b.sp from below b join nodes n on n.node = b.node where n.parent is not null), per as (select tree, parent, sp, count(*) as n from kids group by all)"
+
+
+@query(TREE + ", " + OVERLAP + " select tree, parent as node, case when max(n) > 1 then 'D' else 'S' end as event from per group by tree, parent")
+def tree_events(spark, sf_dir):
+    return trees.overlap_labels(*_heap(spark, sf_dir))
+
+
+@query(TREE + ", " + OVERLAP + " select tree, parent as node, count(*) filter (n > 1) as n_shared, count(*) as n_all from per group by tree, parent")
+def tree_overlap_sizes(spark, sf_dir):
+    return trees.overlap_sizes(*_heap(spark, sf_dir))
+
+
+@query(TREE + ", " + OVERLAP + """, ev as (select parent as node from per group by parent having max(n) = 1), lc as (select node, count(*) as n from below group by node)
+  select x.tree, x.parent as node, ((sum(l.n) * sum(l.n) - sum(l.n * l.n)) / 2)::bigint as n_pairs from nodes x join lc l on l.node = x.node where x.parent in (select node from ev) group by x.tree, x.parent""")
+def tree_ortholog_pairs(spark, sf_dir):
+    return trees.ortholog_pairs(*_heap(spark, sf_dir))
+
+
+@query(TREE + " select u.tree, u.node, u.above, d.below from (select tree, node, count(*) - 1 as above from paths group by all) u join (select ancestor as node, count(*) - 1 as below from paths group by all) d on d.node = u.node")
+def tree_comparable(spark, sf_dir):
+    return trees.comparable(_heap(spark, sf_dir)[1])
+
+
+@query(TREE + ", p as (select node from nodes where node % 7 = 3) select 0::bigint as tree, node from p where not exists (select 1 from paths q where q.node = p.node and q.steps > 0 and q.ancestor % 7 = 3)")
+def tree_highest(spark, sf_dir):
+    nodes, paths = _heap(spark, sf_dir)
+    return trees.highest(paths, nodes.where("node % 7 = 3").select("tree", "node"))
+
+
+NEAREST = "near as (select node, sp, min(dist) as d from below group by node, sp)"
+
+
+@query(TREE + ", " + NEAREST + " select 0::bigint as tree, a.sp as sp_a, b.sp as sp_b, round(min(a.d + b.d), 6) as dist from near a join near b on a.node = b.node and a.sp < b.sp group by a.sp, b.sp")
+def tree_species_distances(spark, sf_dir):
+    return trees.closest_pairs(*_heap(spark, sf_dir))
+
+
+@query(TREE + ", d as (select node, max(steps) as depth from paths group by node) select 0::bigint as tree, node, cast(row_number() over (order by depth, node) as int) as rank from d")
+def tree_level_order(spark, sf_dir):
+    return trees.preorder_rank(*_heap(spark, sf_dir))
