@@ -23,7 +23,7 @@ BROADCAST_WINDOWS = 1_000_000
 
 def full_template(text: Column) -> Column:
     """Lower-case words in which a placeholder carries its value: ``‹n:42›``, ``‹u:km›``, ``‹p:anna›``."""
-    text = F.translate(text, "‹›", "  ")
+    text = F.replace(F.replace(text, F.lit("‹"), F.lit(" ")), F.lit("›"), F.lit(" "))
     text = F.regexp_replace(text, r"[0-9]+(?:[.,:/][0-9]+)*", "‹n:$0›")
     text = F.regexp_replace(text, rf"(‹n:[^›]*›[ ]?)((?i:{UNITS}))(?![\p{{L}}\p{{N}}])", "$1‹u:$2›")
     text = F.regexp_replace(text, r"\p{Lu}(?<=[\p{L}\p{N},;›] \p{Lu})[\p{L}'’-]*", "‹p:$0›")

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeforge.llm.common import materialise
+from cladeforge.llm.common import discard, materialise
 
 #: Buckets that hold no more pairs than so many times their rows are compared at once, without stars.
 DIRECT = 64
@@ -61,10 +61,11 @@ def link(
     """
     rows = members.select(F.explode(F.array_distinct("keys")).alias("key"), "id")
     full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = materialise(rows.join(full, "key"), "buckets")
-    degree = materialise(buckets.groupBy("id").agg(F.sum("size").alias("degree")), "degree")
+    sized = materialise(rows.join(full, "key"), "buckets")
+    degree = materialise(sized.groupBy("id").agg(F.sum("size").alias("degree")), "degree")
     sketches = members.select("id", *sketch).join(degree, "id")
-    buckets = materialise(buckets.select("key", "id").join(sketches, "id"), "members")
+    buckets = materialise(sized.select("key", "id").join(sketches, "id"), "members")
+    discard(sized)
     bodies = materialise(fetch(degree.select("id")), "bodies")
     tested, linked, labels = None, None, None
 
