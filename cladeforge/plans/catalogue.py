@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeforge.operators import clustering, gathering, orthogroups, similarity, trees
+from cladeforge.operators import clustering, gathering, genetrees, orthogroups, similarity, trees
 from cladeforge.plans import inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -493,3 +493,83 @@ def tree_species_distances(spark, sf_dir):
 @query(TREE + ", d as (select node, max(steps) as depth from paths group by node) select 0::bigint as tree, node, cast(row_number() over (order by depth, node) as int) as rank from d")
 def tree_level_order(spark, sf_dir):
     return trees.preorder_rank(*_heap(spark, sf_dir))
+
+
+# ---- per-group distances, trees and reconciliation ----------------------------------------------------------------
+
+SIZE_GROUPS = "members as (select p_size as og, p_brand as sp, p_partkey as gene from part)"
+INSIDE = """inside as (select a.og, n.q, n.h, n.score from norm n join members a on a.gene = n.q join members b on b.gene = n.h and a.og = b.og),
+  ends as (select og, q, min(score) as least, max(score) as most from inside group by og, q),
+  sim as (select a.og, a.gene as a, b.gene as b, 0.5 * greatest(coalesce(i.score, 0), e.least) / e.most as m from members a join members b on a.og = b.og and a.gene <> b.gene join ends e on e.og = a.og and e.q = a.gene
+    left join inside i on i.og = a.og and i.q = a.gene and i.h = b.gene),
+  dist as (select x.og, x.a, x.b, -ln(x.m + y.m) as d from sim x join sim y on x.og = y.og and x.a = y.b and x.b = y.a where x.a < x.b),
+  near as (select og, least(x.sp, y.sp) as sp_a, greatest(x.sp, y.sp) as sp_b, min(d) as d from dist join (select gene as a, sp from members) x using (a) join (select gene as b, sp from members) y using (b) where x.sp <> y.sp group by all)"""
+DENDRO = ctes(GENES, RAW, BEST, SCORED, NORM_LEN, SIZE_GROUPS, INSIDE)
+
+
+def _size_groups(spark, sf_dir):
+    return inputs.part_genes(spark, sf_dir).select(F.col("len").alias("og"), "sp", "gene")
+
+
+def _group_distances(spark, sf_dir):
+    return genetrees.group_distances(_size_groups(spark, sf_dir), _norm(spark, sf_dir))
+
+
+@query(DENDRO + " select og, a, b, round(m, 6) as m from sim")
+def group_similarity(spark, sf_dir):
+    return genetrees.group_similarity(_size_groups(spark, sf_dir), _norm(spark, sf_dir)).withColumn("m", F.round("m", 6))
+
+
+@query(DENDRO + " select og, a, b, round(d, 6) as d from dist")
+def group_distances(spark, sf_dir):
+    return _group_distances(spark, sf_dir).withColumn("d", F.round("d", 6))
+
+
+@query(DENDRO + " select og, sp_a, sp_b, round(d, 6) as d from near")
+def group_species_distances(spark, sf_dir):
+    return genetrees.closest_species_distances(_group_distances(spark, sf_dir), inputs.part_genes(spark, sf_dir)).withColumn("d", F.round("d", 6))
+
+
+@query(DENDRO + " select sp_a, sp_b, round(quantile_cont(d, 0.5), 6) as d from near group by sp_a, sp_b")
+def species_distances(spark, sf_dir):
+    closest = genetrees.closest_species_distances(_group_distances(spark, sf_dir), inputs.part_genes(spark, sf_dir))
+    return genetrees.species_distances(closest).withColumn("d", F.round("d", 6))
+
+
+@query()
+def distance_trees(spark, sf_dir):
+    """Neighbour-joining trees of all groups (tests hold the kernel against additive matrices)."""
+    return genetrees.distance_trees(_group_distances(spark, sf_dir))
+
+
+@query()
+def distance_matrices(spark, sf_dir):
+    return genetrees.phylip(_group_distances(spark, sf_dir))
+
+
+def _named_trees(spark, sf_dir):
+    sp = inputs.part_genes(spark, sf_dir).select("gene", F.translate("sp", "#", "_").alias("sp"))
+    d = _group_distances(spark, sf_dir)
+    a, b = (sp.select(F.col("gene").alias(c), F.concat("sp", F.lit("|"), F.col("gene").cast("string")).alias(f"n_{c}")) for c in "ab")
+    return genetrees.distance_trees(d.join(a, "a").join(b, "b").select("og", F.col("n_a").alias("a"), F.col("n_b").alias("b"), "d"))
+
+
+@query()
+def tree_rows(spark, sf_dir):
+    return genetrees.tree_nodes(_named_trees(spark, sf_dir))
+
+
+@query()
+def reconciled_trees(spark, sf_dir):
+    """Orthologs, duplications and hierarchical groups of all trees, on a ladder of the brands."""
+    names = [r[0] for r in inputs.table(spark, sf_dir, "part").select(F.translate("p_brand", "#", "_")).distinct().orderBy(F.lit(1)).collect()]  # 25 brands
+    ladder = names[0]
+    for n in names[1:]:
+        ladder = f"({ladder}:1,{n}:1)"
+    return genetrees.reconciled(_named_trees(spark, sf_dir), ladder + ";")
+
+
+@query()
+def group_alignments(spark, sf_dir):
+    p = inputs.table(spark, sf_dir, "part").where("p_partkey is not null").select(F.col("p_size").alias("og"), F.col("p_partkey").alias("gene"), F.upper("p_name").alias("seq"))
+    return genetrees.trimmed(genetrees.alignments(p))
