@@ -54,8 +54,7 @@ def link(
     """(id, keys array<long>, sketch...), a row an id -> (id, label) for every id that has a verified link; label is the group's smallest id.
 
     ``possible(l, r)`` is an SQL condition on two rows' sketch columns that no true pair fails. ``fetch`` takes the ids
-    that share a bucket and returns what they are verified by, once, so that the rest of the corpus is moved no more;
-    ``verify`` takes distinct (a, b) pairs and that, and returns the pairs that are linked. Hubs are the members that share most buckets with
+    that are in such pairs and returns what they are verified by (with their id), each once; ``verify`` takes distinct (a, b) pairs and that, and returns the pairs that are linked. Hubs are the members that share most buckets with
     most others, then (while stars still find links and buckets are large) members in a keyed order; hubs never decide who
     is left out.
     """
@@ -66,8 +65,7 @@ def link(
     sketches = members.select("id", *sketch).join(degree, "id")
     buckets = materialise(sized.select("key", "id").join(sketches, "id"), "members")
     discard(sized)
-    bodies = materialise(fetch(degree.select("id")), "bodies")
-    tested, linked, labels = None, None, None
+    tested, linked, labels, bodies = None, None, None, None
 
     def now_apart() -> DataFrame:
         """The rows of buckets whose members are in several groups."""
@@ -79,11 +77,18 @@ def link(
 
     def settle(pairs: DataFrame, tag: str) -> bool:
         """Verify new pairs; whether a twentieth of them were links."""
-        nonlocal tested, linked, labels
+        nonlocal tested, linked, labels, bodies
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs.distinct(), f"pairs-{tag}")
         tested = pairs if tested is None else tested.union(pairs)
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        if bodies is None:
+            bodies = materialise(fetch(ids), f"bodies-{tag}")
+        else:
+            ids = ids.join(bodies.select("id").distinct(), "id", "left_anti")
+            if not ids.isEmpty():
+                bodies = bodies.union(materialise(fetch(materialise(ids, "ids")), f"bodies-{tag}"))
         found = materialise(verify(pairs, bodies), f"links-{tag}")
         n = found.count()
         linked = found if linked is None else linked.union(found)
