@@ -19,8 +19,10 @@ def write_groups(members: DataFrame, species: list, path: str) -> None:
 
 def write_table(df: DataFrame, path: str, compress: bool = False) -> None:
     row = F.concat_ws("\t", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns))
-    head = df.sparkSession.createDataFrame([("\t".join(df.columns),)], "value string")
-    writer = head.union(df.select(row.alias("value"))).coalesce(1).write.option("lineSep", "\r\n")
+    body = df.select(row.alias("value"), F.lit(1).alias("part"), F.monotonically_increasing_id().alias("at"))
+    head = df.sparkSession.createDataFrame([("\t".join(df.columns), 0, 0)], "value string, part int, at long")
+    # one file, as readers of these tables expect
+    writer = head.union(body).orderBy("part", "at").coalesce(1).select("value").write.option("lineSep", "\r\n")
     (writer.option("compression", "gzip") if compress else writer).text(path)
 
 
