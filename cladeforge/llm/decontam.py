@@ -76,7 +76,11 @@ def find_leaks(
 
     named = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     cut = named.select("id", split_words(template(full_template(F.col("text")))).alias("words"))
-    parts = [F.transform(F.coalesce(windows(F.col("words"), w, stride if w == width else 1), F.array().cast("array<struct<at:int,hash:bigint>>")), lambda x, w=w: F.struct(F.lit(w).alias("w"), x["at"].alias("at"), x["hash"].alias("hash"))) for w in sorted({width, *sizes})]
+    def sized(w: int) -> Column:
+        found = F.coalesce(windows(F.col("words"), w, stride if w == width else 1), F.array().cast("array<struct<at:int,hash:bigint>>"))
+        return F.transform(found, lambda x: F.struct(F.lit(w).alias("w"), x["at"].alias("at"), x["hash"].alias("hash")))
+
+    parts = [sized(w) for w in sorted({width, *sizes})]
     seen = cut.select("id", F.inline(F.concat(*parts) if len(parts) > 1 else parts[0]))
     hits = seen.join(F.broadcast(marks) if few else marks, ["w", "hash"])
     lines = materialise(hits.select("id", "item_id", (F.col("at") - F.col("i_at")).alias("shift")).distinct(), "alignments")

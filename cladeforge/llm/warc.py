@@ -126,8 +126,7 @@ def read_back(path: str, spark: SparkSession | None = None) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to): revisits joined to their responses."""
     records = read_records(spark or SparkSession.active(), path)
     first = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page").alias("r_page"), F.col("bytes").alias("r_bytes"), F.col("computed_digest").alias("r_digest")).dropDuplicates(["refers_to"])
-    joined = records.join(first, "refers_to", "left")
-    visit = F.col("record_type") == "revisit"
-    return joined.select(
-        F.col("page").alias("page_id"), F.when(visit, F.col("r_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"), F.when(visit, F.col("r_digest")).otherwise(F.col("computed_digest")).alias("payload_digest"), "record_type", F.when(visit, F.col("r_page")).alias("refers_to"),
-    )
+    visits = records.where("record_type = 'revisit'").join(first, "refers_to", "left")
+    visits = visits.select(F.col("page").alias("page_id"), F.col("r_bytes").alias("payload_bytes"), F.col("r_digest").alias("payload_digest"), "record_type", F.col("r_page").alias("refers_to"))
+    own = records.where("record_type <> 'revisit'").select(F.col("page").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("computed_digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    return own.unionByName(visits)
