@@ -70,4 +70,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_minhash, op2_sentencepiece, op3_urls, op4_tokens, op5_decontaminate, op6_lm, op7_quality, op8_warc, op9_rules, op10_lines)
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_urls": """with rules(action, r_host, r_path) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('allow', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+  p as (select row_number() over () as k, page_id, coalesce(translate(regexp_extract(url, '^(?:.|\\n)*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+    coalesce(regexp_extract(url, '^(?:.|\\n)*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+  m as (select k, r_host || r_path as rule, action, row_number() over (partition by k order by len(r_host || r_path) desc, len(r_host) desc, action) as rn
+    from p join rules on (host = r_host or ends_with(host, '.' || r_host)) and starts_with(path, r_path))
+  select page_id, host, path, rule, coalesce(action, 'allow') as verdict from p left join m on m.k = p.k and m.rn = 1"""
+}
