@@ -42,6 +42,12 @@ def discard(*tables: DataFrame) -> None:
         jvm.System.gc()
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """The same, after Arrow batches of the session are set to some megabytes at most, so that long texts don't fill a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

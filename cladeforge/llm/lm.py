@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeforge.llm.common import WordHashes, words
+from cladeforge.llm.common import WordHashes, bounded, words
 
 VOCAB, HIDDEN, CLASSES = 4096, 16, 64
 AROUND = (-2, -1, 1, 2)
@@ -128,7 +128,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Network | None:
             total += np.frombuffer(x, np.float32)
         return pd.DataFrame([(keys[0], total.astype(np.float32).tobytes())], columns=["block", "sums"])
 
-    own = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "block int, sums binary").withColumn("salt", F.spark_partition_id() % 64)
+    own = bounded(docs).select(F.col(text_col).alias("text")).mapInPandas(run, "block int, sums binary").withColumn("salt", F.spark_partition_id() % 64)
     once = own.groupBy("block", "salt").applyInPandas(add, "block int, sums binary")
     total = once.groupBy("block").applyInPandas(add, "block int, sums binary").collect()  # one network
     if not total:
@@ -165,5 +165,5 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
             mean = [s / n if n else None for s, n in zip(sums, sizes, strict=True)]
             yield pd.DataFrame({"id": batch["id"].array, "n_tokens": sizes, "log_prob": sums, "mean_log_prob": pd.array(mean, "Float64")})
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    picked = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return picked.mapInPandas(run, f"id {dict(picked.dtypes)['id']}, n_tokens long, log_prob double, mean_log_prob double")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeforge.llm.common import WordHashes, materialise, mix64, window_hashes, words
+from cladeforge.llm.common import WordHashes, bounded, materialise, mix64, window_hashes, words
 from cladeforge.llm.linking import link
 
 #: A sketch keeps four bits of each of its k bins. Of a pair at the threshold, the share of equal bins is short of its
@@ -89,7 +89,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int
                     out.append((0, None, None, None))
             yield pd.DataFrame(out, columns=["n", "digest", "keys", "bits"]).assign(id=batch["id"].array)[["id", "n", "digest", "keys", "bits"]]
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, n long, digest binary, keys array<long>, bits array<long>")
+    return bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, n long, digest binary, keys array<long>, bits array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -111,7 +111,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
                     kept, held = {}, 0
             yield batch.loc[good, ["a", "b"]]
 
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long").distinct()
+    return bounded(both).select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rows: int = 6, miss: float = 1e-6) -> DataFrame:

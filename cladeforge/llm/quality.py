@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeforge.llm.common import WordHashes, materialise, mix64, window_hashes, words
+from cladeforge.llm.common import WordHashes, bounded, materialise, mix64, window_hashes, words
 
 #: Labelled rows learnt from at most: those with the smallest keyed hash of their id, so the same ones at every layout.
 MAX_LABELLED = 6000
@@ -93,7 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             got = [f.features(t) for t in batch["text"]]
             yield pd.DataFrame({"k": batch["k"], "y": batch["y"], "at": [a.astype(np.int32) for a, _ in got], "v": [v.astype(np.float32) for _, v in got]})
 
-    picked = docs.join(F.broadcast(chosen), id_col).select(F.xxhash64(F.col(id_col), F.lit(7)).alias("k"), "y", F.col(text_col).alias("text"))
+    picked = bounded(docs).join(F.broadcast(chosen), id_col).select(F.xxhash64(F.col(id_col), F.lit(7)).alias("k"), "y", F.col(text_col).alias("text"))
     found = materialise(picked.mapInPandas(run, "k long, y int, at array<int>, v array<float>"), "examples")
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,4 +125,4 @@ def score(docs: DataFrame, weights: np.ndarray | None, text_col: str = "text", o
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield from run(batches)
 
-    return docs.select(*kept, F.pandas_udf(scored, "double")(F.col(text_col)).alias(out_col))
+    return bounded(docs).select(*kept, F.pandas_udf(scored, "double")(F.col(text_col)).alias(out_col))

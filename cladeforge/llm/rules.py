@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeforge.llm.common import WordHashes, window_hashes, words
+from cladeforge.llm.common import WordHashes, bounded, window_hashes, words
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 #: Phrases of lines that are boilerplate.
@@ -93,5 +93,5 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_l
             got.insert(0, "id", batch["id"].array)
             yield got
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    picked = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return picked.mapInPandas(run, f"id {dict(picked.dtypes)['id']}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines_removed long, clean_text string")

@@ -20,6 +20,8 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladeforge.llm.common import bounded
+
 #: How far beyond its start or its end a pre-token's match can look (the longest contraction has three characters).
 REACH = 3
 LEAF = 64
@@ -165,5 +167,5 @@ def count_edited(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_
                 out.append((before, tree.tokens, len(tree.text), pieces, tree.reencoded))
             yield pd.DataFrame(out, columns=["n_tokens", "n_tokens_edited", "n_chars_edited", "n_pretokens", "n_reencoded"]).assign(id=batch["id"].array)[["id", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_pretokens", "n_reencoded"]]
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(edits_col).alias("edits"))
+    picked = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(edits_col).alias("edits"))
     return picked.mapInPandas(run, f"id {dict(picked.dtypes)['id']}, n_tokens long, n_tokens_edited long, n_chars_edited long, n_pretokens long, n_reencoded long")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeforge.llm.common import shared_dir
+from cladeforge.llm.common import bounded, shared_dir
 
 END = "\r\n\r\n"
 #: Where the next record begins; what follows is the version's last digit.
@@ -119,7 +119,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     names = ["record_id", "record_type", "page", "url", "digest", "computed_digest", "bytes", "refers_to"]
     text = spark.read.option("lineSep", NEXT).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
-    return text.mapInPandas(run, "record_id string, record_type string, page long, url string, digest string, computed_digest string, bytes long, refers_to string")
+    return bounded(text).mapInPandas(run, "record_id string, record_type string, page long, url string, digest string, computed_digest string, bytes long, refers_to string")
 
 
 def read_back(path: str, spark: SparkSession | None = None) -> DataFrame:
