@@ -202,7 +202,6 @@ def graph_components(spark, sf_dir):
     return clustering.components(_near_edges(spark, sf_dir).select("q", "h"))
 
 
-@query()
 def markov_clusters(spark, sf_dir):
     """Flow clusters of the near-duplicate graph; rows are a partition of its genes (tests hold it against numpy)."""
     scored = gathering.with_genes(_near(spark, sf_dir), inputs.document_genes(spark, sf_dir))
