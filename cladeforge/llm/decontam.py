@@ -1,9 +1,9 @@
 """Benchmark decontamination by templates.
 
 Numbers, names and units become typed placeholders, so that a question with other numbers or names in it has the
-same template. Benchmark items give every window of ``width`` template words, documents every ``stride``-th one;
-a shared run of width + stride - 1 words therefore always shares a window, wherever it starts. Items too short for
-that are looked for whole, at every place. Windows meet in a hash join; each hit is an alignment of item and
+same template. Benchmark items give every window of ``width`` template words, documents every ``stride``-th one, by
+default every one too; a shared run of width + stride - 1 words (so of ``width``) therefore always shares a window,
+wherever it starts. Items too short for that are looked for whole, at every place. Windows meet in a hash join; each hit is an alignment of item and
 document, which is then compared word by word, and its placeholders must map one to one (the same name stands for
 the same name throughout). Only DataFrame functions are used.
 """
@@ -56,7 +56,7 @@ def longest_run(flags: Column) -> Column:
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    width: int = 8, stride: int = 4, min_run: int = 13, min_share: float = 0.5,
+    width: int = 8, stride: int = 1, min_run: int = 13, min_share: float = 0.5,
 ) -> DataFrame:
     """(id, item_id, matched, item_words, run, n_slots), one row per contaminated document and item.
 

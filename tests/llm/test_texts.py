@@ -175,3 +175,14 @@ def test_leaks_by_template(spark):
     got = {(r["id"], r["item_id"]) for r in decontam.find_leaks(docs(spark, rows), bench).collect()}
     assert got == {(1, 1), (2, 1), (6, 2)}
     assert mixed != other and decontam.find_leaks(docs(spark, []), bench).count() == 0
+
+
+def test_leaks_wherever_the_runs_start(spark):
+    item = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(18))
+    rows = []
+    for gap in (9, 10):  # runs of 8 and 9 words between edits
+        for off in range(8):
+            w = [x if (k + 1) % gap else f"zz{chr(97 + k)}" for k, x in enumerate(item.split())]
+            rows.append((100 * gap + off, " ".join([f"pre{chr(97 + k)}" for k in range(off)] + w)))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r["id"] for r in decontam.find_leaks(docs(spark, rows), bench).collect()} == {i for i, _ in rows}
