@@ -4,8 +4,9 @@ Numbers, names and units become typed placeholders, so that a question with othe
 same template. Benchmark items give every window of ``width`` template words, documents every ``stride``-th one, by
 default every one too; a shared run of width + stride - 1 words (so of ``width``) therefore always shares a window,
 wherever it starts. Items too short for that are looked for whole, at every place. Windows meet in a hash join; each hit is an alignment of item and
-document, which is then compared word by word, and its placeholders must map one to one (the same name stands for
-the same name throughout). Only DataFrame functions are used.
+document, which is then compared word by word. Placeholders must be a function from the item's values to the
+document's (the same name stands for the same name): within a run of equal words, and among the words that count as
+matched. What lies outside, or two values that become equal, never rejects a pair. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -45,11 +46,12 @@ def windows(words: Column, width: int, stride: int) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, width)).alias("hash"))))
 
 
-def longest_run(flags: Column) -> Column:
+def longest_run(back: Column) -> Column:
+    """Of the place that each word can't be in one run with (its own where it doesn't match, -1 for none): the longest run's words."""
     step = F.aggregate(
-        flags,
-        F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")),
-        lambda s, x: F.struct(F.when(x, s["now"] + 1).otherwise(0).alias("now"), F.greatest(s["best"], F.when(x, s["now"] + 1).otherwise(0)).alias("best")),
+        back,
+        F.struct(F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit(0).alias("best")),
+        lambda s, x: F.struct((s["at"] + 1).alias("at"), F.greatest(s["start"], x + 1).alias("start"), F.greatest(s["best"], s["at"] + 1 - F.greatest(s["start"], x + 1)).alias("best")),
     )
     return step["best"]
 
@@ -60,9 +62,10 @@ def find_leaks(
 ) -> DataFrame:
     """(id, item_id, matched, item_words, run, n_slots), one row per contaminated document and item.
 
-    An alignment counts if its placeholders are consistent and it either has ``min_run`` equal template words in a row
-    or covers ``min_share`` of the item. The best alignment of a pair is returned (most matched words, then longest
-    run). Null or empty texts and items match nothing; rows with a null id or a null item_id are left out; repeated
+    An alignment counts if it has ``min_run`` equal template words in a row whose placeholders are consistent, or
+    covers ``min_share`` of the item. Consistent is what gives one item value one document value; of several, ``matched``
+    counts the words of the one that an item value has most often. The best alignment of a pair is returned (most
+    matched words, then longest run). n_slots counts the pairs of values over the whole alignment. Null or empty texts and items match nothing; rows with a null id or a null item_id are left out; repeated
     rows give one row a pair. Other columns are ignored.
     """
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), full_template(F.col(item_text_col)).alias("full"))
@@ -90,10 +93,16 @@ def find_leaks(
     texts = texts.select("id", split_words("full").alias("d_full"), split_words(template(F.col("full"))).alias("d_words")).distinct()
     pairs = lines.join(texts, "id").join(F.broadcast(items) if few else items, "item_id")
     same = F.expr("transform(i_words, (w, k) -> k + shift >= 0 and k + shift < size(d_words) and coalesce(w = get(d_words, k + shift), false))")
-    slots = F.expr("filter(transform(i_full, (v, k) -> if(get(same, k) and v like '%‹%', struct(v as i, get(d_full, k + shift) as d), null)), x -> x is not null)")
-    pairs = pairs.withColumn("same", same).withColumn("slots", F.array_distinct(slots))
-    consistent = (F.size("slots") == F.size(F.array_distinct("slots.i"))) & (F.size("slots") == F.size(F.array_distinct("slots.d")))
-    pairs = pairs.where(consistent).select("id", "item_id", F.size(F.filter("same", lambda x: x)).alias("matched"), F.size("i_words").alias("item_words"), longest_run(F.col("same")).alias("run"), F.size("slots").alias("n_slots"))
+    slots = F.expr("filter(transform(i_full, (v, k) -> if(get(same, k) and v like '%‹%', struct(k as k, v as i, get(d_full, k + shift) as d), null)), x -> x is not null)")
+    pairs = pairs.withColumn("same", same).withColumn("slots", slots)
+    # the last place before that has the same item value and another document value, or -1
+    before = "coalesce(array_max(transform(filter(slots, y -> y.k < k and y.i = v and y.d <> get(d_full, k + shift)), y -> y.k)), -1)"
+    back = F.expr(f"transform(i_full, (v, k) -> if(not get(same, k), k, if(v like '%‹%', {before}, -1)))")
+    # of each item value, the words that have its most frequent document value
+    pairs = pairs.withColumn("often", F.expr("transform(slots, y -> struct(y.i as i, size(filter(slots, z -> z.i = y.i and z.d = y.d)) as n))"))
+    agreeing = F.expr("aggregate(array_distinct(slots.i), 0, (a, v) -> a + array_max(transform(filter(often, y -> y.i = v), y -> y.n))) - size(slots)")
+    matched = F.size(F.filter("same", lambda x: x)) + agreeing
+    pairs = pairs.select("id", "item_id", matched.alias("matched"), F.size("i_words").alias("item_words"), longest_run(back).alias("run"), F.size(F.expr("array_distinct(transform(slots, y -> struct(y.i, y.d)))")).alias("n_slots"))
     pairs = pairs.where((F.col("run") >= min_run) | (F.col("matched") >= min_share * F.col("item_words")))
     best = pairs.groupBy("id", "item_id").agg(F.max(F.struct("matched", "run", "item_words", "n_slots")).alias("b"))
     return best.select("id", "item_id", "b.matched", "b.item_words", "b.run", "b.n_slots")

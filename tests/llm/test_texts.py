@@ -186,3 +186,18 @@ def test_leaks_wherever_the_runs_start(spark):
             rows.append((100 * gap + off, " ".join([f"pre{chr(97 + k)}" for k in range(off)] + w)))
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert {r["id"] for r in decontam.find_leaks(docs(spark, rows), bench).collect()} == {i for i, _ in rows}
+
+
+def test_leaks_slots_reject_only_what_they_break(spark):
+    item = "A farmer sold 12 crates of apples and 15 crates of pears at the local market, then drove home with Anna and paid Anna 40 dollars for all the help she gave"
+    start = " ".join(item.split()[:22])
+    merged = item.replace("12 crates", "20 crates").replace("15 crates", "20 crates")
+    names = "we saw that Anna met Anna when Anna met Anna while Anna met Anna as Anna met Anna again"
+    split = "we saw that Bob met Carl when Dora met Emil while Fred met Gina as Hugo met Ines again"
+    rows = [(1, f"{start} met Bob 12 times after that"), (2, merged), (3, item), (4, split), (5, names)]
+    bench = spark.createDataFrame([(1, item), (2, names)], "item_id long, text string")
+    got = {(r["id"], r["item_id"]): (r["matched"], r["run"]) for r in decontam.find_leaks(docs(spark, rows), bench).collect()}
+    n, m = len(item.split()), len(names.split())
+    assert got[1, 1][1] >= 13 and got[2, 1] == got[3, 1] and got[3, 1][0] >= n and got[5, 2] == (m, m)
+    # each Anna is another name: 8 words in a row at most, 10 + 1 of 18 words
+    assert got.keys() - {(4, 2)} == {(1, 1), (2, 1), (3, 1), (5, 2)} and got.get((4, 2), (0, 0))[1] < 13
