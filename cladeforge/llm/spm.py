@@ -2,12 +2,14 @@
 
 The vocabulary file is a parameter and never trained. Encoding is the agenda algorithm of SentencePiece's BPE:
 adjacent symbols whose concatenation is a piece wait in a heap by score, then by place; the best one merges and
-its new neighbours join the heap. With dropout, each candidate that reaches the head of the agenda is skipped if
-a hash keyed by (seed, variant, unit, span) falls under the rate, so the same inputs give the same segmentation on
-every executor and every retry. Without dropout the ids equal SentencePiece's own.
-
-Text is cut into units that no piece crosses (checked against the vocabulary at load), and units are memoised by
-(unit, variant): each occurrence of a unit draws one of ``variants`` segmentations by a hash of document and place.
+its new neighbours join the heap. With dropout, each candidate that reaches the head of the agenda is skipped with
+the rate's probability, by draws keyed by seed, document and place, so that every occurrence gets its own skips and
+the same inputs give the same segmentation on every executor and every retry. Without dropout the ids equal
+SentencePiece's own.
+
+Text is cut into units that no piece crosses (checked against the vocabulary at load). A draw says how many candidates
+pass until the next skip. What a unit becomes under given skips is fixed, so that is what is memoised: a tree of each
+unit, whose root is the undropped result and whose branches are skips; an occurrence walks down by its own draws.
 A literal U+2581 in a text goes to bytes, so that decoding gives back every text exactly.
 """
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 import heapq
 import os
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,16 +31,14 @@ from pyspark.sql import functions as F
 from cladeforge.llm.common import bounded, mix64
 
 SPACE = "▁"
-#: Signs that units are cut at next to letters, where the vocabulary has no piece that joins them to letters.
-SIGNS = ".,;:!?|&*$%#()"
 #: Longer units are not memoised.
 MEMO_CHARS = 48
 #: Units up to this length keep their agenda in a list.
 SHORT_CHARS = 40
 NONE = float("-inf")
 M64 = (1 << 64) - 1
-#: Odd multipliers; a candidate's hash is the high end of (unit's keyed hash xor span) times the last.
-SPREAD_A, SPREAD_C, SPREAD_H = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9
+#: Odd multipliers of places and of an occurrence's further draws.
+SPREAD_PLACE, SPREAD_DRAW = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
 
 
 class Vocabulary:
@@ -60,9 +61,6 @@ class Vocabulary:
         long = [p for p in self.ids if len(p) > 1]
         whole = any(re.search(f"[^{SPACE}]{SPACE}|\\n", p) for p in long)
         self.unit = re.compile("(?s).+" if whole else f"{SPACE}*[^{SPACE}\\n]+|{SPACE}+|\\n")
-        joined = {c for p in long for c in SIGNS if re.search(f"[^\\W\\d_]{re.escape(c)}|{re.escape(c)}[^\\W\\d_]", p)}
-        signs = re.escape("".join(c for c in SIGNS if c not in joined))
-        self.border = re.compile(f"(?<=[^\\W\\d_])(?=[{signs}])|(?<=[{signs}])(?=[^\\W\\d_])" if signs and not whole else r"(?!)")
 
 
 @lru_cache(maxsize=2)
@@ -70,13 +68,31 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def passes(dropout: float) -> np.ndarray:
+    """Bars of a 64-bit draw: as many as it reaches, so many candidates pass until one is skipped (2^-64 lies beyond the last)."""
+    n = 1 if dropout >= 1 else min(1 << 20, int(64 * np.log(2) / -np.log1p(-dropout)) + 1)
+    bars, left = np.empty(n, np.uint64), 1.0
+    for k in range(n):
+        left *= 1 - dropout
+        bars[k] = min(M64, int((1 - left) * 2.0**64))
+    return bars
+
+
+def mixed(x: int) -> int:
+    """``mix64`` of one number."""
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M64
+    return x ^ (x >> 31)
+
+
 class Encoder:
-    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0, variants: int = 2, memo: int = 400_000):
-        self.voc, self.seed, self.variants = vocabulary(path), seed, variants if dropout > 0 else 1
-        self.bar = int(dropout * (1 << 64))
-        self.memo: list[dict[str, list[int]]] = [{} for _ in range(self.variants)]
-        self.parts: dict[tuple[str, int], tuple[int, ...]] = {}
-        self.limit = max(1, memo // self.variants)
+    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0, memo: int = 400_000):
+        self.voc, self.seed, self.limit = vocabulary(path), seed & M64, memo
+        self.bars = passes(dropout) if dropout > 0 else None
+        self.steps = self.bars.tolist() if dropout > 0 else []
+        #: unit -> [candidates at the head after the last skip, ids, branches by the number of candidates that pass before the next]
+        self.memo: dict[str, list] = {}
+        self.held = 0
 
     def units(self, text: str) -> tuple[list[str], str]:
         """Units of the marked text, and the stand-in for a literal U+2581 (empty without one)."""
@@ -87,61 +103,52 @@ class Encoder:
         text = SPACE + text.replace(" ", SPACE)
         return self.voc.unit.findall(text), mark
 
-    def merged_short(self, unit: str, key: int) -> list[str]:
-        """The agenda algorithm with the agenda as a list of the adjacent pairs' scores, which is faster on short units."""
-        get, bar, none = self.voc.scores.get, self.bar, NONE
+    def merged_short(self, unit: str, skips: int = 0) -> tuple[list[str], int]:
+        """The agenda algorithm with the agenda as a list of the adjacent pairs' scores, which is faster on short units: symbols, and
+        how many candidates reached the head. Bit k of ``skips`` skips the k-th."""
+        get, none, seen = self.voc.scores.get, NONE, 0
         symbols = list(unit)
-        starts = list(range(len(unit)))
         agenda = [get(unit[i : i + 2], none) for i in range(len(unit) - 1)]
         while agenda:
             best = max(agenda)
             if best == none:
                 break
             i = agenda.index(best)
-            merged = symbols[i] + symbols[i + 1]
-            if bar:
-                a = starts[i]
-                if ((key ^ (a * SPREAD_A + (a + len(merged)) * SPREAD_C)) * SPREAD_H) & M64 < bar:
+            seen += 1
+            if skips:
+                skip = skips & 1
+                skips >>= 1
+                if skip:
                     agenda[i] = none
                     continue
+            merged = symbols[i] + symbols[i + 1]
             symbols[i] = merged
-            del symbols[i + 1], starts[i + 1], agenda[i]
+            del symbols[i + 1], agenda[i]
             if i < len(agenda):
                 agenda[i] = get(merged + symbols[i + 1], none)
             if i:
                 agenda[i - 1] = get(symbols[i - 1] + merged, none)
-        return symbols
-
-    def segment(self, unit: str, variant: int, mark: str = "") -> list[int]:
-        """Ids of one unit: of its parts between letters and signs, one after another."""
-        out: list[int] = []
-        for part in self.voc.border.split(unit):
-            found = self.parts.get((part, variant))
-            if found is None:
-                found = self.merge(part, variant, mark)
-                if len(part) <= MEMO_CHARS and not mark:
-                    if len(self.parts) >= self.limit:
-                        self.parts.clear()
-                    self.parts[part, variant] = found
-            out.extend(found)
-        return out
+        return symbols, seen
 
-    def merge(self, part: str, variant: int, mark: str = "") -> tuple[int, ...]:
-        key = xxhash.xxh64_intdigest(part.encode(), self.seed * 64 + variant) if self.bar else 0
+    def merge(self, unit: str, skips: int, mark: str = "") -> tuple[tuple[int, ...], int]:
+        """Ids of a unit under given skips, and how many candidates reached the head."""
         get, out = self.voc.ids.get, []
-        for piece in (self.merged_short if len(part) <= SHORT_CHARS else self.merged)(part, key):
+        symbols, seen = (self.merged_short if len(unit) <= SHORT_CHARS else self.merged)(unit, skips)
+        for piece in symbols:
             found = get(piece)
             if found is not None:
                 out.append(found)
             else:
                 raw = SPACE if piece == mark else piece
                 out.extend(self.voc.byte_ids[x] for x in raw.encode("utf-8", "surrogatepass"))
-        return tuple(out)
+        return tuple(out), seen
 
-    def merged(self, unit: str, key: int) -> list[str]:
+    def merged(self, unit: str, skips: int = 0) -> tuple[list[str], int]:
         """The agenda algorithm with a heap."""
-        scores, bar = self.voc.scores, self.bar
+        scores, seen = self.voc.scores, 0
         n = len(unit)
+        bits = skips.to_bytes(skips.bit_length() // 8 + 1, "little")
+        most = 8 * len(bits)
         end = list(range(1, n + 1))  # of the symbol that starts here; 0 where none does
         before = list(range(-1, n - 1))
         agenda = []
@@ -154,9 +161,9 @@ class Encoder:
             _, a, b, c = heapq.heappop(agenda)
             if end[a] != b or end[b] != c:
                 continue
-            if bar:
-                if ((key ^ (a * SPREAD_A + c * SPREAD_C)) * SPREAD_H) & M64 < bar:
-                    continue
+            at, seen = seen, seen + 1
+            if at < most and bits[at >> 3] >> (at & 7) & 1:
+                continue
             end[a], end[b] = c, 0
             if c < n:
                 before[c] = a
@@ -168,7 +175,47 @@ class Encoder:
                 s = scores.get(unit[p:c])
                 if s is not None:
                     heapq.heappush(agenda, (-s, p, a, c))
-        return [unit[i : end[i]] for i in range(n) if end[i]]
+        return [unit[i : end[i]] for i in range(n) if end[i]], seen
+
+    def unmemoised(self, unit: str, draw: int, mark: str) -> tuple[int, ...]:
+        """Ids of a unit that is long or has the stand-in: all its skips are drawn first. At most 3 candidates a letter reach the head."""
+        bits = bytearray(3 * len(unit) // 8 + 1)
+        at, steps = 0, self.steps
+        while steps:
+            gap = bisect_right(steps, draw)
+            at += gap
+            if at >= 8 * len(bits):
+                break
+            if gap < len(steps):
+                bits[at >> 3] |= 1 << (at & 7)
+                at += 1
+            draw = mixed((draw + SPREAD_DRAW) & M64)
+        return self.merge(unit, int.from_bytes(bits, "little"), mark)[0]
+
+    def node(self, unit: str, skips: int, base: int) -> list:
+        """A new node of the tree: after a skip of candidate base - 1, or the root."""
+        ids, seen = self.merge(unit, skips)
+        if self.held >= self.limit:
+            self.memo.clear()
+            self.held = 0
+        self.held += 1
+        return [seen - base, ids, None]
+
+    def walk(self, unit: str, node: list, gap: int, draw: int) -> tuple[int, ...]:
+        """Ids of an occurrence that skips a candidate of the root."""
+        skips = base = 0
+        while gap < node[0]:
+            base += gap + 1
+            skips |= 1 << (base - 1)
+            branches = node[2]
+            if branches is None:
+                branches = node[2] = {}
+            node = branches.get(gap)
+            if node is None:
+                node = branches[gap] = self.node(unit, skips, base)
+            draw = mixed((draw + SPREAD_DRAW) & M64)
+            gap = bisect_right(self.steps, draw)
+        return node[1]
 
     def encode(self, text: str | None, key: int = 0) -> list[int] | None:
         """Ids of a whole text; null stays null, an empty text has none. ``key`` names the document."""
@@ -177,29 +224,34 @@ class Encoder:
         if not text:
             return []
         units, mark = self.units(text)
-        if self.variants > 1:
-            places = np.arange(len(units), dtype=np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + self.seed) & M64)
-            drawn = (mix64(places * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(self.variants)).tolist()
+        n = len(units)
+        if self.bars is None:
+            draws = gaps = [0] * n
         else:
-            drawn = [0] * len(units)
+            start = xxhash.xxh64_intdigest(b"%d" % key, self.seed)
+            places = (np.arange(n, dtype=np.uint64) + np.uint64(start)) * np.uint64(SPREAD_PLACE)
+            drawn = mix64(places)
+            draws, gaps = drawn.tolist(), np.searchsorted(self.bars, drawn, side="right").tolist()
         out: list[int] = []
-        extend, memo, segment = out.extend, self.memo, self.segment
-        for unit, v in zip(units, drawn, strict=True):
-            found = memo[v].get(unit)
+        extend, memo, dropping = out.extend, self.memo, self.bars is not None
+        for unit, draw, gap in zip(units, draws, gaps, strict=True):
+            found = memo.get(unit)
             if found is None:
-                found = segment(unit, v, mark)
-                if len(unit) <= MEMO_CHARS and not mark:
-                    if len(memo[v]) >= self.limit:
-                        memo[v].clear()
-                    memo[v][unit] = tuple(found)
-            extend(found)
+                if len(unit) > MEMO_CHARS or (mark and mark in unit):
+                    extend(self.unmemoised(unit, draw, mark))
+                    continue
+                found = memo[unit] = self.node(unit, 0, 0)
+            if dropping and gap < found[0]:
+                extend(self.walk(unit, found, gap, draw))
+            else:
+                extend(found[1])
         return out
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, dropout: float, seed: int, variants: int) -> Encoder:
+def encoder(path: str, dropout: float, seed: int, memo: int = 400_000) -> Encoder:
     """One a worker process, so that its memo serves all the worker's tasks."""
-    return Encoder(path, dropout, seed, variants)
+    return Encoder(path, dropout, seed, memo)
 
 
 def decode(path: str, ids: list[int] | None) -> str | None:
@@ -225,7 +277,7 @@ def decode(path: str, ids: list[int] | None) -> str | None:
     return text[1:].replace("\0﷐", SPACE) if text.startswith(" ") else text.replace("\0﷐", SPACE)
 
 
-def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1, seed: int = 0, variants: int = 2) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1, seed: int = 0) -> DataFrame:
     """(id, text, ids array<int>), one row per input row.
 
     Null text gives null ids, an empty text an empty array. A null id draws as id 0 does. Repeated rows get equal
@@ -233,7 +285,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary_path, dropout, seed, variants)
+        enc = encoder(vocabulary_path, dropout, seed)
         for batch in batches:
             for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
                 keys = part.column(0).to_pylist()

@@ -201,3 +201,34 @@ def test_leaks_slots_reject_only_what_they_break(spark):
     assert got[1, 1][1] >= 13 and got[2, 1] == got[3, 1] and got[3, 1][0] >= n and got[5, 2] == (m, m)
     # each Anna is another name: 8 words in a row at most, 10 + 1 of 18 words
     assert got.keys() - {(4, 2)} == {(1, 1), (2, 1), (3, 1), (5, 2)} and got.get((4, 2), (0, 0))[1] < 13
+
+
+def test_dropout_is_drawn_for_every_occurrence():
+    """Shares of a word's segmentations over its occurrences are those of independent skips, within and across documents."""
+    word, rate, n = "▁internationalisation", 0.1, 4000
+    rng, enc = random.Random(4), spm.Encoder(VOC, rate, 1)
+
+    def one():
+        bits = sum((rng.random() < rate) << k for k in range(3 * len(word)))
+        return tuple(enc.merged_short(word, bits)[0])
+
+    def seen(ids):
+        found, now = [], []
+        for i in ids:
+            p = enc.voc.pieces[i]
+            if p.startswith("▁") and now:
+                found.append(tuple(now))
+                now = []
+            now.append(p)
+        return [*found, tuple(now)]
+
+    def shares(xs):
+        return {x: xs.count(x) / len(xs) for x in set(xs)}
+
+    want = shares([one() for _ in range(n)])
+    text = " ".join([word[1:]] * n)
+    across = [seen(enc.encode(word[1:], k))[0] for k in range(n)]
+    for got in (shares(seen(enc.encode(text, 7))), shares(across), shares(seen(spm.Encoder(VOC, rate, 1, 1).encode(text, 8)))):
+        assert len(got) > 20 and sum(abs(got.get(x, 0) - want.get(x, 0)) for x in got.keys() | want.keys()) < 0.35
+        assert all(abs(got.get(x, 0) - want[x]) < 0.04 for x in want)
+    assert enc.encode(text, 7) == spm.Encoder(VOC, rate, 1, 1).encode(text, 7) != enc.encode(text, 8)
