@@ -1,8 +1,9 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every word from both sides.
 
 Words are hashed to ``VOCAB`` buckets. Each of the two words before and the two after has its own embedding table;
-their sum goes through tanh to a softmax over ``CLASSES`` classes of buckets, and a bucket's share of its class is its
-share of the corpus count. A document's score is the sum of log P(word | words around it) over its words.
+their sum goes through tanh to a softmax over ``CLASSES`` classes of buckets, and to one over the buckets of a class,
+which starts from their corpus counts. So every bucket's probability depends on both sides; words of one bucket are not
+told apart. A document's score is the sum of log P(bucket of a word | words around it) over its words.
 
 Training reads every word of every document: each input partition runs Adagrad in numpy over its own documents from the
 same start, and the partitions' networks and counts are summed, weighted by words, in two steps of bounded size. What is
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from cladeforge.llm.common import WordHashes, bounded, words
 
 VOCAB, HIDDEN, CLASSES = 4096, 16, 64
+#: Buckets of a class: bucket b is member b // CLASSES of class b % CLASSES.
+MEMBERS = VOCAB // CLASSES
 AROUND = (-2, -1, 1, 2)
 BATCH = 4096
 #: Floats of the network in one row on the way to the sum.
@@ -30,7 +33,7 @@ BLOCK = 4096
 class Network:
     """Parameters in one float32 vector; ``VOCAB`` itself stands for what lies beyond a text's ends."""
 
-    shapes = [(len(AROUND), VOCAB + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
+    shapes = [(len(AROUND), VOCAB + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, MEMBERS)]
 
     def __init__(self, flat: np.ndarray | None = None, counts: np.ndarray | None = None):
         sizes = [int(np.prod(s)) for s in self.shapes]
@@ -40,13 +43,12 @@ class Network:
             flat[: sizes[0]] = rng.normal(0, 0.1, sizes[0])
             flat[sizes[0] + sizes[1] : sum(sizes[:3])] = rng.normal(0, 0.1, sizes[2])
         self.flat = flat
-        self.table, self.b1, self.w2, self.b2 = (x.reshape(s) for x, s in zip(np.split(flat, np.cumsum(sizes)[:-1]), self.shapes, strict=True))
+        self.table, self.b1, self.w2, self.b2, self.w3 = (x.reshape(s) for x, s in zip(np.split(flat, np.cumsum(sizes)[:-1]), self.shapes, strict=True))
         self.counts = np.zeros(VOCAB) if counts is None else counts
 
-    def within(self) -> np.ndarray:
-        """log P(bucket | its class), one added to every count."""
-        n = self.counts + 1
-        return np.log(n / n.reshape(-1, CLASSES).sum(axis=0)[np.arange(VOCAB) % CLASSES])
+    def prior(self) -> np.ndarray:
+        """log(count + 1) of every class's members."""
+        return np.log(self.counts.reshape(MEMBERS, CLASSES).T + 1).astype(np.float32)
 
     def forward(self, around: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(hidden, class log-probabilities)."""
@@ -59,6 +61,15 @@ class Network:
         logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
         return hidden, logits
 
+    def log_prob(self, around: list[np.ndarray], target: np.ndarray, prior: np.ndarray) -> float:
+        """Sum of log P(class) and log P(member of its class)."""
+        hidden, logp = self.forward(around)
+        at, group = np.arange(len(target)), target % CLASSES
+        within = np.matmul(hidden[:, None, :], self.w3[group])[:, 0] + prior[group]
+        within -= within.max(axis=1, keepdims=True)
+        own = within[at, target // CLASSES] - np.log(np.exp(within).sum(axis=1))
+        return float(logp[at, group].sum(dtype=np.float64) + own.sum(dtype=np.float64))
+
 
 class Trainer:
     def __init__(self, rate: float = 0.15):
@@ -72,12 +83,27 @@ class Trainer:
         out = np.exp(logp)
         out[np.arange(len(target)), target % CLASSES] -= 1
         out /= len(target)
-        back = (out @ net.w2.T) * (1 - hidden * hidden)
+        back = out @ net.w2.T
+        w3 = np.zeros_like(net.w3)
+        prior, order = net.prior(), np.argsort(target % CLASSES, kind="stable")
+        ends = np.cumsum(np.bincount(target % CLASSES, minlength=CLASSES))
+        for c, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            if lo < hi:
+                rows = order[lo:hi]
+                h = hidden[rows]
+                inner = h @ net.w3[c] + prior[c]
+                inner = np.exp(inner - inner.max(axis=1, keepdims=True))
+                inner /= inner.sum(axis=1, keepdims=True)
+                inner[np.arange(hi - lo), target[rows] // CLASSES] -= 1
+                inner /= len(target)
+                w3[c] = h.T @ inner
+                back[rows] += inner @ net.w3[c].T
+        back *= 1 - hidden * hidden
         table = np.empty_like(net.table)
         columns = np.arange(HIDDEN)
         for k, ids in enumerate(around):
             table[k] = np.bincount((ids[:, None] * HIDDEN + columns).ravel(), back.ravel(), (VOCAB + 1) * HIDDEN).reshape(-1, HIDDEN)
-        for p, s, g in zip((net.table, net.b1, net.w2, net.b2), self.squares, (table, back.sum(axis=0), hidden.T @ out, out.sum(axis=0)), strict=True):
+        for p, s, g in zip((net.table, net.b1, net.w2, net.b2, net.w3), self.squares, (table, back.sum(axis=0), hidden.T @ out, out.sum(axis=0), w3), strict=True):
             s += g * g
             p -= self.rate * g / np.sqrt(s)
 
@@ -148,7 +174,7 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, net = WordHashes(21), Network(*shared.value)
-        within = net.within()
+        prior = net.prior()
         for batch in batches:
             sums, sizes = [], []
             for text in batch["text"]:
@@ -157,9 +183,7 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
                 if len(ids):
                     around, target = positions([ids])
                     for i in range(0, len(target), BATCH):
-                        t = target[i : i + BATCH]
-                        _, logp = net.forward([a[i : i + BATCH] for a in around])
-                        total += float(logp[np.arange(len(t)), t % CLASSES].sum(dtype=np.float64) + within[t].sum())
+                        total += net.log_prob([a[i : i + BATCH] for a in around], target[i : i + BATCH], prior)
                 sums.append(total)
                 sizes.append(len(ids))
             mean = [s / n if n else None for s, n in zip(sums, sizes, strict=True)]

@@ -232,3 +232,26 @@ def test_dropout_is_drawn_for_every_occurrence():
         assert len(got) > 20 and sum(abs(got.get(x, 0) - want.get(x, 0)) for x in got.keys() | want.keys()) < 0.35
         assert all(abs(got.get(x, 0) - want[x]) < 0.04 for x in want)
     assert enc.encode(text, 7) == spm.Encoder(VOC, rate, 1, 1).encode(text, 7) != enc.encode(text, 8)
+
+
+def test_lm_tells_words_of_one_class_apart_by_context(spark):
+    """Two words of one class, equally frequent: swapping them must cost, which only context can tell."""
+    hashes = lm.WordHashes(21)
+    first = {}
+    for k in range(100000):
+        b = int(lm.buckets(f"w{k}", hashes)[0])
+        a = first.setdefault(b % lm.CLASSES, (b, f"w{k}"))
+        if a[0] != b:
+            x, y = a[1], f"w{k}"
+            break
+    lefts = [f"left{k}" for k in range(2)]
+    train = [(k, " ".join(f"{lefts[0]} {x} end {lefts[1]} {y} end" for _ in range(100))) for k in range(60)]
+    net = lm.train(docs(spark, train))
+    test = [(1, f"{lefts[0]} {x} end {lefts[1]} {y} end"), (2, f"{lefts[0]} {y} end {lefts[1]} {x} end")]
+    got = {r["id"]: r["log_prob"] for r in lm.score(docs(spark, test), net).collect()}
+    around, target = lm.positions([lm.buckets(test[0][1], hashes)])
+    swapped = target.copy()
+    swapped[[1, 4]] = target[[4, 1]]
+    assert got[1] > got[2]
+    # the same contexts, only the words scored are swapped
+    assert net.log_prob(around, target, net.prior()) > net.log_prob(around, swapped, net.prior()) + 1
