@@ -15,9 +15,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset a temporary one will do for a session on one
+    machine; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="cladeforge-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -34,12 +37,10 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``materialise`` that nothing will read again, and let Spark drop shuffles that nobody holds."""
+    """Delete tables of ``materialise`` that nothing will read again."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.cf_path)
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cf_path)
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-        jvm.System.gc()
 
 
 def bounded(df: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Groups from bucketed candidates without all pairs: verified stars first, then what is still apart.
+"""Groups from bucketed candidates by stars, never by all pairs of a bucket.
 
-Both near-duplicate operators use it. ``buckets`` holds (key, id, sketch...) rows. A star links every member of
-a bucket to the bucket's hub, so a bucket of m members costs m - 1 pairs. Members that hubs don't link may still
-link to each other; after the stars, only buckets that hold several groups are looked at again, and only pairs
-from different groups are compared, so that no link between different groups is lost.
+Both near-duplicate operators use it. A star links a hub to every member of its bucket, so a bucket of m members costs
+m - 1 pairs, and what the star links is one group from then on. Buckets that still hold several groups go on with hubs
+from outside the bucket's largest group, four times as many each round; a hub is tested against all members of other groups
+and then leaves the bucket, until a bucket's rest is one group. So every pair of different groups in a bucket is tested
+or settled by other links, and the pairs tested are in proportion to members times outsiders.
 """
 
 from __future__ import annotations
@@ -15,100 +16,116 @@ from pyspark.sql import functions as F
 
 from cladeforge.llm.common import discard, materialise
 
-#: Buckets that hold no more pairs than so many times their rows are compared at once, without stars.
-DIRECT = 64
-#: Rounds of stars at most; what they leave apart is compared whatever its size.
-STARS = 3
+#: Each round has so many times the hubs a bucket of the round before.
+GROWTH = 4
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) edges -> (id, label), label the smallest id reachable, for every id but those smallest ones. Alternates large-star and small-star steps
-    (Kiveris et al. 2014) until the edges stay as they are; each step's edges are a table in the shared folder."""
+    (Kiveris et al. 2014) until the edges stay as they are; each step's edges are a table in the shared folder. The least neighbours are written
+    before they are joined, so that a hub's edges can be split over tasks."""
 
     def fingerprint(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    def relink(neighbours: DataFrame, keep) -> DataFrame:
-        least = neighbours.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-        return neighbours.join(least, "a").where(keep).select(F.col("b").alias("a"), F.col("least").alias("b"))
-
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = fingerprint(now)
     while seen[0]:
         both = now.union(now.select("b", "a"))
-        large = relink(both, F.col("b") > F.col("a")).where("a <> b")
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        least = down.groupBy("a").agg(F.min("b").alias("least"))
-        small = down.join(least, "a").select(F.explode(F.array(F.struct("b", F.col("least")), F.struct(F.col("a").alias("b"), F.col("least")))).alias("e"))
-        small = small.select(F.col("e.b").alias("a"), F.col("e.least").alias("b")).where("a <> b")
-        now = materialise(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-        after = fingerprint(now)
-        if after == seen:
+        least = materialise(both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least")), "least")
+        large = both.join(least, "a").where("b > a and b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        down = materialise(large.distinct(), "large")
+        lower = materialise(down.groupBy("a").agg(F.min("b").alias("least")), "least")
+        small = down.join(lower, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        after = materialise(small.union(lower.select("a", F.col("least").alias("b"))).distinct(), "edges")
+        discard(now, least, down, lower)
+        now, before = after, seen
+        seen = fingerprint(now)
+        if seen == before:
             break
-        seen = after
     return now.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "id")
 
 
+class Labels:
+    """(id, label) of what links have connected so far; new links are contracted to edges of labels first."""
+
+    def __init__(self) -> None:
+        self.table: DataFrame | None = None
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the label of their ``id``."""
+        if self.table is None:
+            return rows.withColumn("label", F.col("id"))
+        return rows.join(self.table, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+    def add(self, links: DataFrame) -> None:
+        """``links`` is a table of (a, b)."""
+        if links.isEmpty():
+            return
+        ends = self.of(self.of(links.select(F.col("a").alias("id"), "b")).select(F.col("label").alias("a"), F.col("b").alias("id"))).select("a", F.col("label").alias("b"))
+        moved = materialise(connected_components(ends).withColumnRenamed("label", "to"), "moved")
+        if self.table is None:
+            self.table = materialise(moved.withColumnRenamed("to", "label"), "labels")
+        else:
+            old = self.table
+            known = old.join(moved.select(F.col("id").alias("label"), "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+            fresh = moved.join(old.select("id"), "id", "left_anti").select("id", F.col("to").alias("label"))
+            self.table = materialise(known.unionByName(fresh), "labels")
+            discard(old)
+        discard(moved)
+
+
 def link(
     members: DataFrame, sketch: list[str], possible: Callable[[str, str], str], fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame]
 ) -> DataFrame:
-    """(id, keys array<long>, sketch...), a row an id -> (id, label) for every id that has a verified link; label is the group's smallest id.
+    """(id, keys array<long>, sketch...), a row an id -> (id, label) for ids that verified links connect; label is the group's
+    smallest id, whose own row may be missing.
 
     ``possible(l, r)`` is an SQL condition on two rows' sketch columns that no true pair fails. ``fetch`` takes the ids
-    that are in such pairs and returns what they are verified by (with their id), each once; ``verify`` takes distinct (a, b) pairs and that, and returns the pairs that are linked. Hubs are the members that share most buckets with
-    most others, then (while stars still find links and buckets are large) members in a keyed order; hubs never decide who
-    is left out.
+    that are in such pairs and returns what they are verified by (with their id), each once; ``verify`` takes distinct (a, b) pairs and
+    that, and returns the pairs that are linked. The first hub of a bucket is the member that shares most buckets with most others.
     """
     rows = members.select(F.explode(F.array_distinct("keys")).alias("key"), "id")
-    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sized = materialise(rows.join(full, "key"), "buckets")
+    full = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "full")
+    sized = materialise(rows.join(full, "key"), "sized")
     degree = materialise(sized.groupBy("id").agg(F.sum("size").alias("degree")), "degree")
-    sketches = members.select("id", *sketch).join(degree, "id")
-    buckets = materialise(sized.select("key", "id").join(sketches, "id"), "members")
-    discard(sized)
-    tested, linked, labels, bodies = None, None, None, None
-
-    def now_apart() -> DataFrame:
-        """The rows of buckets whose members are in several groups."""
-        if labels is None:
-            return buckets.withColumn("label", F.col("id"))
-        rows = buckets.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        return rows.join(mixed, "key", "left_semi")
-
-    def settle(pairs: DataFrame, tag: str) -> bool:
-        """Verify new pairs; whether a twentieth of them were links."""
-        nonlocal tested, linked, labels, bodies
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs.distinct(), f"pairs-{tag}")
-        tested = pairs if tested is None else tested.union(pairs)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        if bodies is None:
-            bodies = materialise(fetch(ids), f"bodies-{tag}")
-        else:
-            ids = ids.join(bodies.select("id").distinct(), "id", "left_anti")
-            if not ids.isEmpty():
-                bodies = bodies.union(materialise(fetch(materialise(ids, "ids")), f"bodies-{tag}"))
-        found = materialise(verify(pairs, bodies), f"links-{tag}")
-        n = found.count()
-        linked = found if linked is None else linked.union(found)
-        if n or labels is None:
-            labels = materialise(connected_components(linked), "labels")
-        return n > 0 and 20 * n >= pairs.count()
-
-    turn, going = 0, True
-    while going and turn < STARS:
-        rows = now_apart()
-        size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.sum(F.expr("n * (n - 1) / 2"))).first()
-        if (size[1] or 0) <= DIRECT * (size[0] or 0):
+    apart = materialise(sized.select("key", "id").join(members.select("id", *sketch).join(degree, "id"), "id"), "apart")
+    discard(full, sized, degree)
+    labels, tested, bodies = Labels(), [], []
+    hubs = apart.withColumn("label", F.col("id")).groupBy("key").agg(F.max_by(F.struct("id", "label", *sketch), F.struct("degree", "id")).alias("h"))
+    turn = 0
+    while True:
+        hubs = materialise(hubs.select("key", F.col("h.id").alias("h_id"), F.col("h.label").alias("h_label"), *(F.col(f"h.{c}").alias(f"h_{c}") for c in sketch)), "hubs")
+        if hubs.isEmpty():
             break
-        rank = F.col("degree") if turn == 0 else F.xxhash64(F.lit(turn), "id")
-        hubs = rows.groupBy("key").agg(F.max_by(F.struct("id", "label", *sketch), F.struct(rank, "id")).alias("h")).select("key", "h.*")
-        star = rows.join(hubs.select("key", *(F.col(c).alias(f"h_{c}") for c in hubs.columns if c != "key")), "key").where("label <> h_label").where(possible("", "h_"))
-        going = settle(star.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")), f"star{turn}")
+        rows = apart.withColumn("label", F.col("id")) if turn == 0 else apart
+        star = rows.join(hubs, "key").where("label <> h_label").where(possible("", "h_"))
+        pairs = star.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct()
+        for old in tested:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        for old in bodies:
+            ids = ids.join(old.select("id"), "id", "left_anti")
+        ids = materialise(ids, "ids")
+        bodies.append(materialise(fetch(ids), "bodies"))
+        body = bodies[0]
+        for more in bodies[1:]:
+            body = body.unionByName(more)
+        found = materialise(verify(pairs, body), "found")
+        labels.add(found)
+        tested.append(pairs)
         turn += 1
 
-    rows = materialise(now_apart().select("key", "id", "label", *sketch), "apart")
-    rest = rows.join(rows.select("key", *(F.col(c).alias(f"h_{c}") for c in ["id", "label", *sketch])), "key").where("label < h_label").where(possible("", "h_"))
-    settle(rest.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")), "rest")
-    return labels
+        # hubs have met all other groups of their buckets and leave; so do buckets whose rest is one group
+        left = labels.of(apart.select("key", "id", *sketch).join(hubs.select("key", F.col("h_id").alias("id")), ["key", "id"], "left_anti"))
+        left = materialise(left, "left")
+        parts = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+        mixed = materialise(parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main"), "mixed")
+        new = materialise(left.join(mixed, "key"), "apart")
+        discard(ids, found, hubs, left, mixed, apart)
+        apart = new
+        salt = F.pmod(F.xxhash64(F.lit(turn), "id"), F.lit(GROWTH**turn)).alias("salt")
+        hubs = apart.where("label <> main").groupBy("key", salt).agg(F.max_by(F.struct("id", "label", *sketch), F.struct(F.xxhash64(F.lit(turn), "id"), "id")).alias("h"))
+    discard(apart, hubs, *tested, *bodies)
+    return labels.table if labels.table is not None else members.select("id", F.col("id").alias("label")).where("false")

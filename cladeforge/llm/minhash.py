@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeforge.llm.common import WordHashes, bounded, materialise, mix64, window_hashes, words
+from cladeforge.llm.common import WordHashes, bounded, discard, materialise, mix64, window_hashes, words
 from cladeforge.llm.linking import link
 
 #: A sketch keeps four bits of each of its k bins. Of a pair at the threshold, the share of equal bins is short of its
@@ -144,6 +144,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return f"100 * least({left}n, {right}n) >= {percent} * greatest({left}n, {right}n) and {off} <= {differ}"
 
     labels = link(nodes, ["n", "bits"], possible, lambda ids: texts.join(ids, "id"), lambda pairs, found: verified(pairs, found, width, percent))
+    discard(nodes)
     out = sk.select("id", "n", "digest").join(sets, "digest", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     out = out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("label", "rep", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
