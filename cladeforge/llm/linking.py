@@ -4,14 +4,18 @@ Both near-duplicate operators use it. A star links a hub to every member of its
 m - 1 pairs, and what the star links is one group from then on. Buckets that still hold several groups go on with hubs
 from outside the bucket's largest group, four times as many each round; a hub is tested against all members of other groups
 and then leaves the bucket, until a bucket's rest is one group. So every pair of different groups in a bucket is tested
-or settled by other links, and the pairs tested are in proportion to members times outsiders.
+or settled by other links.
+
+Where links are on sets, members that a first hub could be near to are its family, and a family is settled without rounds:
+two members can be linked only if their differences from the hub share elements (``related``), so that they meet in a
+prefix-filtered join on those, rarest first, and members times outsiders are not compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeforge.llm.common import discard, materialise
@@ -75,8 +79,47 @@ class Labels:
         discard(moved)
 
 
+def related(deltas: DataFrame, percent: int) -> DataFrame:
+    """(fam, id, label, n, elems) -> (a, b) pairs of a family with different labels that may be linked: sets of n and m
+    elements that share ``percent`` of their union.
+
+    ``elems`` are the elements in which a set differs from its family's hub. Linked sets differ from each other in
+    (100 - percent) * (n + m) / (100 + percent) elements at most, and m <= n * 100 / percent, so in t at most for a given n. Of sets with x and y such elements,
+    of which c are shared, x + y - 2c are between them, so c >= (x + y - t) / 2, and as y >= c, c >= x - t. One at
+    least is shared, or the set were linked to the hub. So in any one order of the family's elements one of the first x - c + 1 <= t + 1 of each is
+    shared, and from the first shared one on there must be c. Rare elements come first; those of one set alone meet nobody.
+    """
+    rows = materialise(deltas.select("fam", "id", "label", "n", F.size("elems").alias("size"), F.explode("elems").alias("elem")), "elements")
+    often = rows.groupBy("fam", "elem").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    shared = rows.join(often, ["fam", "elem"])
+    own = Window.partitionBy("fam", "id")  # one set's elements
+    ranked = shared.withColumn("rank", F.row_number().over(own.orderBy("often", "elem"))).withColumn("rank", F.expr("rank + size") - F.count(F.lit(1)).over(own))
+    first = materialise(ranked.where(f"rank <= floor({100 - percent} * n * {100 + percent} / {(100 + percent) * percent}) + 1").select("fam", "elem", "id", "label", "n", "size", "rank"), "prefixes")
+    other = first.select("fam", "elem", *(F.col(c).alias(f"o_{c}") for c in ("id", "label", "n", "size", "rank")))
+    apart = f"size + o_size - 2 * (1 + least(size - rank, o_size - o_rank)) <= {100 - percent} * (n + o_n) / {100 + percent}"
+    pairs = first.join(other, ["fam", "elem"]).where("label < o_label").where(apart).select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
+    pairs = materialise(pairs, "related")
+    discard(rows, first)
+    return pairs
+
+
+def unsettled(rows: DataFrame, kinds: list[str]) -> DataFrame:
+    """Rows of buckets (``key``) with several labels and several families, and whether a row is ``outside`` the bucket's largest group
+    of either kind."""
+    main = None
+    for kind in kinds:
+        parts = rows.groupBy("key", kind).agg(F.count(F.lit(1)).alias("n"))
+        most = parts.groupBy("key").agg(F.max(F.struct("n", kind)).alias(f"m_{kind}"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+        main = most if main is None else main.join(most, "key")
+    main = materialise(main, "main")
+    inside = [F.col(k) == F.col(f"m_{k}.{k}") for k in kinds]
+    inside = inside[0] if len(kinds) == 1 else F.when(F.col("m_fam.n") > F.col("m_label.n"), inside[1]).otherwise(inside[0])
+    return rows.join(main, "key").withColumn("outside", ~inside).drop(*(f"m_{k}" for k in kinds))
+
+
 def link(
-    members: DataFrame, sketch: list[str], possible: Callable[[str, str], str], fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame]
+    members: DataFrame, sketch: list[str], possible: Callable[[str, str], str], fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame],
+    delta: Callable[[DataFrame, DataFrame], DataFrame] | None = None, percent: int = 0,
 ) -> DataFrame:
     """(id, keys array<long>, sketch...), a row an id -> (id, label) for ids that verified links connect; label is the group's
     smallest id, whose own row may be missing.
@@ -84,6 +127,7 @@ def link(
     ``possible(l, r)`` is an SQL condition on two rows' sketch columns that no true pair fails. ``fetch`` takes the ids
     that are in such pairs and returns what they are verified by (with their id), each once; ``verify`` takes distinct (a, b) pairs and
     that, and returns the pairs that are linked. The first hub of a bucket is the member that shares most buckets with most others.
+    ``delta``, where links are on sets that share ``percent`` of their union, takes (id, fam, label) and bodies and returns what ``related`` wants.
     """
     rows = members.select(F.explode(F.array_distinct("keys")).alias("key"), "id")
     full = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "full")
@@ -92,15 +136,16 @@ def link(
     apart = materialise(sized.select("key", "id").join(members.select("id", *sketch).join(degree, "id"), "id"), "apart")
     discard(full, sized, degree)
     labels, tested, bodies = Labels(), [], []
-    hubs = apart.withColumn("label", F.col("id")).groupBy("key").agg(F.max_by(F.struct("id", "label", *sketch), F.struct("degree", "id")).alias("h"))
-    turn = 0
-    while True:
-        hubs = materialise(hubs.select("key", F.col("h.id").alias("h_id"), F.col("h.label").alias("h_label"), *(F.col(f"h.{c}").alias(f"h_{c}") for c in sketch)), "hubs")
-        if hubs.isEmpty():
-            break
-        rows = apart.withColumn("label", F.col("id")) if turn == 0 else apart
-        star = rows.join(hubs, "key").where("label <> h_label").where(possible("", "h_"))
-        pairs = star.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct()
+    families = None
+
+    def body() -> DataFrame:
+        out = bodies[0]
+        for more in bodies[1:]:
+            out = out.unionByName(more)
+        return out
+
+    def settle(pairs: DataFrame) -> None:
+        """Verify pairs that are new and take their links."""
         for old in tested:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
@@ -109,23 +154,44 @@ def link(
             ids = ids.join(old.select("id"), "id", "left_anti")
         ids = materialise(ids, "ids")
         bodies.append(materialise(fetch(ids), "bodies"))
-        body = bodies[0]
-        for more in bodies[1:]:
-            body = body.unionByName(more)
-        found = materialise(verify(pairs, body), "found")
+        found = materialise(verify(pairs, body()), "found")
         labels.add(found)
         tested.append(pairs)
+        discard(ids, found)
+
+    hubs = apart.withColumn("label", F.col("id")).groupBy("key").agg(F.max_by(F.struct("id", "label", "degree", *sketch), F.struct("degree", "id")).alias("h"))
+    turn, carried = 0, ["id", "label", "degree", *sketch]
+    while True:
+        hubs = materialise(hubs.select("key", *(F.col(f"h.{c}").alias(f"h_{c}") for c in carried)), "hubs")
+        if hubs.isEmpty():
+            break
+        rows = apart.withColumn("label", F.col("id")) if turn == 0 else apart
+        star = rows.join(hubs, "key").where("label <> h_label").where(possible("", "h_"))
+        if families is not None:
+            star = star.where("fam <> h_fam")
+        if turn == 0 and delta is not None:
+            near = star.groupBy("id", "h_id").agg(F.first("h_degree").alias("h_degree"))
+            near = materialise(near, "near")
+            settle(near.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct())
+            families = materialise(near.groupBy("id").agg(F.max_by("h_id", F.struct("h_degree", "h_id")).alias("fam")), "families")
+            named = labels.of(families)
+            fams = named.groupBy("fam").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("fam")
+            settle(related(delta(named.join(fams, "fam"), body()), percent))
+            discard(near)
+        else:
+            settle(star.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct())
         turn += 1
 
         # hubs have met all other groups of their buckets and leave; so do buckets whose rest is one group
-        left = labels.of(apart.select("key", "id", *sketch).join(hubs.select("key", F.col("h_id").alias("id")), ["key", "id"], "left_anti"))
+        left = labels.of(apart.select("key", "id", *sketch, *(["fam"] if turn > 1 and families is not None else [])).join(hubs.select("key", F.col("h_id").alias("id")), ["key", "id"], "left_anti"))
+        if turn == 1 and families is not None:
+            left = left.join(families, "id", "left").withColumn("fam", F.coalesce("fam", "id"))
         left = materialise(left, "left")
-        parts = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        mixed = materialise(parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main"), "mixed")
-        new = materialise(left.join(mixed, "key"), "apart")
-        discard(ids, found, hubs, left, mixed, apart)
+        new = materialise(unsettled(left, ["label"] if families is None else ["label", "fam"]), "apart")
+        discard(hubs, left, apart)
         apart = new
+        carried = ["id", "label", *sketch, *(["fam"] if families is not None else [])]
         salt = F.pmod(F.xxhash64(F.lit(turn), "id"), F.lit(GROWTH**turn)).alias("salt")
-        hubs = apart.where("label <> main").groupBy("key", salt).agg(F.max_by(F.struct("id", "label", *sketch), F.struct(F.xxhash64(F.lit(turn), "id"), "id")).alias("h"))
-    discard(apart, hubs, *tested, *bodies)
+        hubs = apart.where("outside").groupBy("key", salt).agg(F.max_by(F.struct(*carried), F.struct(F.xxhash64(F.lit(turn), "id"), "id")).alias("h"))
+    discard(apart, hubs, *tested, *bodies, *([families] if families is not None else []))
     return labels.table if labels.table is not None else members.select("id", F.col("id").alias("label")).where("false")

@@ -114,6 +114,25 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return bounded(both).select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long").distinct()
 
 
+def deltas(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(id, fam, label) -> (fam, id, label, n, elems): a set's size and in what it differs from its hub's, for ``linking.related``."""
+    hubs = texts.select(F.col("id").alias("fam"), F.col("text").alias("hub_text"))
+    both = members.join(texts.select("id", "text"), "id").join(hubs, "fam")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sk, last, hub = Sketcher(width, 1, 1), None, None
+        for batch in batches:
+            out = []
+            for text, hub_text in zip(batch["text"], batch["hub_text"], strict=True):
+                if hub is None or hub_text != last:
+                    last, hub = hub_text, sk.shingles(hub_text)
+                own = sk.shingles(text)
+                out.append((len(own), np.setxor1d(own, hub, assume_unique=True).view(np.int64)))
+            yield pd.DataFrame({"fam": batch["fam"], "id": batch["id"], "label": batch["label"], "n": [x[0] for x in out], "elems": [x[1] for x in out]})
+
+    return bounded(both).select("fam", "id", "label", "text", "hub_text").mapInPandas(run, "fam long, id long, label long, n long, elems array<long>")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rows: int = 6, miss: float = 1e-6) -> DataFrame:
     """(id, n_shingles, component_id, kept), one row per input row.
 
@@ -143,7 +162,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         off = " + ".join(f"bit_count({x} & {0x1111111111111111})" for x in folded)
         return f"100 * least({left}n, {right}n) >= {percent} * greatest({left}n, {right}n) and {off} <= {differ}"
 
-    labels = link(nodes, ["n", "bits"], possible, lambda ids: texts.join(ids, "id"), lambda pairs, found: verified(pairs, found, width, percent))
+    labels = link(nodes, ["n", "bits"], possible, lambda ids: texts.join(ids, "id"), lambda pairs, found: verified(pairs, found, width, percent), lambda rows, found: deltas(rows, found, width), percent)
     discard(nodes)
     out = sk.select("id", "n", "digest").join(sets, "digest", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     out = out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("label", "rep", "id")).alias("component_id"))
