@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Word separators of the contracts: space and \x09-\x0D, which is what ``bytes.split()`` splits on.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark's setting for deleting a query's shuffle files when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,10 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors. What the write has
+    shuffled is deleted at its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cladeforge/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.cf_path = path
     return out

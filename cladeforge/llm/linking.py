@@ -2,7 +2,7 @@
 
 Both near-duplicate operators use it. A star links a hub to every member of its bucket, so a bucket of m members costs
 m - 1 pairs, and what the star links is one group from then on. Buckets that still hold several groups go on with hubs
-from outside the bucket's largest group, four times as many each round; a hub is tested against all members of other groups
+from outside the bucket's largest group, sixteen times as many each round; a hub is tested against all members of other groups
 and then leaves the bucket, until a bucket's rest is one group. So every pair of different groups in a bucket is tested
 or settled by other links.
 
@@ -21,32 +21,31 @@ from pyspark.sql import functions as F
 from cladeforge.llm.common import discard, materialise
 
 #: Each round has so many times the hubs a bucket of the round before.
-GROWTH = 4
+GROWTH = 16
+#: Members of a family's largest group that its other members meet, in two goes, before the rest is compared by differences.
+HELPERS = (16, 64)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) edges -> (id, label), label the smallest id reachable, for every id but those smallest ones. Alternates large-star and small-star steps
-    (Kiveris et al. 2014) until the edges stay as they are; each step's edges are a table in the shared folder. The least neighbours are written
+    (Kiveris et al. 2014) until they form stars; each step's edges are a table in the shared folder. The least neighbours are written
     before they are joined, so that a hub's edges can be split over tasks."""
 
-    def fingerprint(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def stars(df: DataFrame) -> bool:
+        """Whether every edge leads to a node that has no smaller neighbour, and no node has two."""
+        return df.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty() and df.join(df.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
 
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = fingerprint(now)
-    while seen[0]:
+    while not stars(now):
         both = now.union(now.select("b", "a"))
         least = materialise(both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least")), "least")
         large = both.join(least, "a").where("b > a and b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
         down = materialise(large.distinct(), "large")
-        lower = materialise(down.groupBy("a").agg(F.min("b").alias("least")), "least")
+        lower = materialise(down.groupBy("a").agg(F.min("b").alias("least")), "lower")
         small = down.join(lower, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
         after = materialise(small.union(lower.select("a", F.col("least").alias("b"))).distinct(), "edges")
         discard(now, least, down, lower)
-        now, before = after, seen
-        seen = fingerprint(now)
-        if seen == before:
-            break
+        now = after
     return now.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "id")
 
 
@@ -103,18 +102,18 @@ def related(deltas: DataFrame, percent: int) -> DataFrame:
     return pairs
 
 
-def unsettled(rows: DataFrame, kinds: list[str]) -> DataFrame:
-    """Rows of buckets (``key``) with several labels and several families, and whether a row is ``outside`` the bucket's largest group
-    of either kind."""
+def unsettled(rows: DataFrame, kinds: list[str], key: str = "key") -> DataFrame:
+    """Rows of buckets (``key``) with several groups of each kind (label, family), and whether a row is ``outside`` the bucket's
+    largest group of any kind."""
     main = None
     for kind in kinds:
-        parts = rows.groupBy("key", kind).agg(F.count(F.lit(1)).alias("n"))
-        most = parts.groupBy("key").agg(F.max(F.struct("n", kind)).alias(f"m_{kind}"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-        main = most if main is None else main.join(most, "key")
+        parts = rows.groupBy(key, kind).agg(F.count(F.lit(1)).alias("n"))
+        most = parts.groupBy(key).agg(F.max(F.struct("n", kind)).alias(f"m_{kind}"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+        main = most if main is None else main.join(most, key)
     main = materialise(main, "main")
     inside = [F.col(k) == F.col(f"m_{k}.{k}") for k in kinds]
     inside = inside[0] if len(kinds) == 1 else F.when(F.col("m_fam.n") > F.col("m_label.n"), inside[1]).otherwise(inside[0])
-    return rows.join(main, "key").withColumn("outside", ~inside).drop(*(f"m_{k}" for k in kinds))
+    return rows.join(main, key).withColumn("outside", ~inside).drop(*(f"m_{k}" for k in kinds))
 
 
 def link(
@@ -149,6 +148,9 @@ def link(
         for old in tested:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
+        tested.append(pairs)
+        if pairs.isEmpty():
+            return
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         for old in bodies:
             ids = ids.join(old.select("id"), "id", "left_anti")
@@ -156,7 +158,6 @@ def link(
         bodies.append(materialise(fetch(ids), "bodies"))
         found = materialise(verify(pairs, body()), "found")
         labels.add(found)
-        tested.append(pairs)
         discard(ids, found)
 
     hubs = apart.withColumn("label", F.col("id")).groupBy("key").agg(F.max_by(F.struct("id", "label", "degree", *sketch), F.struct("degree", "id")).alias("h"))
@@ -170,13 +171,20 @@ def link(
         if families is not None:
             star = star.where("fam <> h_fam")
         if turn == 0 and delta is not None:
-            near = star.groupBy("id", "h_id").agg(F.first("h_degree").alias("h_degree"))
+            near = star.groupBy("id", "h_id").agg(F.first("h_degree").alias("h_degree"), *(F.first(c).alias(c) for c in sketch))
             near = materialise(near, "near")
             settle(near.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct())
-            families = materialise(near.groupBy("id").agg(F.max_by("h_id", F.struct("h_degree", "h_id")).alias("fam")), "families")
-            named = labels.of(families)
-            fams = named.groupBy("fam").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("fam")
-            settle(related(delta(named.join(fams, "fam"), body()), percent))
+            kin = materialise(near.groupBy("id").agg(F.max_by("h_id", F.struct("h_degree", "h_id")).alias("fam"), *(F.first(c).alias(c) for c in sketch)), "kin")
+            families = kin.select("id", "fam")
+            for more in HELPERS:
+                # outsiders first meet some keyed members of their family's largest group, which leaves few of them
+                rows = unsettled(labels.of(kin), ["label"], "fam")
+                salt = F.pmod(F.xxhash64(F.lit(more), "id"), F.lit(more)).alias("salt")
+                picks = rows.where("not outside").groupBy("fam", salt).agg(F.max_by(F.struct("id", *sketch), F.struct(F.xxhash64(F.lit(more), "id"), "id")).alias("h"))
+                picks = materialise(picks.select("fam", *(F.col(f"h.{c}").alias(f"h_{c}") for c in ["id", *sketch])), "picks")
+                met = rows.where("outside").join(picks, "fam").where(possible("", "h_"))
+                settle(met.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct())
+            settle(related(delta(unsettled(labels.of(families), ["label"], "fam").drop("outside"), body()), percent))
             discard(near)
         else:
             settle(star.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct())
@@ -193,5 +201,5 @@ def link(
         carried = ["id", "label", *sketch, *(["fam"] if families is not None else [])]
         salt = F.pmod(F.xxhash64(F.lit(turn), "id"), F.lit(GROWTH**turn)).alias("salt")
         hubs = apart.where("outside").groupBy("key", salt).agg(F.max_by(F.struct(*carried), F.struct(F.xxhash64(F.lit(turn), "id"), "id")).alias("h"))
-    discard(apart, hubs, *tested, *bodies, *([families] if families is not None else []))
+    discard(apart, hubs, *tested, *bodies, *([kin] if families is not None else []))
     return labels.table if labels.table is not None else members.select("id", F.col("id").alias("label")).where("false")

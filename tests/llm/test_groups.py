@@ -1,6 +1,7 @@
 """op1 and op10 against brute force, and their edge cases."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -62,6 +63,22 @@ def test_near_duplicates_equal_brute_force(spark, width, percent, rows_):
     assert got == brute_minhash(rows, width, percent)
 
 
+def test_a_large_group_goes_through_stars_and_families(spark, monkeypatch):
+    """300 copies of one text with edits about the threshold: groups equal brute force, and the pairs verified are few."""
+    rng, base, rows = random.Random(3), words(90, "big"), []
+    for i in range(300):
+        new = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4])):
+            new[rng.randrange(len(new))] = "e%d" % rng.randrange(40)
+        rows.append((i, " ".join(new)))
+    tested = []
+    verified = minhash.verified
+    monkeypatch.setattr(minhash, "verified", lambda pairs, *a: tested.append(pairs.count()) or verified(pairs, *a))
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame(spark, rows), width=3, percent=85, rows=8).collect()}
+    assert got == brute_minhash(rows, 3, 85)
+    assert sum(tested) < 300 * 299 / 8
+
+
 def test_near_duplicates_null_ids_repeated_rows_empty_table(spark):
     t = " ".join(words(30))
     got = minhash.near_duplicates(frame(spark, [(None, t), (7, t), (7, t), (9, t), (None, None)]), width=3, percent=85, rows=8).collect()
@@ -90,15 +107,11 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def brute_lines(spark, rows, distance, percent):
-    """Kept lines per row: SimHashes come from the operator, all pairs are compared."""
-    docs = frame(spark, rows)
-    sims = {}
-    for r in lines.simhashes(lines.numbered(docs, "doc_id", "text")).collect():
-        sims[(r["doc"], r["line_no"])] = r["sim"]
+def brute_lines(rows, percent=90):
+    """Removed (doc, line) by edit similarity alone: all pairs of lines are compared."""
     at = {}
     for i, t in rows:
-        for k, line in enumerate((t or "").split("\n") if t is not None else []):
+        for k, line in enumerate((t or "").split("\n")):
             n = " ".join(norm(line))
             if n and i is not None:
                 at[(i, k)] = n
@@ -107,30 +120,42 @@ def brute_lines(spark, rows, distance, percent):
     for x, a in enumerate(keys):
         for b in keys[x + 1 :]:
             p, q = at[a], at[b]
-            if p == q or (bin((sims[a] ^ sims[b]) & (2**64 - 1)).count("1") <= distance and 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)) and edit_distance(p, q) <= (100 - percent) * max(len(p), len(q)) // 100):
+            if p == q or (100 * min(len(p), len(q)) >= percent * max(len(p), len(q)) and edit_distance(p, q) <= (100 - percent) * max(len(p), len(q)) // 100):
                 links.append((a, b))
     first = components(keys, links)
-    return {i: "\n".join(line for k, line in enumerate(t.split("\n")) if first.get((i, k), (i, k)) == (i, k)) for i, t in rows if i is not None and t is not None}
+    return {k for k in keys if first[k] != k}
+
+
+def removed_lines(spark, rows):
+    return {(r["doc"], r["line_no"]) for r in lines.line_verdicts(frame(spark, rows)).collect()}
 
 
 def test_line_dedup_equals_brute_force(spark):
     base = words(60, "line")
     rows = [(1, "Top line here.\n" + " ".join(base) + "\nLast one 123"), (2, "last ONE 456!\n\n***\n" + " ".join(base[:30] + ["changed"] + base[31:])), (3, " ".join(base)), (4, "***\n\n***"), (5, None), (6, ""), (7, "own words only"), (8, "own words only\nown words only"), (9, " ".join(words(5000, "z")) + "\ntop line HERE")]
     rows += [(20 + k, " ".join(base[:k] + ["v%d" % k] + base[k + 1 :])) for k in range(12)]
+    assert removed_lines(spark, rows) == brute_lines(rows)
     got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(frame(spark, rows)).collect()}
-    want = brute_lines(spark, rows, 3, 90)
-    assert {k: v for k, v in got.items() if v is not None} == want
-    assert got[5] is None and got[4] == "***\n\n***" and got[3] == "" and got[6] == ""
-
-
-def test_line_dedup_any_number_of_blocks_finds_the_same(spark, monkeypatch):
-    base = words(60, "line")
-    docs = frame(spark, [(k, " ".join(base[:k] + ["v%d" % k] + base[k + 1 :])) for k in range(30)])
-    out = []
-    for agree in (1, 2, 3):
-        monkeypatch.setattr(lines, "agreeing", lambda n, d, agree=agree: agree)
-        out.append(sorted((r["doc_id"], r["n_removed"]) for r in lines.dedup_lines(docs).collect()))
-    assert out[0] == out[1] == out[2]
+    assert got[5] is None and got[4] == "***\n\n***" and got[3] == "" and got[6] == "" and got[1].startswith("Top line here.")
+
+
+def test_line_dedup_recall_by_edit_similarity_alone(spark):
+    """Lines of 4 to 40 words with words changed, dropped and misspelt, against brute force that knows no fingerprints."""
+    rng = random.Random(5)
+    rows, k = [], 0
+    for n in range(4, 41, 2):
+        base = words(n, f"r{n}")
+        rows.append((k, " ".join(base)))
+        for _ in range(6):
+            k += 1
+            new = list(base)
+            for _ in range(max(1, n // 14)):
+                j, what = rng.randrange(len(new)), rng.random()
+                new[j : j + 1] = [] if what < 0.2 else [new[j] + "x"] if what < 0.6 else ["w%d" % rng.randrange(999)]
+            rows.append((k, " ".join(new)))
+        k += 1
+    got, want = removed_lines(spark, rows), brute_lines(rows)
+    assert got <= want and len(got) >= 0.9 * len(want)
 
 
 def test_line_dedup_columns_null_ids_and_empty_table(spark):
@@ -139,4 +164,6 @@ def test_line_dedup_columns_null_ids_and_empty_table(spark):
     assert got == {None: ("same\nsame", 2, 0), 1: ("same", 2, 1)}
     assert lines.dedup_lines(docs).columns == [*docs.columns, "n_lines", "n_removed"]
     assert lines.dedup_lines(docs.limit(0)).count() == 0
+    clash = docs.withColumnsRenamed({"rep": "cf_doc", "label": "cf_gone", "key": "doc"})
+    assert lines.dedup_lines(clash).columns == [*clash.columns, "n_lines", "n_removed"]
     assert isinstance(lines.dedup_lines(docs).schema["n_removed"].dataType, T.LongType)
