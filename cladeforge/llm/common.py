@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -28,25 +30,36 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors. What the write has
-    shuffled is deleted at its end."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cladeforge/{tag}-{uuid.uuid4().hex}"
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside delete what they have shuffled when they end."""
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, before)
+
+
+def materialise(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cladeforge/{tag}-{uuid.uuid4().hex}"
+    with tidied(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cf_path = path
     return out
 
 
+def is_empty(df: DataFrame) -> bool:
+    with tidied(df.sparkSession):
+        return df.isEmpty()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``materialise`` that nothing will read again."""
     for df in tables:

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeforge.llm.common import discard, materialise
+from cladeforge.llm.common import discard, is_empty, materialise
 
 #: Each round has so many times the hubs a bucket of the round before.
 GROWTH = 16
@@ -33,7 +33,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     def stars(df: DataFrame) -> bool:
         """Whether every edge leads to a node that has no smaller neighbour, and no node has two."""
-        return df.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty() and df.join(df.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+        return is_empty(df.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")) and is_empty(df.join(df.select(F.col("a").alias("b")), "b", "left_semi"))
 
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while not stars(now):
@@ -63,7 +63,7 @@ class Labels:
 
     def add(self, links: DataFrame) -> None:
         """``links`` is a table of (a, b)."""
-        if links.isEmpty():
+        if is_empty(links):
             return
         ends = self.of(self.of(links.select(F.col("a").alias("id"), "b")).select(F.col("label").alias("a"), F.col("b").alias("id"))).select("a", F.col("label").alias("b"))
         moved = materialise(connected_components(ends).withColumnRenamed("label", "to"), "moved")
@@ -149,7 +149,7 @@ def link(
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         tested.append(pairs)
-        if pairs.isEmpty():
+        if is_empty(pairs):
             return
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         for old in bodies:
@@ -164,7 +164,7 @@ def link(
     turn, carried = 0, ["id", "label", "degree", *sketch]
     while True:
         hubs = materialise(hubs.select("key", *(F.col(f"h.{c}").alias(f"h_{c}") for c in carried)), "hubs")
-        if hubs.isEmpty():
+        if is_empty(hubs):
             break
         rows = apart.withColumn("label", F.col("id")) if turn == 0 else apart
         star = rows.join(hubs, "key").where("label <> h_label").where(possible("", "h_"))
@@ -175,7 +175,14 @@ def link(
             near = materialise(near, "near")
             settle(near.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct())
             kin = materialise(near.groupBy("id").agg(F.max_by("h_id", F.struct("h_degree", "h_id")).alias("fam"), *(F.first(c).alias(c) for c in sketch)), "kin")
+            for _ in range(2):
+                # a hub that is near to a greater one takes its family there
+                to = kin.select(F.col("id").alias("fam"), F.col("fam").alias("to"))
+                new = materialise(kin.join(to, "fam", "left").withColumn("fam", F.when(F.col("to") != F.col("id"), F.col("to")).otherwise(F.col("fam"))).drop("to"), "kin")
+                discard(kin)
+                kin = new
             families = kin.select("id", "fam")
+            settle(families.select(F.least("id", "fam").alias("a"), F.greatest("id", "fam").alias("b")).distinct())
             for more in HELPERS:
                 # outsiders first meet some keyed members of their family's largest group, which leaves few of them
                 rows = unsettled(labels.of(kin), ["label"], "fam")
