@@ -155,3 +155,26 @@ def preorder_rank(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """(tree, node, rank) in level order: by depth, then by node."""
     d = depths(paths)
     return d.select("tree", "node", F.row_number().over(Window.partitionBy("tree").orderBy("depth", "node")).alias("rank"))
+
+
+def small_clades(nodes: DataFrame, paths: DataFrame, core: DataFrame, most: int) -> DataFrame:
+    """(tree, node, n): the highest nodes with ``most`` core leaves (leaf) or fewer below, and how many those are."""
+    marked = leaves_below(nodes, paths).join(core.withColumn("one", F.lit(1)), "leaf", "left")
+    n = marked.groupBy("tree", "node").agg(F.count("one").alias("n"))
+    above = n.where(F.col("n") <= most).select("tree", F.col("node").alias("parent"), F.lit(True).alias("small"))
+    low = nodes.select("tree", "node", "parent").join(n.where(F.col("n") <= most), ["tree", "node"])
+    return low.join(above, ["tree", "parent"], "left").where("small is null").select("tree", "node", "n")
+
+
+def single_species_clades(nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """(tree, node, sp): the highest nodes whose leaves are all of one species."""
+    sp = nodes.where("is_leaf").select("tree", F.col("node").alias("leaf"), "sp")
+    one = leaves_below(nodes, paths).join(sp, ["tree", "leaf"]).groupBy("tree", "node").agg(F.min("sp").alias("sp"), F.max("sp").alias("last")).where("sp = last").drop("last")
+    above = one.select("tree", F.col("node").alias("parent"), F.lit(True).alias("whole"))
+    return nodes.select("tree", "node", "parent").join(one, ["tree", "node"]).join(above, ["tree", "parent"], "left").where("whole is null").select("tree", "node", "sp")
+
+
+def mend_branches(nodes: DataFrame, length: str = "dist", share: float = 1e-6) -> DataFrame:
+    """(tree, node, dist): negative branches get ``share`` of the tree's length."""
+    total = nodes.where("parent is not null").groupBy("tree").agg(F.sum(length).alias("cf_total"))
+    return nodes.join(F.broadcast(total), "tree").select("tree", "node", F.when(F.col("dist") < 0, share * F.col("cf_total")).otherwise(F.col("dist")).alias("dist"))  # a row a tree

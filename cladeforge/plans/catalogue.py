@@ -1,4 +1,4 @@
-"""Every query by name, and its SQL."""
+"""Queries by name, and their SQL; ``tables`` adds its own."""
 
 from __future__ import annotations
 
