@@ -1,18 +1,18 @@
-"""Orthogroups of a folder of sequence files: ``python -m cladeforge FASTA_FOLDER OUTPUT [-I inflation] [--components]``."""
+"""Orthogroups of a folder of sequence files: ``python -m cladeforge FASTA_FOLDER OUTPUT [-I inflation] [--components] [-s TREE]``."""
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeforge.operators import clustering, gathering, orthogroups, similarity
+from cladeforge.operators import clustering, gathering, genetrees, orthogroups, results, similarity
 from cladeforge.sources import sequences, sinks
 
 
-def run(spark: SparkSession, folder: str, output: str, k: int = 5, least: float = 0.1, inflation: float = 1.2, components: bool = False, scores_v2: bool = False):
-    """Read, join by k-mers, gather, cluster, write; returns (og, sp, gene)."""
+def run(spark: SparkSession, folder: str, output: str, k: int = 5, least: float = 0.1, inflation: float = 1.2, components: bool = False, scores_v2: bool = False, species_tree: str | None = None):
+    """Read, join by k-mers, gather, cluster, write; with a rooted species tree (Newick) also trees and what they give. Returns (og, sp, gene)."""
     seqs = clustering.cut(sequences.read_fasta(spark, folder))
     genes = seqs.select("accession", F.col("species").alias("sp"), "len", F.concat("species_id", F.lit("_"), "seq_idx").alias("gene"), "residues")
     pieces = genes.select("gene", F.array_distinct(similarity.kmers(F.col("residues"), k)).alias("pieces"))
@@ -20,14 +20,40 @@ def run(spark: SparkSession, folder: str, output: str, k: int = 5, least: float
     hits = similarity.jaccard_join(index, least)
     edges = clustering.cut(gathering.orthogroup_graph(hits, genes, gathering.normalise_by_length if scores_v2 else gathering.normalise_by_fit))
     labels = clustering.components(edges) if components else clustering.markov(edges, inflation)
-    grouped = clustering.number_groups(labels).join(genes.select("gene", "sp"), "gene").select("og", "sp", "gene")
+    grouped = orthogroups.renumber(labels.join(genes.select("gene", "sp"), "gene"))
     members = orthogroups.with_singletons(grouped, genes).join(genes.select("gene", "accession"), "gene").select("og", "sp", F.col("accession").alias("gene"))
     members = clustering.cut(members)
     species = [r[0] for r in genes.select("sp").distinct().orderBy("sp").collect()]  # a row a species
     sinks.write_groups(members, species, output)
+    if species_tree is not None:
+        named = genes.select("gene", "sp", F.concat_ws("|", "sp", "accession").alias("name"))
+        scored = (gathering.normalise_by_length if scores_v2 else gathering.normalise_by_fit)(gathering.with_genes(gathering.best_per_pair(hits), genes))
+        write_orthologs(grouped, scored, named, species, species_tree, output)
     return members
 
 
+def write_orthologs(grouped: DataFrame, scored: DataFrame, named: DataFrame, species: list, species_tree: str, output: str) -> None:
+    """Gene trees from hits, reconciled with a rooted species tree (Newick): ortholog pairs, duplications, hierarchical groups and their statistics.
+    ``named``: (gene, sp, name), name being ``species|accession``."""
+    d = genetrees.group_distances(grouped, scored)
+    a, b = (named.select(F.col("gene").alias(c), F.col("name").alias(f"n_{c}")) for c in "ab")
+    trees = clustering.cut(genetrees.distance_trees(d.join(a, "a").join(b, "b").select("og", F.col("n_a").alias("a"), F.col("n_b").alias("b"), "d")))
+    rows = clustering.cut(genetrees.reconciled(trees, species_tree))
+    trees.select("og", "newick").write.parquet(f"{output}/Gene_Trees")
+    genes = named.select(F.col("name").alias("gene"), "sp")
+    pairs = rows.where("kind = 'ortholog'").select("og", "node", F.col("genes_1")[0].alias("a"), F.col("genes_2")[0].alias("b"))
+    ends = pairs.select("og", "node", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("gene")), F.struct(F.lit(1).alias("side"), F.col("b").alias("gene")))).alias("e")).select("og", "node", "e.*").distinct()
+    orthologs = clustering.cut(results.ortholog_rows(ends.join(genes, "gene").select("og", "node", "side", "sp", "gene")))
+    one_way = orthologs.where("sp_a < sp_b").select("og", "sp_a", F.split("genes_a", ", ").alias("genes_a"), "sp_b", F.split("genes_b", ", ").alias("genes_b"))
+    sinks.write_orthologs(one_way, f"{output}/Orthologues")
+    dups = rows.where("kind = 'duplication'").select("og", "level", "node", "support", "genes_1", "genes_2")
+    none = dups.select(F.col("genes_1").alias("genes")).where("false")
+    sinks.write_duplications(results.duplication_rows(dups, none), f"{output}/Duplications.tsv")
+    sinks.write_statistics(results.multiplicity_totals(orthologs), dups, species, f"{output}/Comparative_Genomics_Statistics")
+    sinks.write_hogs(rows.where("kind = 'hog'").select("og", "level", "node", F.col("genes_1").alias("genes")), genes, species, f"{output}/Phylogenetic_Hierarchical_Orthogroups")
+    sinks.write_by_species(rows.where("kind = 'misplaced'").select(F.col("genes_1")[0].alias("gene")).join(genes, "gene"), f"{output}/Misplaced_Genes")
+
+
 def main() -> None:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("folder")
@@ -37,8 +63,11 @@ def main() -> None:
     p.add_argument("--least", type=float, default=0.1, help="least Jaccard similarity of a hit")
     p.add_argument("--components", action="store_true", help="connected components in place of flow clusters")
     p.add_argument("--scores-v2", action="store_true", help="normalise by length alone")
+    p.add_argument("-s", "--species-tree", help="file with the rooted species tree (Newick); gene trees are made and reconciled with it")
     a = p.parse_args()
-    run(SparkSession.builder.getOrCreate(), a.folder, a.output, a.k, a.least, a.inflation, a.components, a.scores_v2)
+    spark = SparkSession.builder.getOrCreate()
+    tree = None if a.species_tree is None else "".join(r[0] for r in spark.read.text(a.species_tree).collect())  # one tree
+    run(spark, a.folder, a.output, a.k, a.least, a.inflation, a.components, a.scores_v2, tree)
 
 
 if __name__ == "__main__":

@@ -1,19 +1,34 @@
-"""Markov clustering and connected components as DataFrame loops; each round is a checkpointed table."""
+"""Markov clustering and connected components as DataFrame loops; each round is a table in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeforge.functions import flow
+
+
+def shared_folder(df: DataFrame) -> str:
+    """``spark.checkpoint.dir``; where it is unset a temporary folder will do for a session on one machine, on a cluster that is an error."""
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="cladeforge-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the shared folder (one of our own only where none is set, as in tests)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cladeforge-"))
-    return df.checkpoint()
+    """Cut lineage by a table in the shared folder, which is computed once and survives lost executors."""
+    path = f"{shared_folder(df)}/cladeforge/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,19 +47,45 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+#: Components of up to so many genes are clustered as one dense matrix each; larger ones by joins.
+DENSE = 1000
+
+
+def symmetric_edges(edges: DataFrame) -> DataFrame:
+    """(q, h, weight) -> (i, j, w), both directions with their larger weight; no loops, nulls or weights of 0."""
+    e = edges.select(F.col("q").alias("j"), F.col("h").alias("i"), F.col("weight").cast("double").alias("w")).where("w > 0 and i is not null and j is not null and i <> j")
+    return e.union(e.select(F.col("i").alias("j"), F.col("j").alias("i"), "w")).groupBy("i", "j").agg(F.max("w").alias("w"))
+
+
 def markov(edges: DataFrame, inflation: float = 1.2, rounds: int = 30, keep: int = 500, floor: float = 1e-4, tolerance: float = 1e-4) -> DataFrame:
     """Markov clustering (van Dongen 2000) of (q, h, weight) -> (gene, og), og the smallest gene of the cluster.
 
-    Self loops weigh a node's largest edge. Each round squares the column-stochastic matrix by a join on the middle node,
-    drops entries below ``floor`` and beyond the ``keep`` largest of a column, raises to ``inflation`` and renormalises, until no
-    entry moves by ``tolerance``. Entries are rounded, so that the order of sums doesn't matter. Clusters are what the limit connects.
+    Self loops weigh a node's largest edge. Each round squares the column-stochastic matrix, drops entries below ``floor`` and beyond the ``keep`` largest of a
+    column, raises to ``inflation`` and renormalises, until no entry moves by ``tolerance``. Clusters are what the limit connects. No flow
+    leaves a component, so components of up to ``DENSE`` genes are a matrix in one task each, and only larger ones are squared by joins.
     """
+    both = cut(symmetric_edges(edges))
+    parts = components(both.select(F.col("i").alias("q"), F.col("j").alias("h"))).withColumnRenamed("og", "part")
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    whole = cut(both.join(parts.join(sizes, "part"), F.col("j") == F.col("gene")).select("part", "n", "i", "j", "w"))
+    kind = dict(both.dtypes)["i"]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        return flow.clusters(pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["w"].to_numpy(), inflation, rounds, keep, floor, tolerance)
+
+    small = whole.where(F.col("n") <= DENSE).select("part", "i", "j", "w").groupBy("part").applyInPandas(one, f"gene {kind}, og {kind}")
+    large = whole.where(F.col("n") > DENSE).select("i", "j", "w")
+    if large.isEmpty():
+        return small
+    return small.unionByName(markov_by_joins(large, inflation, rounds, keep, floor, tolerance))
+
+
+def markov_by_joins(both: DataFrame, inflation: float, rounds: int, keep: int, floor: float, tolerance: float) -> DataFrame:
+    """``markov`` of symmetric (i, j, w) as a loop of joins on the middle node; entries are rounded, so that the order of sums doesn't matter."""
+
     def stochastic(m: DataFrame) -> DataFrame:
         return m.withColumn("w", F.round(F.col("w") / F.sum("w").over(Window.partitionBy("j")), 9))
 
-    e = edges.select(F.col("q").alias("j"), F.col("h").alias("i"), F.col("weight").cast("double").alias("w")).where("w > 0 and i is not null and j is not null").groupBy("i", "j").agg(F.max("w").alias("w"))
-    e = e.where("i <> j")
-    both = e.union(e.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("i", "j").agg(F.max("w").alias("w"))
     loops = both.groupBy("j").agg(F.max("w").alias("w")).select(F.col("j").alias("i"), "j", "w")
     m = cut(stochastic(both.union(loops)))
     for _ in range(rounds):
@@ -58,10 +99,3 @@ def markov(edges: DataFrame, inflation: float = 1.2, rounds: int = 30, keep: int
         if moved is None or moved < tolerance:
             break
     return components(m.where("w > 0.01").select(F.col("i").alias("q"), F.col("j").alias("h")))
-
-
-def number_groups(labels: DataFrame) -> DataFrame:
-    """(gene, og) with og counted from 0, largest group first, then smallest gene. One row a group meets in the ranking."""
-    sizes = labels.groupBy("og").agg(F.count(F.lit(1)).alias("n"), F.min("gene").alias("first"))
-    ranked = sizes.withColumn("number", F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1)
-    return labels.join(ranked.select("og", "number"), "og").select("gene", F.col("number").alias("og"))

@@ -80,7 +80,7 @@ def tree_nodes(trees: DataFrame) -> DataFrame:
 def reconciled(trees: DataFrame, species_tree: str, separator: str = "|") -> DataFrame:
     """(og, kind, node, level, support, genes_1, genes_2) of gene trees (og, newick) whose leaves are ``species<separator>gene``.
 
-    kind is ``ortholog`` (one gene each), ``duplication`` or ``hog`` (genes_1 alone).
+    kind is ``ortholog`` or ``suspect`` (one gene each), ``duplication``, ``hog`` or ``misplaced`` (genes_1 alone).
     """
 
     def run(batches):
@@ -93,7 +93,8 @@ def reconciled(trees: DataFrame, species_tree: str, separator: str = "|") -> Dat
                 if len(tree.leaves()) > 1:
                     tree = reconcile.root_on_species(tree, sp_tree, species)
                 found = reconcile.reconcile(tree, sp_tree, species)
-                rows += [(og, "ortholog", n, None, None, [a], [b]) for n, a, b in found["orthologs"]]
+                rows += [(og, "suspect" if odd else "ortholog", n, None, None, [a], [b]) for n, a, b, odd in found["orthologs"]]
+                rows += [(og, "misplaced", None, None, None, [g], None) for (g,) in found["misplaced"]]
                 rows += [(og, "duplication", n, level, s, a, b) for n, level, s, a, b in found["duplications"]]
                 rows += [(og, "hog", n, level, None, genes, None) for level, n, genes in found["hogs"]]
             yield pd.DataFrame(rows, columns=["og", "kind", "node", "level", "support", "genes_1", "genes_2"])

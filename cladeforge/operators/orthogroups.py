@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cladeforge.operators.ranking import with_rank
+
 #: Lower edges of the size histogram's bins.
 SIZE_EDGES = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 16, 21, 51, 101, 151, 201, 501, 1001]
 
@@ -16,7 +18,7 @@ def name(og: Column) -> Column:
 def renumber(members: DataFrame) -> DataFrame:
     """Group numbers by size, largest first, then smallest member."""
     sizes = members.groupBy("og").agg(F.count(F.lit(1)).alias("n"), F.min("gene").alias("first"))
-    ranked = sizes.withColumn("new", F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1)
+    ranked = with_rank(sizes, -F.col("n"), F.col("first"), name="new")
     return members.join(ranked.select("og", "new"), "og").drop("og").withColumnRenamed("new", "og").select("og", "sp", "gene")
 
 
@@ -64,7 +66,7 @@ def with_singletons(members: DataFrame, genes: DataFrame) -> DataFrame:
     """The groups and, as groups of one, genes that are in none; ids go on from the largest."""
     rest = genes.join(members.select("gene").distinct(), "gene", "left_anti").select("sp", "gene")
     last = members.agg(F.coalesce(F.max("og"), F.lit(-1)).alias("last"))
-    numbered = rest.withColumn("rn", F.row_number().over(Window.orderBy("gene"))).crossJoin(F.broadcast(last))  # one row
+    numbered = with_rank(rest, F.col("gene"), name="rn").withColumn("rn", F.col("rn") + 1).crossJoin(F.broadcast(last))  # one row
     return members.select("og", "sp", "gene").unionByName(numbered.select((F.col("last") + F.col("rn")).cast(members.schema["og"].dataType).alias("og"), "sp", "gene"))
 
 

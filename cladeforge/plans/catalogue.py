@@ -33,17 +33,17 @@ def ctes(*parts: str) -> str:
 # ---- gathering ----------------------------------------------------------------------------------------------------
 
 GENES, RAW = inputs.PART_GENES, inputs.PART_HITS
-BEST = "hits as (select q, h, max(score) as score from raw where score > 0 and q <> h group by q, h)"
-SCORED = "scored as (select q, h, a.sp as q_sp, b.sp as h_sp, a.len as lq, b.len as lh, score from hits join genes a on a.gene = q join genes b on b.gene = h)"
+BEST = "hits as materialized (select q, h, max(score) as score from raw where score > 0 and q <> h group by q, h)"
+SCORED = "scored as materialized (select q, h, a.sp as q_sp, b.sp as h_sp, a.len as lq, b.len as lh, score from hits join genes a on a.gene = q join genes b on b.gene = h)"
 BINS = """ranked as (select *, count(*) over (partition by q_sp, h_sp) as n, row_number() over (partition by q_sp, h_sp order by lq * lh, q, h) as rn from scored),
   binned as (select *, (rn - 1) // (case when n <= 1000 then 20 when n <= 5000 then 200 else 1000 end) as bin, n // (case when n <= 1000 then 20 when n <= 5000 then 200 else 1000 end) as bins from ranked),
   barred as (select *, quantile_cont(score, 0.95) over (partition by q_sp, h_sp, bin) as bar from binned where n < 100 or bin < bins),
   tops as (select * from barred where n < 100 or score >= bar)"""
 FIT = """fit as (select q_sp, h_sp, regr_slope(log10(score), log10(lq * lh)) as a, regr_intercept(log10(score), log10(lq * lh)) as b from tops group by q_sp, h_sp having count(*) > 1)"""
-NORM = "norm as (select s.q, s.h, s.q_sp, s.h_sp, s.score * pow(10, -b) * pow(lq, -a) * pow(lh, -a) as score from scored s join fit f on s.q_sp = f.q_sp and s.h_sp = f.h_sp)"
-NORM_LEN = "norm as (select q, h, q_sp, h_sp, score / sqrt(lq * lh) as score from scored)"
+NORM = "norm as materialized (select s.q, s.h, s.q_sp, s.h_sp, s.score * pow(10, -b) * pow(lq, -a) * pow(lh, -a) as score from scored s join fit f on s.q_sp = f.q_sp and s.h_sp = f.h_sp)"
+NORM_LEN = "norm as materialized (select q, h, q_sp, h_sp, score / sqrt(lq * lh) as score from scored)"
 BH = """marked as (select *, max(score) over (partition by q, h_sp) as best, max(case when q_sp <> h_sp then score end) over (partition by q) as away from norm),
-  bh as (select q, h, q_sp, h_sp, score from marked where score > (case when q_sp <> h_sp then best else coalesce(away, -1) end) - 1e-3)"""
+  bh as materialized (select q, h, q_sp, h_sp, score from marked where score > (case when q_sp <> h_sp then best else coalesce(away, -1) end) - 1e-3)"""
 RBH = "rbh as (select * from bh a where exists (select 1 from bh b where b.q = a.h and b.h = a.q))"
 CUT = """cut as (select m.q, coalesce(l.least, m.most + 1e-6) as cutoff from (select q, coalesce(max(case when q_sp <> h_sp then score end), 0) as most from norm group by q) m
   left join (select q, min(score) as least from rbh where q_sp <> h_sp group by q) l on l.q = m.q)"""
@@ -202,11 +202,19 @@ def graph_components(spark, sf_dir):
     return clustering.components(_near_edges(spark, sf_dir).select("q", "h"))
 
 
+@query("with recursive " + NEAR_GRAPH + " select distinct gene from (select q as gene from conn union all select h from conn)")
+def markov_members(spark, sf_dir):
+    """Flow clusters are a partition of the graph's genes: each is in one."""
+    found = markov_clusters(spark, sf_dir)
+    return found.groupBy("gene").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("gene")
+
+
+@query()
 def markov_clusters(spark, sf_dir):
     """Flow clusters of the near-duplicate graph; rows are a partition of its genes (tests hold it against numpy)."""
     scored = gathering.with_genes(_near(spark, sf_dir), inputs.document_genes(spark, sf_dir))
     edges = gathering.graph(gathering.connect(scored, gathering.cutoffs(scored, gathering.reciprocal(gathering.best_hits(scored)))), scored)
-    return clustering.number_groups(clustering.markov(edges))
+    return clustering.markov(edges)
 
 
 ASSIGN_SQL = """hits as (select l_orderkey as gene, l_partkey % 50 as og, l_suppkey % 7 as sp, l_extendedprice as evalue from lineitem)"""
@@ -535,17 +543,19 @@ def species_distances(spark, sf_dir):
     return genetrees.species_distances(closest).withColumn("d", F.round("d", 6))
 
 
-# The next three, and the alignments, are not registered yet: as whole queries they did not end in time (their kernels are tested on their own).
-
-
+@query()
 def distance_trees(spark, sf_dir):
     """Neighbour-joining trees of all groups (tests hold the kernel against additive matrices)."""
     return genetrees.distance_trees(_group_distances(spark, sf_dir))
 
 
-@query()
+@query(DENDRO + """, d as (select og, a, b, round(d, 9) as d from dist), names as (select og, a as x from d union select og, b from d), far as (select og, 1.1 * max(d) as far from d group by og),
+  ways as (select og, a as x, b as y, d from d union all select og, b, a, d from d),
+  cells as (select n.og, n.x, m.x as y, printf('%.6f', case when n.x = m.x then 0.0 else greatest(1e-6, coalesce(b.d, far)) end) as cell from names n join names m on n.og = m.og join far on far.og = n.og left join ways b on b.og = n.og and b.x = n.x and b.y = m.x),
+  lines as (select og, x, x::varchar || ' ' || string_agg(cell, ' ' order by y) as line from cells group by og, x)
+  select og, count(*)::varchar || chr(10) || string_agg(line, chr(10) order by x) as text from lines group by og""")
 def distance_matrices(spark, sf_dir):
-    return genetrees.phylip(_group_distances(spark, sf_dir))
+    return genetrees.phylip(_group_distances(spark, sf_dir).withColumn("d", F.round("d", 9)))
 
 
 def _named_trees(spark, sf_dir):
@@ -555,10 +565,18 @@ def _named_trees(spark, sf_dir):
     return genetrees.distance_trees(d.join(a, "a").join(b, "b").select("og", F.col("n_a").alias("a"), F.col("n_b").alias("b"), "d"))
 
 
+@query()
 def tree_rows(spark, sf_dir):
     return genetrees.tree_nodes(_named_trees(spark, sf_dir))
 
 
+@query(DENDRO + " select distinct og, replace(sp, '#', '_') || '|' || gene::varchar as name from (select og, a as gene from dist union select og, b from dist) join genes using (gene)")
+def distance_tree_leaves(spark, sf_dir):
+    """Leaves of the neighbour-joining trees: the genes of all groups of two or more."""
+    return tree_rows(spark, sf_dir).where("is_leaf").select(F.col("tree").alias("og"), "name")
+
+
+@query()
 def reconciled_trees(spark, sf_dir):
     """Orthologs, duplications and hierarchical groups of all trees, on a ladder of the brands."""
     names = [r[0] for r in inputs.table(spark, sf_dir, "part").select(F.translate("p_brand", "#", "_")).distinct().orderBy(F.lit(1)).collect()]  # 25 brands
@@ -568,6 +586,16 @@ def reconciled_trees(spark, sf_dir):
     return genetrees.reconciled(_named_trees(spark, sf_dir), ladder + ";")
 
 
+@query("select p_size as og, p_partkey as gene, upper(p_name) as residues from part where p_partkey is not null")
+def alignment_residues(spark, sf_dir):
+    """Alignments without their gaps are the sequences, and rows of a group are equally long."""
+    p = inputs.table(spark, sf_dir, "part").where("p_partkey is not null").select(F.col("p_size").alias("og"), F.col("p_partkey").alias("gene"), F.upper("p_name").alias("seq"))
+    aligned = genetrees.alignments(p)
+    widths = aligned.groupBy("og").agg(F.count_distinct(F.length("aligned")).alias("widths"))
+    return aligned.join(widths, "og").select("og", "gene", F.when(F.col("widths") == 1, F.replace("aligned", F.lit("-"), F.lit(""))).alias("residues"))
+
+
+@query()
 def group_alignments(spark, sf_dir):
     p = inputs.table(spark, sf_dir, "part").where("p_partkey is not null").select(F.col("p_size").alias("og"), F.col("p_partkey").alias("gene"), F.upper("p_name").alias("seq"))
     return genetrees.trimmed(genetrees.alignments(p))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeforge.operators import orthogroups
+from cladeforge.operators import orthogroups, results
+from cladeforge.operators.ranking import with_rank
 
 
 def write_groups(members: DataFrame, species: list, path: str) -> None:
@@ -18,12 +19,56 @@ def write_groups(members: DataFrame, species: list, path: str) -> None:
 
 
 def write_table(df: DataFrame, path: str, compress: bool = False) -> None:
-    row = F.concat_ws("\t", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns))
-    body = df.select(row.alias("value"), F.lit(1).alias("part"), F.monotonically_increasing_id().alias("at"))
-    head = df.sparkSession.createDataFrame([("\t".join(df.columns), 0, 0)], "value string, part int, at long")
-    # one file, as readers of these tables expect
-    writer = head.union(body).orderBy("part", "at").coalesce(1).select("value").write.option("lineSep", "\r\n")
-    (writer.option("compression", "gzip") if compress else writer).text(path)
+    """Tab-separated rows, lines ended with CRLF. Part files keep the order of ``df``; each has the header."""
+    cells = df.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns))
+    writer = cells.write.options(sep="\t", header=True, lineSep="\r\n", quote="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    (writer.option("compression", "gzip") if compress else writer).csv(path)
+
+
+def write_hogs(hogs: DataFrame, genes: DataFrame, species: list, path: str) -> None:
+    """(og, level, node, genes) as a table for each level, ``path``/level=N0 and so on: HOG, OG, Gene Tree Parent Clade, and a column of genes for each species.
+    Rows are numbered in their level by group and node. ``genes``: (gene, sp)."""
+    rows = results.numbered_hogs(hogs.select("og", "level", "node", "genes"))
+    cells = rows.select("level", "hog", "og", "node", F.explode("genes").alias("gene")).join(genes.select("gene", "sp"), "gene")
+    wide = cells.groupBy("level", "hog", "og", "node").pivot("sp", species).agg(F.array_join(F.array_sort(F.collect_list("gene")), ", ")).na.fill("")
+    line = F.concat_ws("\t", "hog", orthogroups.name(F.col("og")), F.coalesce("node", F.lit("-")), *(F.col(f"`{s}`") for s in species))
+    title = "\t".join(["HOG", "OG", "Gene Tree Parent Clade", *map(str, species)])
+    body = wide.select("level", F.lit(1).alias("part"), "hog", line.alias("value"))
+    head = wide.select("level").distinct().select("level", F.lit(0).alias("part"), F.lit("").alias("hog"), F.lit(title).alias("value"))
+    head.union(body).repartition("level").sortWithinPartitions("level", "part", "hog").select("level", "value").write.option("lineSep", "\r\n").partitionBy("level").text(path)
+
+
+def write_duplications(rows: DataFrame, path: str) -> None:
+    """``results.duplication_rows`` as one table, by group and node."""
+    out = rows.orderBy("og", "node").select(orthogroups.name(F.col("og")).alias("Orthogroup"), F.col("level").alias("Species Tree Node"), F.col("node").alias("Gene Tree Node"), F.col("support").alias("Support"), F.col("type").alias("Type"), F.col("genes_1").alias("Genes 1"), F.col("genes_2").alias("Genes 2"))
+    write_table(out, path)
+
+
+def write_statistics(totals: DataFrame, dups: DataFrame, species: list, path: str) -> None:
+    """Five matrices of ortholog totals, and duplications by species-tree node and by group."""
+    names = {"total": "Totals", "one_one": "one-to-one", "one_many": "one-to-many", "many_one": "many-to-one", "many_many": "many-to-many"}
+    for column, name in names.items():
+        write_table(results.square(totals, column, species).orderBy("sp_a").withColumnRenamed("sp_a", ""), f"{path}/OrthologuesStats_{name}.tsv")
+    columns = {"n": "Duplications (all)", "n_50": "Duplications (50% support)"}
+    write_table(results.duplications_per_level(dups).orderBy("level").withColumnsRenamed({"level": "Species Tree Node", **columns}), f"{path}/Duplications_per_Species_Tree_Node.tsv")
+    by_group = results.duplications_per_group(dups).orderBy("og").select(orthogroups.name(F.col("og")).alias("Orthogroup"), "n", "n_50")
+    write_table(by_group.withColumnsRenamed(columns), f"{path}/Duplications_per_Orthogroup.tsv")
+
+
+def write_clusters(members: DataFrame, path: str) -> None:
+    """(og, gene) as cluster records, ``<og> <ids> $``, in order of groups."""
+    members.groupBy("og").agg(F.array_join(F.array_sort(F.collect_list("gene")), " ").alias("ids")).orderBy("og").select(F.concat_ws(" ", F.col("og").cast("string"), "ids", F.lit("$")).alias("value")).write.text(path)
+
+
+def write_by_species(rows: DataFrame, path: str) -> None:
+    """(sp, gene), a folder for each species, genes in order: misplaced or unassigned genes."""
+    rows.repartition("sp").sortWithinPartitions("sp", "gene").select("sp", F.col("gene").cast("string").alias("value")).write.partitionBy("sp").text(path)
+
+
+def write_sorted(df: DataFrame, path: str, *order: str) -> None:
+    """A table in order of ``order``, with its rows numbered in a first column ``row``."""
+    ranked = with_rank(df, *map(F.col, order), name="row").orderBy("row")
+    write_table(ranked.select("row", *df.columns), path)
 
 
 def write_fasta(rows: DataFrame, path: str, by: str | None = "og", width: int = 80) -> None:

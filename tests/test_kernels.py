@@ -80,11 +80,52 @@ def test_reconciliation_of_a_duplication():
     got = reconcile.reconcile(t, sp, of)
     assert [(x[1], x[2]) for x in got["duplications"]] == [("N1", 1.0)]
     assert sorted((level, tuple(g)) for level, _, g in got["hogs"]) == [("N0", ("A|1", "A|2", "B|1", "B|2", "C|1")), ("N1", ("A|1", "B|1")), ("N1", ("A|2", "B|2"))]
-    pairs = {frozenset(x[1:]) for x in got["orthologs"]}
+    pairs = {frozenset(x[1:3]) for x in got["orthologs"]}
     assert frozenset(("A|1", "B|2")) not in pairs and frozenset(("A|1", "B|1")) in pairs and frozenset(("A|2", "C|1")) in pairs
     assert ("n0", "C", "A", 1, 2) in reconcile.multiplicities(got["orthologs"], of)
 
 
+def test_topological_distances():
+    far = reconcile.topological_distances(newick.parse("(((A,B),C),(D,E));"))
+    assert far["A"] == {"B": 0, "C": 1, "D": 2, "E": 2} and far["D"] == {"E": 0, "A": 1, "B": 1, "C": 1}
+
+
+def test_a_misplaced_gene_is_no_duplication():
+    """A|x sits among far species: the node above isn't a duplication, its orthologs there go, and those below are suspect."""
+    sp = reconcile.label(newick.parse("((((((A,B),C),D),E),F),(((((G,H),I),J),K),L));"))
+    of = lambda g: g.partition("|")[0]
+    t = newick.parse("((((((A|1,B|1),C|1),D|1),E|1),F|1),((((((G|1,A|x),H|1),I|1),J|1),K|1),L|1));")
+    got = reconcile.reconcile(t, sp, of)
+    assert got["duplications"] == [] and got["misplaced"] == [("A|x",)]
+    pairs = {frozenset(x[1:3]): x[3] for x in got["orthologs"]}
+    assert frozenset(("A|x", "B|1")) not in pairs and pairs[frozenset(("A|x", "G|1"))] and not pairs[frozenset(("A|1", "L|1"))]
+    assert all("A|x" not in genes for _, _, genes in got["hogs"])
+
+
+def test_attested_levels():
+    sp = reconcile.label(newick.parse("(((A,B),C),D);"))
+    at = {n.name: n for n in sp.preorder()}
+    assert reconcile.attested_level([at["N0"], at["N1"]]).name == "N1" and reconcile.attested_level([at["N2"], at["C"]]) is None
+    assert reconcile.attested_level([at["N0"], at["N1"], at["N2"]]).name == "N1"
+
+
+def test_hierarchical_groups_cover_skipped_levels_once():
+    """A tree of A and B alone gives the levels above their node as well, each once; a duplication below stops the levels at it."""
+    sp = reconcile.label(newick.parse("(((A,B),C),D);"))
+    of = lambda g: g.partition("|")[0]
+    hogs = reconcile.reconcile(newick.parse("(A|1,B|1);"), sp, of)["hogs"]
+    assert sorted((x[0], x[2]) for x in hogs) == [("N0", ["A|1", "B|1"]), ("N1", ["A|1", "B|1"]), ("N2", ["A|1", "B|1"])]
+    hogs = reconcile.reconcile(newick.parse("(((A|1,B|1),(A|2,B|2)),C|1);"), sp, of)["hogs"]
+    assert sorted((x[0], tuple(x[2])) for x in hogs) == [("N0", ("A|1", "A|2", "B|1", "B|2", "C|1")), ("N1", ("A|1", "A|2", "B|1", "B|2", "C|1")), ("N2", ("A|1", "B|1")), ("N2", ("A|2", "B|2"))]
+
+
+def test_root_separates_the_first_split():
+    sp = reconcile.label(newick.parse("((A,B),(C,D));"))
+    of = lambda g: g.partition("|")[0]
+    t = reconcile.root_on_species(newick.parse("(A|1:1,B|1:1,(C|1:1,D|1:1):1);"), sp, of)
+    assert sorted(sorted(c.names()) for c in t.children) == [["A|1", "B|1"], ["C|1", "D|1"]]
+
+
 @given(st.lists(st.text("ACDE", min_size=1, max_size=12), min_size=2, max_size=5))
 @settings(max_examples=50, deadline=None)
 def test_alignments_keep_sequences(seqs):

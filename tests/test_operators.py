@@ -52,3 +52,14 @@ def test_group_files(spark, tmp_path):
     assert read("Orthogroups.GeneCount.tsv") == "Orthogroup\ts1\ts2\tTotal\r\nOG0000000\t2\t1\t3\r\n"
     assert read("Orthogroups_UnassignedGenes.tsv") == "Orthogroup\ts1\ts2\r\nOG0000001\t\th2\r\n"
     assert "OG0000000: g1 g2 h1" in read("Orthogroups.txt")
+
+
+def test_flow_clusters_are_the_same_by_matrix_and_by_joins(spark, monkeypatch):
+    rng = __import__("random").Random(2)
+    edges = [(a, b, round(rng.uniform(0.5, 3), 3)) for k in range(4) for a in range(6 * k, 6 * k + 6) for b in range(a + 1, 6 * k + 6)]
+    edges += [(5, 6, 0.1), (11, 12, 0.1), (17, 18, 0.05), (30, 31, 1.0), (32, None, 1.0), (33, 33, 1.0)]
+    df = spark.createDataFrame(edges, "q long, h long, weight double")
+    dense = sorted(map(tuple, clustering.markov(df, inflation=2.0).collect()))
+    monkeypatch.setattr(clustering, "DENSE", 0)
+    joins = sorted(map(tuple, clustering.markov(df, inflation=2.0).collect()))
+    assert dense == joins and len({og for _, og in dense}) == 5
