@@ -255,3 +255,18 @@ def test_lm_tells_words_of_one_class_apart_by_context(spark):
     assert got[1] > got[2]
     # the same contexts, only the words scored are swapped
     assert net.log_prob(around, target, net.prior()) > net.log_prob(around, swapped, net.prior()) + 1
+
+
+@given(st.text(max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_any_text_decodes_to_itself_with_dropout(text):
+    path = spm.tokenizer_path()
+    enc = spm.encoder(path, 0.3, 5)
+    for t in (text, text + "\0﷐" + spm.SPACE, spm.SPACE + " " + text):
+        assert spm.decode(path, enc.encode(t, 3)) == t
+
+
+def test_an_occurrence_draws_its_own_skips():
+    path = spm.tokenizer_path()
+    enc = spm.Encoder(path, 0.3, 1)
+    assert len({tuple(enc.encode("international", k)) for k in range(300)}) > 20
