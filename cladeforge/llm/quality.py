@@ -80,12 +80,13 @@ def held_out(id_col: str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED, bits: int = BITS) -> np.ndarray | None:
     """Weights from labelled rows that aren't held out, ``max_labelled`` ids at most; None without any.
 
-    Conflicting labels of an id count as 1 where at least half of them are; null labels are left out.
+    Conflicting labels of an id count as 1 where at least half of them are; null labels are left out. Rows that repeat an id are examples each; other
+    columns are ignored.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     # only ids of documents count against the bound
-    here = docs.select(id_col).where(F.col(id_col).isNotNull()).distinct()
-    chosen = materialise(known.join(here, id_col).orderBy(F.xxhash64(F.col(id_col), F.lit(7)), id_col).limit(max_labelled), "labelled")
+    chosen = materialise(known.join(texts.select("id").distinct(), "id").orderBy(F.xxhash64("id", F.lit(7)), "id").limit(max_labelled), "labelled")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = Featuriser(bits)
@@ -93,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             got = [f.features(t) for t in batch["text"]]
             yield pd.DataFrame({"k": batch["k"], "y": batch["y"], "at": [a.astype(np.int32) for a, _ in got], "v": [v.astype(np.float32) for _, v in got]})
 
-    picked = bounded(docs).join(F.broadcast(chosen), id_col).select(F.xxhash64(F.col(id_col), F.lit(7)).alias("k"), "y", F.col(text_col).alias("text"))
+    picked = bounded(texts).join(F.broadcast(chosen), "id").select(F.xxhash64("id", F.lit(7)).alias("k"), "y", "text")
     found = materialise(picked.mapInPandas(run, "k long, y int, at array<int>, v array<float>"), "examples")
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

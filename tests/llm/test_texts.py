@@ -270,3 +270,36 @@ def test_an_occurrence_draws_its_own_skips():
     path = spm.tokenizer_path()
     enc = spm.Encoder(path, 0.3, 1)
     assert len({tuple(enc.encode("international", k)) for k in range(300)}) > 20
+
+
+def test_ftrl_equals_a_plain_version():
+    """One weight at a time, as in the paper."""
+    rng = np.random.default_rng(0)
+    examples = [(np.unique(rng.integers(0, 16, 5)), None, int(rng.random() < 0.5)) for _ in range(40)]
+    examples = [(at, rng.random(len(at)), y) for at, _, y in examples]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.2
+    z, n = [0.0] * 17, [0.0] * 17
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - l1 * np.sign(z[i])) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for turn in range(4):
+        for k in np.random.default_rng(turn).permutation(len(examples)):
+            at, v, y = examples[k]
+            rows = [*zip(at.tolist(), v.tolist(), strict=True), (16, 1.0)]
+            p = 1 / (1 + np.exp(-sum(weight(i) * x for i, x in rows)))
+            for i, x in rows:
+                g = (p - y) * x
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha
+                z[i] += g - sigma * weight(i)
+                n[i] += g * g
+    assert np.allclose(quality.fit(examples, bits=4), [weight(i) for i in range(17)], atol=1e-6)
+
+
+def test_quality_with_clashing_columns(spark):
+    d = docs(spark, [(k, f"some words of text {k}") for k in range(1, 40)]).selectExpr("doc_id", "text", "1 as y", "2 as k", "3 as id", "'a' as v")
+    y = spark.createDataFrame([(k, k % 2) for k in range(1, 40)], "doc_id long, quality int")
+    assert quality.train(d, y) is not None
+    assert quality.score(d, None).columns == [*d.columns, "score"]
