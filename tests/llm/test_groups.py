@@ -120,7 +120,10 @@ def brute_lines(rows, percent=90):
     for x, a in enumerate(keys):
         for b in keys[x + 1 :]:
             p, q = at[a], at[b]
-            if p == q or (100 * min(len(p), len(q)) >= percent * max(len(p), len(q)) and edit_distance(p, q) <= (100 - percent) * max(len(p), len(q)) // 100):
+            near = 100 * min(len(p), len(q)) >= percent * max(len(p), len(q))
+            if near and max(len(p), len(q)) > lines.LONG:
+                p, q = p.split(" "), q.split(" ")
+            if p == q or (near and edit_distance(p, q) <= (100 - percent) * max(len(p), len(q)) // 100):
                 links.append((a, b))
     first = components(keys, links)
     return {k for k in keys if first[k] != k}
@@ -134,6 +137,8 @@ def test_line_dedup_equals_brute_force(spark):
     base = words(60, "line")
     rows = [(1, "Top line here.\n" + " ".join(base) + "\nLast one 123"), (2, "last ONE 456!\n\n***\n" + " ".join(base[:30] + ["changed"] + base[31:])), (3, " ".join(base)), (4, "***\n\n***"), (5, None), (6, ""), (7, "own words only"), (8, "own words only\nown words only"), (9, " ".join(words(5000, "z")) + "\ntop line HERE")]
     rows += [(20 + k, " ".join(base[:k] + ["v%d" % k] + base[k + 1 :])) for k in range(12)]
+    long = words(150, "long line")
+    rows += [(40, " ".join(long)), (41, " ".join(long[:50] + ["q"] * 5 + long[58:])), (42, " ".join(w if k % 4 else "r%d" % k for k, w in enumerate(long)))]
     assert removed_lines(spark, rows) == brute_lines(rows)
     got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(frame(spark, rows)).collect()}
     assert got[5] is None and got[4] == "***\n\n***" and got[3] == "" and got[6] == "" and got[1].startswith("Top line here.")
