@@ -8,8 +8,8 @@ the same inputs give the same segmentation on every executor and every retry. Wi
 SentencePiece's own.
 
 Text is cut into units that no piece crosses (checked against the vocabulary at load). A draw says how many candidates
-pass until the next skip. What a unit becomes under given skips is fixed, so that is what is memoised: a tree of each
-unit, whose root is the undropped result and whose branches are skips; an occurrence walks down by its own draws.
+pass until the next skip. What a unit becomes without a skip is memoised, with the number of its candidates; occurrences
+that skip one are merged together, a matrix of units at a time (``agenda.Pairs``).
 A literal U+2581 in a text goes to bytes, so that decoding gives back every text exactly.
 """
 
@@ -23,24 +23,29 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeforge.llm.agenda import SPREAD_DRAW, WIDTHS, Pairs
 from cladeforge.llm.common import bounded, mix64
 
 SPACE = "▁"
-#: Longer units are not memoised.
-MEMO_CHARS = 48
+#: Longer units are not memoised, nor merged by matrices.
+MEMO_CHARS = WIDTHS[-1]
 #: Units up to this length keep their agenda in a list.
 SHORT_CHARS = 40
 NONE = float("-inf")
 M64 = (1 << 64) - 1
-#: Odd multipliers of places and of an occurrence's further draws.
-SPREAD_PLACE, SPREAD_DRAW = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
+#: Odd multiplier of places.
+SPREAD_PLACE = 0xD6E8FEB86659FD93
+#: Letters that are encoded together; a longer text is on its own.
+TOGETHER = 1 << 20
 
 
 class Vocabulary:
@@ -62,6 +67,7 @@ class Vocabulary:
         self.special = special - set(self.byte_ids)
         self.plain = np.ones(self.size, bool)
         self.plain[list(special)] = False
+        self.pairs = Pairs(self.scores)
         long = [p for p in self.ids if len(p) > 1]
         whole = any(re.search(f"[^{SPACE}]{SPACE}|\\n", p) for p in long)
         self.unit = re.compile("(?s).+" if whole else f"{SPACE}*[^{SPACE}\\n]+|{SPACE}+|\\n")
@@ -94,9 +100,12 @@ class Encoder:
         self.voc, self.seed, self.limit = vocabulary(path), seed & M64, memo
         self.bars = passes(dropout) if dropout > 0 else None
         self.steps = self.bars.tolist() if dropout > 0 else []
-        #: unit -> [candidates at the head after the last skip, ids, branches by the number of candidates that pass before the next]
-        self.memo: dict[str, list] = {}
-        self.held = 0
+        self.pairs = self.voc.pairs
+        piece = [self.voc.ids.get(s, -1) for s in self.pairs.symbols]
+        self.piece_ids, self.byte_ids = np.array([*piece, -1], np.int32), np.array(self.voc.byte_ids, np.int32)
+        #: unit -> its column of ``known``: where its ids start in ``flat``, how many they are, how many candidates came up.
+        self.memo: dict[str, int] = {}
+        self.flat, self.known = np.empty(0, np.int32), np.empty((3, 0), np.int64)
 
     def units(self, text: str) -> tuple[list[str], str]:
         """Units of the marked text, and the stand-in for a literal U+2581 (empty without one)."""
@@ -196,60 +205,88 @@ class Encoder:
             draw = mixed((draw + SPREAD_DRAW) & M64)
         return self.merge(unit, int.from_bytes(bits, "little"), mark)[0]
 
-    def node(self, unit: str, skips: int, base: int) -> list:
-        """A new node of the tree: after a skip of candidate base - 1, or the root."""
-        ids, seen = self.merge(unit, skips)
-        if self.held >= self.limit:
-            self.memo.clear()
-            self.held = 0
-        self.held += 1
-        return [seen - base, ids, None]
-
-    def walk(self, unit: str, node: list, gap: int, draw: int) -> tuple[int, ...]:
-        """Ids of an occurrence that skips a candidate of the root."""
-        skips = base = 0
-        while gap < node[0]:
-            base += gap + 1
-            skips |= 1 << (base - 1)
-            branches = node[2]
-            if branches is None:
-                branches = node[2] = {}
-            node = branches.get(gap)
-            if node is None:
-                node = branches[gap] = self.node(unit, skips, base)
-            draw = mixed((draw + SPREAD_DRAW) & M64)
-            gap = bisect_right(self.steps, draw)
-        return node[1]
+    def results(self, units: list[str], *skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all units one after another, how many each has, how many candidates came up in each); ``skips``: their gaps and draws."""
+        pairs, sizes, seen, parts = self.pairs, np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), []
+        for which, codes, symbols in pairs.matrices(units):
+            seen[which] = pairs.merge(symbols, *(s[which] for s in skips), *([self.bars] if skips else []))
+            row, column = np.nonzero((symbols >= 0) & (codes >= 0))
+            symbol = symbols[row, column]
+            ids, many = self.piece_ids[symbol], np.ones(len(symbol), np.int64)
+            odd = np.flatnonzero(ids < 0)
+            if len(odd):
+                raw = [chr(c).encode("utf-8", "surrogatepass") for c in codes[row[odd], column[odd]].tolist()]
+                many[odd] = [len(x) for x in raw]
+                ids = np.repeat(ids, many)
+                ids[ids < 0] = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+            sizes[which] = np.bincount(row, many, len(which)).astype(np.int64)
+            parts.append((which, ids))
+        start = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), np.int32)
+        for which, ids in parts:
+            out[spans(start[which], sizes[which])] = ids
+        return out, sizes, seen
+
+    def learn(self, units: list[str]) -> None:
+        """Memoise units without a skip."""
+        ids, sizes, seen = self.results(units)
+        old = len(self.memo)
+        self.memo.update(zip(units, range(old, old + len(units)), strict=True))
+        starts = len(self.flat) + np.cumsum(sizes) - sizes
+        self.flat = np.concatenate([self.flat, ids])
+        self.known = np.hstack([self.known, [starts, sizes, seen]])
+
+    def encode_many(self, texts: list[str | None], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, offsets of the texts); a null or empty text has none."""
+        if len(self.memo) >= self.limit:
+            self.memo, self.flat, self.known = {}, self.flat[:0], self.known[:, :0]
+        units: list[str] = []
+        ends, marked = [0], {}
+        for text in texts:
+            if text:
+                found, mark = self.units(text)
+                if mark:
+                    marked |= {len(units) + k: mark for k, u in enumerate(found) if mark in u}
+                units += found
+            ends.append(len(units))
+        n, edges = len(units), np.array(ends)
+        get = self.memo.get
+        at = np.array(list(map(get, units, repeat(-1))), np.int64)
+        at[list(marked)] = -2
+        new = [i for i in np.flatnonzero(at == -1).tolist() if len(units[i]) <= MEMO_CHARS]
+        if new:
+            self.learn(list(dict.fromkeys(units[i] for i in new)))
+            at[new] = [self.memo[units[i]] for i in new]
+        short = at >= 0
+        starts, sizes, seen = self.known[:, np.where(short, at, 0)] if self.known.size else np.zeros((3, n), np.int64)
+        sources = [self.flat]
+        draws = np.zeros(n, np.uint64)
+        if self.bars is not None:
+            first = np.array([xxhash.xxh64_intdigest(b"%d" % k, self.seed) for k in keys], np.uint64)
+            lengths = np.diff(edges)
+            draws = mix64((np.arange(n, dtype=np.uint64) + np.repeat(first - edges[:-1].astype(np.uint64), lengths)) * np.uint64(SPREAD_PLACE))
+            gaps = np.searchsorted(self.bars, draws, side="right")
+            drop = np.flatnonzero(short & (gaps < seen))
+            ids, sizes[drop], _ = self.results([units[i] for i in drop.tolist()], gaps[drop], draws[drop])
+            starts[drop] = len(self.flat) + np.cumsum(sizes[drop]) - sizes[drop]
+            sources.append(ids)
+        long = np.flatnonzero(~short).tolist()
+        if long:
+            found = [self.unmemoised(units[i], int(draws[i]), marked.get(i, "")) for i in long]
+            sizes[long] = [len(x) for x in found]
+            starts[long] = sum(map(len, sources)) + np.cumsum(sizes[long]) - sizes[long]
+            sources.append(np.fromiter((i for x in found for i in x), np.int32))
+        out = np.concatenate(sources)[spans(starts, sizes)]
+        return out, np.concatenate([[0], np.cumsum(sizes)])[edges]
 
     def encode(self, text: str | None, key: int = 0) -> list[int] | None:
         """Ids of a whole text; null stays null, an empty text has none. ``key`` names the document."""
-        if text is None:
-            return None
-        if not text:
-            return []
-        units, mark = self.units(text)
-        n = len(units)
-        if self.bars is None:
-            draws = gaps = [0] * n
-        else:
-            start = xxhash.xxh64_intdigest(b"%d" % key, self.seed)
-            places = (np.arange(n, dtype=np.uint64) + np.uint64(start)) * np.uint64(SPREAD_PLACE)
-            drawn = mix64(places)
-            draws, gaps = drawn.tolist(), np.searchsorted(self.bars, drawn, side="right").tolist()
-        out: list[int] = []
-        extend, memo, dropping = out.extend, self.memo, self.bars is not None
-        for unit, draw, gap in zip(units, draws, gaps, strict=True):
-            found = memo.get(unit)
-            if found is None:
-                if len(unit) > MEMO_CHARS or (mark and mark in unit):
-                    extend(self.unmemoised(unit, draw, mark))
-                    continue
-                found = memo[unit] = self.node(unit, 0, 0)
-            if dropping and gap < found[0]:
-                extend(self.walk(unit, found, gap, draw))
-            else:
-                extend(found[1])
-        return out
+        return None if text is None else self.encode_many([text], [key])[0].tolist()
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of every span, one span after another."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
 @lru_cache(maxsize=2)
@@ -303,11 +340,13 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary_path, dropout, seed)
         for batch in batches:
-            for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
-                keys = part.column(0).to_pylist()
+            size = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            cuts = [0, *np.flatnonzero(np.diff(size // TOGETHER)) + 1, batch.num_rows]
+            for part in (batch.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)):
                 with uncollected():
-                    out = [enc.encode(t, k or 0) for k, t in zip(keys, part.column(1).to_pylist(), strict=True)]
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(out, pa.list_(pa.int32()))], names=["id", "text", "ids"])
+                    ids, offsets = enc.encode_many(part.column(1).to_pylist(), [k or 0 for k in part.column(0).to_pylist()])
+                out = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()), mask=part.column(1).is_null())
+                yield pa.record_batch([part.column(0), part.column(1), out], names=["id", "text", "ids"])
 
     return bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, text string, ids array<int>")
 

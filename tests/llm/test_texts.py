@@ -7,6 +7,7 @@ from base64 import b32encode
 import numpy as np
 import pytest
 import sentencepiece
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -303,3 +304,18 @@ def test_quality_with_clashing_columns(spark):
     y = spark.createDataFrame([(k, k % 2) for k in range(1, 40)], "doc_id long, quality int")
     assert quality.train(d, y) is not None
     assert quality.score(d, None).columns == [*d.columns, "score"]
+
+
+@given(st.lists(st.text(alphabet="abcinot é日▁\n", max_size=40), max_size=6), st.sampled_from([0.0, 0.1, 0.5, 1.0]))
+@settings(max_examples=80, deadline=None)
+def test_matrices_equal_the_agenda_of_one_unit(texts, rate):
+    """Ids of many texts at once are those of the agenda of every unit alone under the same draws."""
+    enc = spm.Encoder(VOC, rate, 9)
+    flat, ends = enc.encode_many(texts, list(range(len(texts))))
+    for k, text in enumerate(texts):
+        units, mark = enc.units(text) if text else ([], "")
+        want = []
+        for place, unit in enumerate(units):
+            start = (place + xxhash.xxh64_intdigest(b"%d" % k, 9)) * spm.SPREAD_PLACE & spm.M64
+            want += enc.unmemoised(unit, spm.mixed(start), mark) if rate else enc.merge(unit, 0, mark)[0]
+        assert flat[ends[k] : ends[k + 1]].tolist() == want
