@@ -26,6 +26,10 @@ VOCAB, HIDDEN, CLASSES = 4096, 16, 64
 MEMBERS = VOCAB // CLASSES
 AROUND = (-2, -1, 1, 2)
 BATCH = 4096
+#: Logits are held within this of 0, so that no sum of their powers overflows or vanishes in float32.
+FAR = 80
+#: Words that are scored together.
+TOGETHER = 1 << 15
 #: Floats of the network in one row on the way to the sum.
 BLOCK = 4096
 
@@ -57,18 +61,35 @@ class Network:
             hidden += self.table[k][around[k]]
         np.tanh(hidden, out=hidden)
         logits = hidden @ self.w2 + self.b2
-        logits -= logits.max(axis=1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        np.clip(logits, -FAR, FAR, out=logits)
+        logits -= np.log(np.exp(logits) @ np.ones((CLASSES, 1), np.float32))
         return hidden, logits
 
-    def log_prob(self, around: list[np.ndarray], target: np.ndarray, prior: np.ndarray) -> float:
-        """Sum of log P(class) and log P(member of its class)."""
+    def within(self, hidden: np.ndarray, target: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray]:
+        """Words in order of class: (that order, each class's range in it, hidden, logits of the class's members)."""
+        group = target % CLASSES
+        order = np.argsort(group, kind="stable")
+        ends = np.cumsum(np.bincount(group, minlength=CLASSES)).tolist()
+        ranges = list(zip([0, *ends[:-1]], ends, strict=True))
+        h, logits = hidden[order], prior[group[order]]
+        for c, (lo, hi) in enumerate(ranges):
+            if lo < hi:
+                logits[lo:hi] += h[lo:hi] @ self.w3[c]
+        np.clip(logits, -FAR, FAR, out=logits)
+        return order, ranges, h, logits
+
+    def word_log_probs(self, around: list[np.ndarray], target: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        """log P(class) + log P(member of its class) of every word."""
         hidden, logp = self.forward(around)
-        at, group = np.arange(len(target)), target % CLASSES
-        within = np.matmul(hidden[:, None, :], self.w3[group])[:, 0] + prior[group]
-        within -= within.max(axis=1, keepdims=True)
-        own = within[at, target // CLASSES] - np.log(np.exp(within).sum(axis=1))
-        return float(logp[at, group].sum(dtype=np.float64) + own.sum(dtype=np.float64))
+        at = np.arange(len(target))
+        order, _, _, logits = self.within(hidden, target, prior)
+        own = np.empty(len(target), np.float32)
+        own[order] = logits[at, target[order] // CLASSES] - np.log(np.exp(logits) @ np.ones(MEMBERS, np.float32))
+        return own + logp[at, target % CLASSES]
+
+    def log_prob(self, around: list[np.ndarray], target: np.ndarray, prior: np.ndarray) -> float:
+        """Their sum."""
+        return float(self.word_log_probs(around, target, prior).sum(dtype=np.float64))
 
 
 class Trainer:
@@ -85,25 +106,28 @@ class Trainer:
         out /= len(target)
         back = out @ net.w2.T
         w3 = np.zeros_like(net.w3)
-        prior, order = net.prior(), np.argsort(target % CLASSES, kind="stable")
-        ends = np.cumsum(np.bincount(target % CLASSES, minlength=CLASSES))
-        for c, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+        order, ranges, h, inner = net.within(hidden, target, net.prior())
+        np.exp(inner, out=inner)
+        inner /= inner @ np.ones((MEMBERS, 1), np.float32)
+        inner[np.arange(len(target)), target[order] // CLASSES] -= 1
+        inner /= len(target)
+        inside = np.empty_like(h)
+        for c, (lo, hi) in enumerate(ranges):
             if lo < hi:
-                rows = order[lo:hi]
-                h = hidden[rows]
-                inner = h @ net.w3[c] + prior[c]
-                inner = np.exp(inner - inner.max(axis=1, keepdims=True))
-                inner /= inner.sum(axis=1, keepdims=True)
-                inner[np.arange(hi - lo), target[rows] // CLASSES] -= 1
-                inner /= len(target)
-                w3[c] = h.T @ inner
-                back[rows] += inner @ net.w3[c].T
+                w3[c] = h[lo:hi].T @ inner[lo:hi]
+                inside[lo:hi] = inner[lo:hi] @ net.w3[c].T
+        back[order] += inside
         back *= 1 - hidden * hidden
-        table = np.empty_like(net.table)
         columns = np.arange(HIDDEN)
-        for k, ids in enumerate(around):
-            table[k] = np.bincount((ids[:, None] * HIDDEN + columns).ravel(), back.ravel(), (VOCAB + 1) * HIDDEN).reshape(-1, HIDDEN)
-        for p, s, g in zip((net.table, net.b1, net.w2, net.b2, net.w3), self.squares, (table, back.sum(axis=0), hidden.T @ out, out.sum(axis=0), w3), strict=True):
+        for k, ids in enumerate(around):  # only rows that occur have a gradient
+            occurs = np.bincount(ids, minlength=VOCAB + 1) > 0
+            rows = np.flatnonzero(occurs)
+            place = (np.cumsum(occurs) - 1)[ids]
+            g = np.bincount((place[:, None] * HIDDEN + columns).ravel(), back.ravel(), len(rows) * HIDDEN).reshape(-1, HIDDEN).astype(np.float32)
+            squares = self.squares[0][k, rows] + g * g
+            self.squares[0][k, rows] = squares
+            net.table[k, rows] -= self.rate * g / np.sqrt(squares)
+        for p, s, g in zip((net.b1, net.w2, net.b2, net.w3), self.squares[1:], (back.sum(axis=0), hidden.T @ out, out.sum(axis=0), w3), strict=True):
             s += g * g
             p -= self.rate * g / np.sqrt(s)
 
@@ -167,7 +191,7 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
     """(id, n_tokens, log_prob, mean_log_prob), one row per input row.
 
     A text without words (null, empty, spaces) has n_tokens 0, log_prob 0 and a null mean. Repeated rows get equal
-    scores; other columns are ignored. Without a network every class is as likely as any other.
+    scores but for the rounding of float32 sums; other columns are ignored. Without a network every class is as likely as any other.
     """
     net = net or Network(np.zeros(sum(int(np.prod(s)) for s in Network.shapes), np.float32))
     shared = docs.sparkSession.sparkContext.broadcast((net.flat, net.counts))  # a megabyte
@@ -175,17 +199,25 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, net = WordHashes(21), Network(*shared.value)
         prior = net.prior()
+
+        def totals(texts: list[np.ndarray]) -> list[float]:
+            """Sums of texts that are scored together."""
+            around, target = positions(texts)
+            got = [net.word_log_probs([a[i : i + TOGETHER] for a in around], target[i : i + TOGETHER], prior) for i in range(0, len(target), TOGETHER)]
+            owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+            return np.bincount(owner, np.concatenate([*got, np.empty(0, np.float32)]), len(texts)).tolist()
+
         for batch in batches:
-            sums, sizes = [], []
+            sums, sizes, held, size = [], [], [], 0
             for text in batch["text"]:
                 ids = buckets(text, hashes)
-                total = 0.0
-                if len(ids):
-                    around, target = positions([ids])
-                    for i in range(0, len(target), BATCH):
-                        total += net.log_prob([a[i : i + BATCH] for a in around], target[i : i + BATCH], prior)
-                sums.append(total)
+                held.append(ids)
                 sizes.append(len(ids))
+                size += len(ids)
+                if size >= TOGETHER:
+                    sums += totals(held)
+                    held, size = [], 0
+            sums += totals(held)
             mean = [s / n if n else None for s, n in zip(sums, sizes, strict=True)]
             yield pd.DataFrame({"id": batch["id"].array, "n_tokens": sizes, "log_prob": sums, "mean_log_prob": pd.array(mean, "Float64")})
 
