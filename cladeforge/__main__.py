@@ -1,4 +1,4 @@
-"""Orthogroups of a folder of sequence files: ``python -m cladeforge FASTA_FOLDER OUTPUT [-I inflation] [--components] [-s TREE]``."""
+"""Orthogroups of a folder of sequence files: ``python -m cladeforge FASTA_FOLDER OUTPUT [-I inflation] [--components] [-s TREE [--unrooted]]``."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from cladeforge.operators import clustering, gathering, genetrees, orthogroups,
 from cladeforge.sources import sequences, sinks
 
 
-def run(spark: SparkSession, folder: str, output: str, k: int = 5, least: float = 0.1, inflation: float = 1.2, components: bool = False, scores_v2: bool = False, species_tree: str | None = None):
+def run(spark: SparkSession, folder: str, output: str, k: int = 5, least: float = 0.1, inflation: float = 1.2, components: bool = False, scores_v2: bool = False, species_tree: str | None = None, unrooted: bool = False):
     """Read, join by k-mers, gather, cluster, write; with a rooted species tree (Newick) also trees and what they give. Returns (og, sp, gene)."""
     seqs = clustering.cut(sequences.read_fasta(spark, folder))
     genes = seqs.select("accession", F.col("species").alias("sp"), "len", F.concat("species_id", F.lit("_"), "seq_idx").alias("gene"), "residues")
@@ -28,16 +28,20 @@ def run(spark: SparkSession, folder: str, output: str, k: int = 5, least: float
     if species_tree is not None:
         named = genes.select("gene", "sp", F.concat_ws("|", "sp", "accession").alias("name"))
         scored = (gathering.normalise_by_length if scores_v2 else gathering.normalise_by_fit)(gathering.with_genes(gathering.best_per_pair(hits), genes))
-        write_orthologs(grouped, scored, named, species, species_tree, output)
+        write_orthologs(grouped, scored, named, species, species_tree, output, unrooted)
     return members
 
 
-def write_orthologs(grouped: DataFrame, scored: DataFrame, named: DataFrame, species: list, species_tree: str, output: str) -> None:
+def write_orthologs(grouped: DataFrame, scored: DataFrame, named: DataFrame, species: list, species_tree: str, output: str, unrooted: bool = False) -> None:
     """Gene trees from hits, reconciled with a rooted species tree (Newick): ortholog pairs, duplications, hierarchical groups and their statistics.
-    ``named``: (gene, sp, name), name being ``species|accession``."""
+    ``named``: (gene, sp, name), name being ``species|accession``. With ``unrooted`` the species tree's root is chosen by supported duplications."""
     d = genetrees.group_distances(grouped, scored)
     a, b = (named.select(F.col("gene").alias(c), F.col("name").alias(f"n_{c}")) for c in "ab")
     trees = clustering.cut(genetrees.distance_trees(d.join(a, "a").join(b, "b").select("og", F.col("n_a").alias("a"), F.col("n_b").alias("b"), "d")))
+    if unrooted:
+        species_tree, support, probable = genetrees.species_tree_root(genetrees.supported_duplications(trees, species_tree), species_tree)
+        rows = [(", ".join(sorted(r)), p, species_tree, support) for r, p in probable.items()]
+        named.sparkSession.createDataFrame(rows, "outgroup string, probability double, species_tree string, support long").coalesce(1).write.json(f"{output}/Species_Tree")  # a row a branch
     rows = clustering.cut(genetrees.reconciled(trees, species_tree))
     trees.select("og", "newick").write.parquet(f"{output}/Gene_Trees")
     genes = named.select(F.col("name").alias("gene"), "sp")
@@ -64,10 +68,11 @@ def main() -> None:
     p.add_argument("--components", action="store_true", help="connected components in place of flow clusters")
     p.add_argument("--scores-v2", action="store_true", help="normalise by length alone")
     p.add_argument("-s", "--species-tree", help="file with the rooted species tree (Newick); gene trees are made and reconciled with it")
+    p.add_argument("--unrooted", action="store_true", help="choose the species tree's root by supported duplications")
     a = p.parse_args()
     spark = SparkSession.builder.getOrCreate()
     tree = None if a.species_tree is None else "".join(r[0] for r in spark.read.text(a.species_tree).collect())  # one tree
-    run(spark, a.folder, a.output, a.k, a.least, a.inflation, a.components, a.scores_v2, tree)
+    run(spark, a.folder, a.output, a.k, a.least, a.inflation, a.components, a.scores_v2, tree, a.unrooted)
 
 
 if __name__ == "__main__":

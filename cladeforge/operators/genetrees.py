@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeforge.functions import align, newick, reconcile
+from cladeforge.functions import align, newick, reconcile, rooting
 
 
 def group_similarity(members: DataFrame, scored: DataFrame) -> DataFrame:
@@ -102,6 +102,41 @@ def reconciled(trees: DataFrame, species_tree: str, separator: str = "|") -> Dat
     return trees.mapInPandas(run, f"og {dict(trees.dtypes)['og']}, kind string, node string, level string, support double, genes_1 array<string>, genes_2 array<string>")
 
 
+def supported_duplications(trees: DataFrame, species_tree: str, separator: str = "|", most: int = 2000) -> DataFrame:
+    """(og, species, genes) of the duplications that gene trees (og, newick) support on a species tree whose root is not known.
+
+    ``species`` is the sorted clade, ``genes`` those after the duplication (null within one species; a side of more than ``most`` is told by
+    one name). Null or unreadable trees give nothing, and so do trees of under three species.
+    """
+
+    def run(batches):
+        tree = newick.parse(species_tree)
+        known, expected = frozenset(tree.names()), rooting.clades(tree)
+        for batch in batches:
+            rows = []
+            for og, text in zip(batch["og"], batch["newick"], strict=True):
+                try:
+                    gene_tree = newick.parse(text or "")
+                except ValueError:
+                    continue
+                found = rooting.supported_duplications(gene_tree, lambda gene: gene.partition(separator)[0], known, expected, most)
+                rows += [(og, sorted(clade), None if genes is None else sorted(genes)) for clade, genes in found]
+            yield pd.DataFrame(rows, columns=["og", "species", "genes"])
+
+    return trees.mapInPandas(run, f"og {dict(trees.dtypes)['og']}, species array<string>, genes array<string>")
+
+
+def species_tree_root(duplications: DataFrame, species_tree: str) -> tuple[str, int, dict[frozenset, float]]:
+    """(rooted Newick, duplications that don't contradict it, probability of each root) from ``supported_duplications``. What comes to the driver is
+    one count a clade of the species tree."""
+    counted = duplications.groupBy("species").agg(F.count(F.lit(1)).alias("n")).collect()
+    observed = {frozenset(r["species"]): r["n"] for r in counted}
+    tree = newick.parse(species_tree)
+    roots, support = rooting.best_roots(tree, observed)
+    probable = rooting.root_probabilities(tree, observed) if len(tree.leaves()) > 2 else {}
+    return newick.write(rooting.rooted_at(tree, roots[0]) if roots else tree), support, probable
+
+
 def alignments(members: DataFrame) -> DataFrame:
     """(og, gene, aligned) of (og, gene, seq), centre-star; rows of a group are equally long."""
 

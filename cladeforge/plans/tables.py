@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cladeforge.operators import identifiers, results, trees
+from cladeforge.operators import genetrees, identifiers, results, trees
 from cladeforge.plans import inputs
 from cladeforge.plans.catalogue import ORACLE, QUERIES, TREE, _heap, query  # noqa: F401
 
@@ -167,6 +167,37 @@ def parsimony_roots(spark, sf_dir):
     return results.parsimony_roots(clades, observed)
 
 
+SIX = "((A:1,B:1):1,((C:1,D:1):1,(E:1,F:1):1):1);"
+#: Gene trees by order key modulo 6 (their genes are numbered by the key), and the clade whose duplication each supports.
+SHAPES = {
+    0: ("(A|1-%,B|1-%,(((C|1-%,D|1-%),(E|1-%,F|1-%)),((C|2-%,D|2-%),(E|2-%,F|2-%))));", "CDEF"),
+    1: ("(A|1-%,B|1-%,(((C|1-%,D|1-%),(E|1-%,F|1-%)),((C|2-%,E|2-%),(D|2-%,F|2-%))));", ""),
+    2: ("((A|1-%,A|2-%),B|1-%,C|1-%);", "A"),
+    3: ("((C|1-%,D|1-%),(E|1-%,F|1-%),((A|1-%,B|1-%),((C|2-%,D|2-%),(E|2-%,F|2-%))));", "CDEF"),
+    4: ("((A|1-%,B|1-%),((((A|2-%,B|2-%),(E|1-%,F|1-%)),((A|3-%,B|3-%),(E|2-%,F|2-%))),(C|1-%,D|1-%)),(C|2-%,D|2-%));", "ABEF"),
+    5: ("(A|1-%,B|1-%,(((C|1-%,D|1-%),(E|1-%,F|1-%)),(C|2-%,D|2-%)));", ""),
+}
+
+
+def _shaped_trees(spark, sf_dir):
+    o = inputs.table(spark, sf_dir, "orders").where("o_orderkey is not null")
+    text = F.coalesce(*(F.when(F.col("o_orderkey") % 6 == k, F.lit(t)) for k, (t, _) in SHAPES.items()))
+    return o.select(F.col("o_orderkey").alias("og"), F.replace(text, F.lit("%"), F.col("o_orderkey").cast("string")).alias("newick"))
+
+
+@query("with shapes(k, clade, n_genes) as (values " + ", ".join(f"({k}, '{c}', {2 * len(c) if len(c) > 1 else 'null'})" for k, (_, c) in SHAPES.items() if c) + ") select o_orderkey as og, clade, n_genes::bigint as n_genes from orders join shapes on k = o_orderkey % 6")
+def supported_duplications(spark, sf_dir):
+    found = genetrees.supported_duplications(_shaped_trees(spark, sf_dir), SIX)
+    return found.select("og", F.array_join("species", "").alias("clade"), F.when(F.col("genes").isNotNull(), F.size("genes")).cast("long").alias("n_genes"))
+
+
+@query()
+def root_probabilities(spark, sf_dir):
+    """Probability of each branch of the species tree to hold its root (tests hold the kernel against numeric integrals)."""
+    _, _, probable = genetrees.species_tree_root(genetrees.supported_duplications(_shaped_trees(spark, sf_dir), SIX), SIX)
+    return spark.createDataFrame([("".join(sorted(r)), round(p, 9)) for r, p in sorted(probable.items(), key=lambda x: sorted(x[0]))], "clade string, probability double")  # a row a branch
+
+
 # ---- identifiers --------------------------------------------------------------------------------------------------
 
 

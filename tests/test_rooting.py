@@ -98,3 +98,18 @@ def test_orientations_of_a_branch_against_sums():
     assert np.exp(root) == pytest.approx((pois(m, one) * pois(n, two)).mean(), rel=1e-5)
     assert np.exp(x) == pytest.approx(pois(m, true) * pois(n, alpha * true)) and np.exp(y) == pytest.approx(pois(m, alpha * true) * pois(n, true))
     assert all(np.isfinite(v) for a, b in combinations((0, 1, 5), 2) for v in rooting.log_orientations(a, b, alpha))
+
+
+def test_a_table_of_gene_trees_roots_the_species_tree(spark):
+    from cladeforge.operators import genetrees
+
+    one = "(A|1,B|1,(((C|1,D|1),(E|1,F|1)),((C|2,D|2),(E|2,F|2))));"
+    trees = spark.createDataFrame([(1, one), (2, one), (3, None), (4, "(A|1,B|1"), (5, "(A|1,B|1);")], "og long, newick string")
+    dups = genetrees.supported_duplications(trees, TREE)
+    assert sorted(r["og"] for r in dups.collect()) == [1, 2]
+    rooted, support, probable = genetrees.species_tree_root(dups, "(C:1,D:1,((E:1,F:1):1,(A:1,B:1):1):1);")
+    sides = {frozenset(c.names()) for c in parse(rooted).children}
+    assert support == 2 and not any(s & frozenset("CDEF") and s - frozenset("CDEF") and (SPECIES - s) & frozenset("CDEF") for s in sides)
+    assert sum(probable.values()) == pytest.approx(1)
+    rooted, support, _ = genetrees.species_tree_root(dups.where("og > 2"), TREE)
+    assert support == 0 and set(parse(rooted).names()) == SPECIES
