@@ -116,8 +116,10 @@ def supported_duplications(trees: DataFrame, species_tree: str, separator: str =
             rows = []
             for og, text in zip(batch["og"], batch["newick"], strict=True):
                 try:
-                    gene_tree = newick.parse(text or "")
-                except ValueError:
+                    gene_tree = newick.parse(text) if text else None
+                except (ValueError, AttributeError):
+                    gene_tree = None
+                if gene_tree is None:
                     continue
                 found = rooting.supported_duplications(gene_tree, lambda gene: gene.partition(separator)[0], known, expected, most)
                 rows += [(og, sorted(clade), None if genes is None else sorted(genes)) for clade, genes in found]
