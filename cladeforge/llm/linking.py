@@ -191,7 +191,8 @@ def link(
                 picks = materialise(picks.select("fam", *(F.col(f"h.{c}").alias(f"h_{c}") for c in ["id", *sketch])), "picks")
                 met = rows.where("outside").join(picks, "fam").where(possible("", "h_"))
                 settle(met.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct())
-            settle(related(delta(unsettled(labels.of(families), ["label"], "fam").drop("outside"), body()), percent))
+            if bodies:  # else no member is near to a hub, and there is no family
+                settle(related(delta(unsettled(labels.of(families), ["label"], "fam").drop("outside"), body()), percent))
             discard(near)
         else:
             settle(star.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct())

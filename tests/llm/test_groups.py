@@ -172,3 +172,14 @@ def test_line_dedup_columns_null_ids_and_empty_table(spark):
     clash = docs.withColumnsRenamed({"rep": "cf_doc", "label": "cf_gone", "key": "doc"})
     assert lines.dedup_lines(clash).columns == [*clash.columns, "n_lines", "n_removed"]
     assert isinstance(lines.dedup_lines(docs).schema["n_removed"].dataType, T.LongType)
+
+
+def test_buckets_without_a_possible_pair(spark):
+    """Members that share keys, of which the sketch lets no pair through: nothing is fetched, verified or related, and nobody is linked."""
+
+    def never(*_):
+        raise AssertionError("called without a pair")
+
+    members = spark.createDataFrame([(k, [1, 2, k], 7) for k in range(3, 9)], "id long, keys array<long>, n int")
+    got = linking.link(members, ["n"], lambda a, b: "false", never, never, never, 80)
+    assert got.columns == ["id", "label"] and got.count() == 0
