@@ -37,6 +37,19 @@ def test_sequences_to_orthologs(spark, tmp_path):
     assert pairs.where("sp_a = 'Aa' and sp_b = 'Dd'").count() == 6 and pairs.count() == 6 * 12
 
 
+def test_an_unrooted_species_tree_gets_a_root(spark, tmp_path):
+    rng = random.Random(5)
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    base = ["".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(200)) for _ in range(3)]
+    for sp in ("Aa", "Bb", "Cc", "Dd"):
+        (folder / f"{sp}.fa").write_text("".join(f">g{sp}{f}\n{mutated(rng, x, 0.03)}\n" for f, x in enumerate(base)))
+    command.run(spark, str(folder), out, k=3, components=True, scores_v2=True, species_tree="(Aa:1,Bb:1,(Cc:1,Dd:1):1);", unrooted=True)
+    rows = spark.read.json(f"{out}/Species_Tree").collect()
+    assert len(rows) == 5 and abs(sum(r["probability"] for r in rows) - 1) < 1e-9 and len({r["species_tree"] for r in rows}) == 1
+    assert spark.read.text(f"{out}/Orthologues").where("sp_a = 'Aa' and sp_b = 'Dd'").count() == 3
+
+
 def test_clusters_and_groups_read_what_is_written(spark, tmp_path):
     rows = spark.createDataFrame([(0, "Aa", "a"), (0, "Bb", "b"), (1, "Aa", "c")], "og int, sp string, gene string")
     sinks.write_clusters(rows, str(tmp_path / "clusters"))
