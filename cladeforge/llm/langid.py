@@ -33,66 +33,82 @@ WINDOW = 4096
 
 
 class Pieces:
-    """The vocabulary as bytes, its prefixes, and the byte pieces."""
+    """The vocabulary as a trie over bytes in sorted arrays, and the byte pieces."""
 
     def __init__(self, names: list[str]):
         byte = {f"<0x{b:02X}>": b for b in range(256)}
-        self.size = len(names)
-        self.bytes = [0] * 256
-        self.ids: dict[bytes, int] = {}
+        self.size, self.longest = len(names), 1
+        self.bytes = np.zeros(256, np.int64)
+        child: dict[int, int] = {}
+        piece = [-1]
         for k, name in enumerate(names):
+            raw = name.encode()
             if name in byte:
                 self.bytes[byte[name]] = k
-            elif not (name.startswith("<") and name.endswith(">") and len(name) > 2):
-                self.ids[name.encode()] = k
-        self.longest = max(map(len, self.ids))
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+            elif not (name.startswith("<") and name.endswith(">") and len(name) > 2) and b"\n" not in raw:
+                self.longest = max(self.longest, len(raw))
+                state = 0
+                for b in raw:
+                    state = child.setdefault(state << 8 | b, len(piece))
+                    if state == len(piece):
+                        piece.append(-1)
+                piece[state] = k
+        #: state and byte -> next state; state -> piece that ends there.
+        self.keys = np.array(sorted(child), np.int64)
+        self.next = np.array([child[k] for k in sorted(child)], np.int64)
+        self.piece = np.array(piece, np.int64)
 
     @staticmethod
     def names(path: str) -> list[str]:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return [model.id_to_piece(k) for k in range(model.get_piece_size())]
 
-    def edges(self, word: bytes, at: int = 0, upto: int | None = None) -> Iterator[tuple[int, int, int]]:
-        """(from, to, piece) of all pieces in ``word`` that begin in [at, upto)."""
-        ids, prefixes = self.ids, self.prefixes
-        for i in range(at, len(word) if upto is None else upto):
-            if word[i] & 0xC0 == 0x80:
-                continue
-            size = 1 if word[i] < 0x80 else 2 if word[i] < 0xE0 else 3 if word[i] < 0xF0 else 4
-            if word[i : i + size] not in ids:
-                for j in range(i, min(i + size, len(word))):
-                    yield j, j + 1, self.bytes[word[j]]
-            for j in range(i + size, min(len(word), i + self.longest) + 1):
-                part = word[i:j]
-                if part in ids:
-                    yield i, j, ids[part]
-                if part not in prefixes:
-                    break
+    def edges(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(from, to, piece) of all pieces in bytes, none over a line end: all characters walk the trie at once. The bytes of
+        characters that aren't pieces are edges of their own."""
+        begin = np.flatnonzero((data & 0xC0 != 0x80) & (data != 10))
+        lead = data[begin]
+        size = 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
+        found, whole = [], np.zeros(len(begin), bool)
+        walker, state, depth = np.arange(len(begin)), np.zeros(len(begin), np.int64), 0
+        while len(walker):
+            at = begin[walker] + depth
+            inside = at < len(data)
+            walker, state, at = walker[inside], state[inside], at[inside]
+            key = state << 8 | data[at]
+            where = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = self.keys[where] == key
+            walker, state, depth = walker[known], self.next[where[known]], depth + 1
+            hit = self.piece[state] >= 0
+            found.append((begin[walker[hit]], begin[walker[hit]] + depth, self.piece[state[hit]]))
+            whole[walker[hit]] |= size[walker[hit]] == depth
+        for k in range(4):
+            at = begin[~whole & (size > k)] + k
+            at = at[at < len(data)]
+            at = at[data[at] != 10]
+            found.append((at, at + 1, self.bytes[data[at]]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def lattice(pieces: Pieces, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Edges of all words over one row of nodes: (first node, last node, of each word; from, to, end place, piece of each edge)."""
-    got, first, last, base = [], [], [], 0
-    for w in words:
-        got += [(base + i, base + j, j, k) for i, j, k in pieces.edges(w)]
-        first.append(base)
-        base += len(w) + 1
-        last.append(base - 1)
-    e = np.array(got, np.int64).reshape(-1, 4)
-    return np.array(first), np.array(last), e[:, 0], e[:, 1], e[:, 2], e[:, 3]
+    """(first node, last node) of each word and (from, to, word, piece) of each edge; a node is a place in the joined words."""
+    data = np.frombuffer(b"\n".join(words) + b"\n", np.uint8)
+    last = np.cumsum([len(w) + 1 for w in words]) - 1
+    first = np.concatenate([[0], last[:-1] + 1])
+    at, to, piece = pieces.edges(data)
+    return first, last, at, to, np.searchsorted(last, at), piece
 
 
 def sweep(at: np.ndarray, to: np.ndarray, place: np.ndarray, weight: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
     """Log sums of all paths from ``begin`` to each node; places are walked in order, all words at once."""
     value = np.full((n, weight.shape[1]), -np.inf)
     value[begin] = 0
-    order = np.lexsort((to, place))
+    order = np.argsort(place * n + to, kind="stable")
     at, to, weight = at[order], to[order], weight[order]
     cuts = np.flatnonzero(np.diff(place[order], prepend=-1))
     for lo, hi in zip(cuts, [*cuts[1:], len(at)], strict=True):
-        nodes, starts = np.unique(to[lo:hi], return_index=True)
-        value[nodes] = np.logaddexp.reduceat(value[at[lo:hi]] + weight[lo:hi], starts, axis=0)
+        starts = np.flatnonzero(np.diff(to[lo:hi], prepend=-1))
+        value[to[lo:hi][starts]] = np.logaddexp.reduceat(value[at[lo:hi]] + weight[lo:hi], starts, axis=0)
     return value
 
 
@@ -109,8 +125,8 @@ def word_scores(pieces: Pieces, words: list[bytes], logp: np.ndarray, most: int
             out[lo], hi = long_score(pieces, words[lo], logp), lo + 1
         else:
             hi = next((k for k in range(lo, hi) if len(words[k]) > WINDOW), hi)
-            first, last, at, to, place, piece = lattice(pieces, words[lo:hi])
-            out[lo:hi] = sweep(at, to, place, logp[piece], first, int(last[-1]) + 1)[last]
+            first, last, at, to, word, piece = lattice(pieces, words[lo:hi])
+            out[lo:hi] = sweep(at, to, to - first[word], logp[piece], first, int(last[-1]) + 1)[last]
         lo = hi
     return out
 
@@ -122,7 +138,8 @@ def long_score(pieces: Pieces, word: bytes, logp: np.ndarray, block: int = WINDO
     carried, base = np.full((1, logp.shape[1]), 0.0), 0  # values of the places [base, done]
     for done in range(0, len(word), block):
         upto = min(len(word), done + block)
-        edges = np.array([e for e in pieces.edges(word, max(done - keep, 0) if done else 0, upto) if done < e[1] <= upto and e[0] >= base], np.int64).reshape(-1, 3)
+        edges = np.stack(pieces.edges(np.frombuffer(word, np.uint8, min(len(word), upto + keep) - base, base)), axis=1) + [base, base, 0]
+        edges = edges[(edges[:, 1] > done) & (edges[:, 1] <= upto)]
         value = np.full((upto - base + 1, logp.shape[1]), -np.inf)
         value[: len(carried)] = carried
         order = np.lexsort((edges[:, 0], edges[:, 1]))
@@ -154,11 +171,10 @@ def expected(pieces: Pieces, words: list[bytes], counts: np.ndarray, logp: np.nd
     for block in np.unique(ends):
         lo, hi = np.searchsorted(ends, [block, block + 1])
         some, n = words[lo:hi], counts[lo:hi]
-        first, last, at, to, place, piece = lattice(pieces, some)
+        first, last, at, to, word, piece = lattice(pieces, some)
         weight = logp[piece][:, None]
-        ahead = sweep(at, to, place, weight, first, int(last[-1]) + 1)
-        word = np.searchsorted(last, at)
-        back = sweep(to, at, np.asarray([len(w) for w in some])[word] - (at - first[word]), weight, last, int(last[-1]) + 1)
+        ahead = sweep(at, to, to - first[word], weight, first, int(last[-1]) + 1)
+        back = sweep(to, at, last[word] - at, weight, last, int(last[-1]) + 1)
         share = np.exp(ahead[at, 0] + weight[:, 0] + back[to, 0] - ahead[last[word], 0])
         np.add.at(total, piece, np.rint(share * n[word] * PART).astype(np.int64))
     return total
