@@ -38,21 +38,24 @@ def write_orthologs(grouped: DataFrame, scored: DataFrame, named: DataFrame, spe
     d = genetrees.group_distances(grouped, scored)
     a, b = (named.select(F.col("gene").alias(c), F.col("name").alias(f"n_{c}")) for c in "ab")
     trees = clustering.cut(genetrees.distance_trees(d.join(a, "a").join(b, "b").select("og", F.col("n_a").alias("a"), F.col("n_b").alias("b"), "d")))
+    confirmed = named.select(F.array("name").alias("genes")).where("false")
     if unrooted:
-        species_tree, support, probable = genetrees.species_tree_root(genetrees.supported_duplications(trees, species_tree), species_tree)
+        supported = clustering.cut(genetrees.supported_duplications(trees, species_tree))
+        confirmed = supported.where("genes is not null").select("genes")
+        species_tree, support, probable = genetrees.species_tree_root(supported, species_tree)
         rows = [(", ".join(sorted(r)), p, species_tree, support) for r, p in probable.items()]
         named.sparkSession.createDataFrame(rows, "outgroup string, probability double, species_tree string, support long").coalesce(1).write.json(f"{output}/Species_Tree")  # a row a branch
-    rows = clustering.cut(genetrees.reconciled(trees, species_tree))
+    rows = clustering.cut(genetrees.reconciled(trees, species_tree, rearrange_trees=rearrange))
+    genetrees.rearranged(trees, species_tree).write.parquet(f"{output}/Resolved_Gene_Trees")
     trees.select("og", "newick").write.parquet(f"{output}/Gene_Trees")
     genes = named.select(F.col("name").alias("gene"), "sp")
-    pairs = rows.where("kind = 'ortholog'").select("og", "node", F.col("genes_1")[0].alias("a"), F.col("genes_2")[0].alias("b"))
-    ends = pairs.select("og", "node", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("gene")), F.struct(F.lit(1).alias("side"), F.col("b").alias("gene")))).alias("e")).select("og", "node", "e.*").distinct()
-    orthologs = clustering.cut(results.ortholog_rows(ends.join(genes, "gene").select("og", "node", "side", "sp", "gene")))
+    sides = clustering.cut(genetrees.ortholog_sides(rows, genes))
+    orthologs = clustering.cut(results.ortholog_rows(sides.where("not suspect")))
     one_way = orthologs.where("sp_a < sp_b").select("og", "sp_a", F.split("genes_a", ", ").alias("genes_a"), "sp_b", F.split("genes_b", ", ").alias("genes_b"))
     sinks.write_orthologs(one_way, f"{output}/Orthologues")
     dups = rows.where("kind = 'duplication'").select("og", "level", "node", "support", "genes_1", "genes_2")
-    none = dups.select(F.col("genes_1").alias("genes")).where("false")
-    sinks.write_duplications(results.duplication_rows(dups, none), f"{output}/Duplications.tsv")
+    sinks.write_duplications(results.duplication_rows(dups, confirmed), f"{output}/Duplications.tsv")
+    sinks.write_table(results.suspect_rows(sides), f"{output}/Putative_Xenologs")
     sinks.write_statistics(results.multiplicity_totals(orthologs), dups, species, f"{output}/Comparative_Genomics_Statistics")
     sinks.write_hogs(rows.where("kind = 'hog'").select("og", "level", "node", F.col("genes_1").alias("genes")), genes, species, f"{output}/Phylogenetic_Hierarchical_Orthogroups")
     sinks.write_by_species(rows.where("kind = 'misplaced'").select(F.col("genes_1")[0].alias("gene")).join(genes, "gene"), f"{output}/Misplaced_Genes")

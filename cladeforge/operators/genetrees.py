@@ -1,5 +1,7 @@
-"""Per-group kernels as grouped maps: alignments, distance trees, reconciliation. A group is one task's row group; groups are
-orthogroups, whose sizes are checked by ``largest`` before the cubic ones run."""
+"""Per-group kernels: alignments, distance trees, rearrangement, reconciliation. A group, or a tree of one row, is worked on in one task.
+
+Null texts and texts that aren't Newick are set aside by every operator here alike; ``unreadable`` lists them.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeforge.functions import align, newick, reconcile, rooting
+from cladeforge.functions import align, newick, rearrange, reconcile, rooting
 
 
 def group_similarity(members: DataFrame, scored: DataFrame) -> DataFrame:
@@ -66,47 +68,116 @@ def distance_trees(distances: DataFrame) -> DataFrame:
     return distances.groupBy("og").applyInPandas(one, f"og {dict(distances.dtypes)['og']}, newick string")
 
 
+def read_tree(text: str | None) -> tuple[newick.Node | None, str]:
+    """(tree, '') or (None, what is wrong)."""
+    if not text:
+        return None, "no tree"
+    try:
+        return newick.parse(text), ""
+    except (ValueError, AttributeError) as e:
+        return None, str(e) if isinstance(e, ValueError) else "unbalanced brackets"
+
+
+def unreadable(trees: DataFrame) -> DataFrame:
+    """(og, problem) of trees (og, newick) that can't be read."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(og, read_tree(text)[1]) for og, text in zip(batch["og"], batch["newick"], strict=True)]
+            yield pd.DataFrame([r for r in rows if r[1]], columns=["og", "problem"])
+
+    return trees.select("og", "newick").mapInPandas(run, f"og {dict(trees.dtypes)['og']}, problem string")
+
+
 def tree_nodes(trees: DataFrame) -> DataFrame:
     """(tree, node, parent, name, dist, support, pre, post, depth, is_leaf) of Newick texts (og, newick)."""
 
     def run(batches):
         for batch in batches:
-            rows = [r for og, text in zip(batch["og"], batch["newick"], strict=True) for r in newick.rows(newick.parse(text), og)]
+            read = [(og, read_tree(text)[0]) for og, text in zip(batch["og"], batch["newick"], strict=True)]
+            rows = [r for og, tree in read if tree is not None for r in newick.rows(tree, og)]
             yield pd.DataFrame(rows, columns=["tree", "node", "parent", "name", "dist", "support", "pre", "post", "depth", "is_leaf"]).astype({"parent": "Int64"})
 
-    return trees.mapInPandas(run, f"tree {dict(trees.dtypes)['og']}, node long, parent long, name string, dist double, support double, pre long, post long, depth long, is_leaf boolean")
+    return trees.select("og", "newick").mapInPandas(run, f"tree {dict(trees.dtypes)['og']}, node long, parent long, name string, dist double, support double, pre long, post long, depth long, is_leaf boolean")
 
 
-def reconciled(trees: DataFrame, species_tree: str, separator: str = "|") -> DataFrame:
-    """(og, kind, node, level, support, genes_1, genes_2) of gene trees (og, newick) whose leaves are ``species<separator>gene``.
+def rearranged(trees: DataFrame, species_tree: str | None = None, separator: str = "|", events: bool = False) -> DataFrame:
+    """(og, newick, n_moves) of rooted gene trees (og, newick) whose leaves are ``species<separator>gene``, rearranged where sisters share species.
 
-    kind is ``ortholog`` or ``suspect`` (one gene each), ``duplication``, ``hog`` or ``misplaced`` (genes_1 alone).
+    With a rooted species tree, gene trees are rooted on its first split before. ``events``: inner nodes are named D or S by whether children share a species.
     """
 
     def run(batches):
         species = lambda gene: gene.partition(separator)[0]
+        guide = newick.parse(species_tree) if species_tree else None
         for batch in batches:
             rows = []
             for og, text in zip(batch["og"], batch["newick"], strict=True):
-                sp_tree = reconcile.label(newick.parse(species_tree))
-                tree = newick.parse(text)
-                if len(tree.leaves()) > 1:
-                    tree = reconcile.root_on_species(tree, sp_tree, species)
-                found = reconcile.reconcile(tree, sp_tree, species)
-                rows += [(og, "suspect" if odd else "ortholog", n, None, None, [a], [b]) for n, a, b, odd in found["orthologs"]]
-                rows += [(og, "misplaced", None, None, None, [g], None) for (g,) in found["misplaced"]]
-                rows += [(og, "duplication", n, level, s, a, b) for n, level, s, a, b in found["duplications"]]
-                rows += [(og, "hog", n, level, None, genes, None) for level, n, genes in found["hogs"]]
+                tree, _ = read_tree(text)
+                if tree is None:
+                    continue
+                if guide is not None and len(tree.leaves()) > 1:
+                    tree = reconcile.root_on_species(tree, guide, species)
+                tree, moves = rearrange.rearrange(tree, species)
+                rows.append((og, newick.write(rearrange.overlap_labels(tree, species) if events else tree, "name" if events else "support"), moves))
+            yield pd.DataFrame(rows, columns=["og", "newick", "n_moves"])
+
+    return trees.select("og", "newick").mapInPandas(run, f"og {dict(trees.dtypes)['og']}, newick string, n_moves long")
+
+
+def reconciled(trees: DataFrame, species_tree: str, separator: str = "|", rearrange_trees: bool = True) -> DataFrame:
+    """(og, kind, node, level, support, genes_1, genes_2) of gene trees (og, newick) whose leaves are ``species<separator>gene``.
+
+    Trees are rooted on the species tree's first split, rearranged (unless ``rearrange_trees`` is false) and reconciled. ``ortholog`` rows
+    hold the genes on two sides of a node: every pair across them of different species is one of orthologs; a tree's rows so grow with its genes times its
+    depth, not with its pairs. ``suspect_1``, ``suspect_2`` and ``suspect_both`` have misplaced genes on that side. ``duplication`` has the genes after it, ``hog`` and ``misplaced`` have
+    genes_1 alone. A tree that can't be read, or has a species that the species tree lacks, is one row ``unreadable`` with the reason as its node.
+    """
+
+    def one(og, text, guide, known, far, species) -> list[tuple]:
+        tree, problem = read_tree(text)
+        if tree is not None and (unknown := sorted({species(g) for g in tree.names()} - known)):
+            tree, problem = None, f"unknown species {unknown[0]}"
+        if tree is None:
+            return [(og, "unreadable", problem, None, None, None, None)]
+        if len(tree.leaves()) > 1:
+            tree = reconcile.root_on_species(tree, guide, species)
+        if rearrange_trees:
+            tree, _ = rearrange.rearrange(tree, species)
+        found = reconcile.reconcile(tree, guide, species, far=far)
+        rows = []
+        for n, a, b, odd in found["sides"]:
+            odd = set(odd)
+            (odd_a, fit_a), (odd_b, fit_b) = (([g for g in side if g in odd], [g for g in side if g not in odd]) for side in (a, b))
+            rows += [(og, kind, n, None, None, x, y) for kind, x, y in (("ortholog", fit_a, fit_b), ("suspect_1", odd_a, fit_b), ("suspect_2", fit_a, odd_b), ("suspect_both", odd_a, odd_b)) if x and y]
+        rows += [(og, "misplaced", None, None, None, [g], None) for (g,) in found["misplaced"]]
+        rows += [(og, "duplication", n, level, s, x, y) for n, level, s, x, y in found["duplications"]]
+        return rows + [(og, "hog", n, level, None, genes, None) for level, n, genes in found["hogs"]]
+
+    def run(batches):
+        species = lambda gene: gene.partition(separator)[0]
+        guide = reconcile.label(newick.parse(species_tree))
+        known, far = set(guide.names()), reconcile.topological_distances(guide)
+        for batch in batches:
+            rows = [r for og, text in zip(batch["og"], batch["newick"], strict=True) for r in one(og, text, guide, known, far, species)]
             yield pd.DataFrame(rows, columns=["og", "kind", "node", "level", "support", "genes_1", "genes_2"])
 
-    return trees.mapInPandas(run, f"og {dict(trees.dtypes)['og']}, kind string, node string, level string, support double, genes_1 array<string>, genes_2 array<string>")
+    return trees.select("og", "newick").mapInPandas(run, f"og {dict(trees.dtypes)['og']}, kind string, node string, level string, support double, genes_1 array<string>, genes_2 array<string>")
+
+
+def ortholog_sides(rows: DataFrame, genes: DataFrame) -> DataFrame:
+    """(og, node, side, sp, gene, suspect) of ``reconciled`` rows, for ``results``. ``genes``: gene, sp."""
+    both = rows.where("kind = 'ortholog' or kind like 'suspect%'").select("og", "node", "kind", "genes_1", "genes_2")
+    side = lambda k: F.struct(F.lit(k).alias("side"), F.col(f"genes_{k + 1}").alias("genes"), F.col("kind").isin(f"suspect_{k + 1}", "suspect_both").alias("suspect"))
+    each = both.select("og", "node", F.inline(F.array(side(0), side(1)))).select("og", "node", "side", "suspect", F.explode("genes").alias("gene")).distinct()
+    return each.join(genes.select("gene", "sp"), "gene").select("og", "node", "side", "sp", "gene", "suspect")
 
 
 def supported_duplications(trees: DataFrame, species_tree: str, separator: str = "|", most: int = 2000) -> DataFrame:
     """(og, species, genes) of the duplications that gene trees (og, newick) support on a species tree whose root is not known.
 
     ``species`` is the sorted clade, ``genes`` those after the duplication (null within one species; a side of more than ``most`` is told by
-    one name). Null or unreadable trees give nothing, and so do trees of under three species.
+    one name). Trees of under three species give nothing.
     """
 
     def run(batches):
@@ -115,10 +186,7 @@ def supported_duplications(trees: DataFrame, species_tree: str, separator: str =
         for batch in batches:
             rows = []
             for og, text in zip(batch["og"], batch["newick"], strict=True):
-                try:
-                    gene_tree = newick.parse(text) if text else None
-                except (ValueError, AttributeError):
-                    gene_tree = None
+                gene_tree, _ = read_tree(text)
                 if gene_tree is None:
                     continue
                 found = rooting.supported_duplications(gene_tree, lambda gene: gene.partition(separator)[0], known, expected, most)
@@ -168,8 +236,3 @@ def concatenated(aligned: DataFrame, genes: DataFrame) -> DataFrame:
     grid = width.join(genes.select("sp").distinct()).join(single.where("n = 1").select("og", "sp", "aligned"), ["og", "sp"], "left")  # groups by species, as the result
     cells = grid.withColumn("cell", F.coalesce(F.translate("aligned", "*", "-"), F.repeat(F.lit("-"), F.col("width"))))
     return cells.groupBy("sp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("og", "cell"))), lambda x: x["cell"]), "").alias("row"))
-
-
-def largest(members: DataFrame) -> int:
-    """Genes of the largest group."""
-    return members.groupBy("og").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]

@@ -33,6 +33,15 @@ def leaves_below(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     return paths.join(leaf, (paths["tree"] == leaf["tree"]) & (paths["node"] == leaf["leaf"])).select(paths["tree"], F.col("ancestor").alias("node"), "leaf", "steps", "dist")
 
 
+def clades(nodes: DataFrame) -> DataFrame:
+    """(tree, node, parent, dist, leaves): sorted names of the leaves at or below each node of ``genetrees.tree_nodes``. Leaves are found by their place in
+    preorder: those at a node's are the next ones of its subtree, whose size is what postorder has before it less what preorder has, plus the depth."""
+    span = nodes.select("tree", "node", "parent", "dist", "pre", (F.col("post") + F.col("depth")).alias("last"))
+    leaf = nodes.where("is_leaf").select("tree", "name", F.col("pre").alias("at"))
+    inside = span.join(leaf, "tree").where("at between pre and last")
+    return inside.groupBy("tree", "node", "parent", "dist").agg(F.array_sort(F.collect_list("name")).alias("leaves"))
+
+
 def depths(paths: DataFrame) -> DataFrame:
     """(tree, node, depth, height): edges and length to the root."""
     return paths.groupBy("tree", "node").agg(F.max("steps").alias("depth"), F.max_by("dist", "steps").alias("height"))

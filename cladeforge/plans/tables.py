@@ -313,3 +313,49 @@ def mended_branches(spark, sf_dir):
 @query(TREE + ", m as (select tree, node, min(sp) as sp from below group by tree, node having min(sp) = max(sp)) select m.tree, m.node, m.sp from m join nodes n on n.node = m.node left join m u on u.node = n.parent where u.node is null")
 def tree_single_species_clades(spark, sf_dir):
     return trees.single_species_clades(*_heap(spark, sf_dir))
+
+
+# ---- rearrangement ------------------------------------------------------------------------------------------------
+
+#: Orders of four lines as gene trees (t, (l1, (l2, (l3, l4)))): a line's species is its supplier modulo 4, t is none of them; branches are as long as the line's number says.
+QUARTETS = """lines as (select l_orderkey as og, l_linenumber as k, (l_suppkey % 4)::varchar as s, (l_suppkey % 4)::varchar || '|' || l_linenumber::varchar as g from lineitem),
+  q as (select og, max(s) filter (k = 1) as s1, max(s) filter (k = 2) as s2, max(s) filter (k = 3) as s3, max(s) filter (k = 4) as s4, max(g) filter (k = 1) as g1, max(g) filter (k = 2) as g2, max(g) filter (k = 3) as g3, max(g) filter (k = 4) as g4
+    from lines group by og having count(*) = 4 and count(distinct k) = 4 and max(k) = 4)"""
+
+
+def _quartets(spark, sf_dir):
+    li = inputs.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("og"), F.col("l_linenumber").alias("k"), (F.col("l_suppkey") % 4).cast("string").alias("s"))
+    name = lambda k: F.max(F.when(F.col("k") == k, F.concat("s", F.lit("|"), F.col("k").cast("string")))).alias(f"g{k}")
+    four = li.groupBy("og").agg(*map(name, (1, 2, 3, 4)), F.count(F.lit(1)).alias("n"), F.count_distinct("k").alias("d"), F.max("k").alias("last")).where("n = 4 and d = 4 and last = 4")
+    return four.select("og", F.format_string("(t|0:1,(%s:1,(%s:2,(%s:3,%s:4):5):6):7);", "g1", "g2", "g3", "g4").alias("newick"))
+
+
+@query(f"""with {QUARTETS},
+  -- the pair (l3, l4) has two species, l2 one of them: l2 joins that leaf v (other leaf u), or waits where l1 has u's species and not l2's
+  w as (select *, case when s2 = s3 then g3 else g4 end as v, case when s2 = s3 then g4 else g3 end as u, case when s2 = s3 then s4 else s3 end as su, case when s2 = s3 then 3 else 4 end as dv, case when s2 = s3 then 4 else 3 end as du from q),
+  kind as (select *, case when s3 <> s4 and s2 in (s3, s4) then case when s1 = su then 'up' when s1 = s2 then 'both' else 'leaf' end
+    when s3 = s4 then case when s1 = s2 and s2 <> s3 then 'side' when s1 = s3 and s2 <> s3 then 'pair' else 'none' end
+    else case when s1 = s2 then 'side' when s1 = s3 then 'three' when s1 = s4 then 'four' else 'none' end end as kind from w),
+  rows as (
+    select og, [g1] as x, case kind when 'up' then 0.9 else 1 end as d from kind
+    union all select og, [g2], case kind when 'side' then 1.8 else 2 end from kind
+    union all select og, [g3], case when kind in ('leaf', 'both') and v = g3 or kind = 'three' then 2.7 else 3 end from kind
+    union all select og, [g4], case when kind in ('leaf', 'both') and v = g4 or kind = 'four' then 3.6 else 4 end from kind
+    union all select og, ['t|0'], 1 from kind
+    union all select og, [g3, g4], case kind when 'pair' then 4.5 else 5 end from kind where kind in ('none', 'up', 'side', 'pair')
+    union all select og, [g2, g3, g4], 6 from kind where kind = 'none'
+    union all select og, [g1, g2, g3, g4], 7 from kind where kind in ('none', 'up')
+    union all select og, [g1, g2], case kind when 'up' then 0.1 else 0.2 end from kind where kind in ('up', 'side')
+    union all select og, [g1, g2, g3, g4], 6 from kind where kind in ('side', 'pair', 'three', 'four')
+    union all select og, [g1, g3, g4], 0.5 from kind where kind = 'pair'
+    union all select og, [g1, g3], 0.3 from kind where kind = 'three' union all select og, [g1, g3, g4], 5 from kind where kind in ('three', 'four') union all select og, [g1, g4], 0.4 from kind where kind = 'four'
+    union all select og, [g1, g2, g3, g4], 5 from kind where kind = 'both'
+    union all select og, [g2, v], case kind when 'both' then 0.9 else 1 end * 0.1 * dv from kind where kind in ('leaf', 'both')
+    union all select og, [g1, g2, v], 0.01 * dv from kind where kind = 'both'
+    union all select og, [g2, g3, g4], 5 from kind where kind = 'leaf'
+    union all select og, [g1, g2, g3, g4], 7 from kind where kind = 'leaf')
+  select og, array_to_string(list_sort(x), ' ') as clade, round(d, 6)::double as dist from rows""")
+def rearranged_trees(spark, sf_dir):
+    """Rearranged gene trees of four lines: each branch's leaves and length."""
+    nodes = genetrees.tree_nodes(genetrees.rearranged(_quartets(spark, sf_dir)))
+    return trees.clades(nodes).where("parent is not null").select(F.col("tree").alias("og"), F.array_join("leaves", " ").alias("clade"), F.round("dist", 6).alias("dist"))

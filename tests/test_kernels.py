@@ -80,9 +80,9 @@ def test_reconciliation_of_a_duplication():
     got = reconcile.reconcile(t, sp, of)
     assert [(x[1], x[2]) for x in got["duplications"]] == [("N1", 1.0)]
     assert sorted((level, tuple(g)) for level, _, g in got["hogs"]) == [("N0", ("A|1", "A|2", "B|1", "B|2", "C|1")), ("N1", ("A|1", "B|1")), ("N1", ("A|2", "B|2"))]
-    pairs = {frozenset(x[1:3]) for x in got["orthologs"]}
+    pairs = {frozenset(x[1:3]) for x in reconcile.ortholog_pairs(got["sides"], of)}
     assert frozenset(("A|1", "B|2")) not in pairs and frozenset(("A|1", "B|1")) in pairs and frozenset(("A|2", "C|1")) in pairs
-    assert ("n0", "C", "A", 1, 2) in reconcile.multiplicities(got["orthologs"], of)
+    assert ("n0", "C", "A", 1, 2) in reconcile.multiplicities(reconcile.ortholog_pairs(got["sides"], of), of)
 
 
 def test_topological_distances():
@@ -97,7 +97,7 @@ def test_a_misplaced_gene_is_no_duplication():
     t = newick.parse("((((((A|1,B|1),C|1),D|1),E|1),F|1),((((((G|1,A|x),H|1),I|1),J|1),K|1),L|1));")
     got = reconcile.reconcile(t, sp, of)
     assert got["duplications"] == [] and got["misplaced"] == [("A|x",)]
-    pairs = {frozenset(x[1:3]): x[3] for x in got["orthologs"]}
+    pairs = {frozenset(x[1:3]): x[3] for x in reconcile.ortholog_pairs(got["sides"], of)}
     assert frozenset(("A|x", "B|1")) not in pairs and pairs[frozenset(("A|x", "G|1"))] and not pairs[frozenset(("A|1", "L|1"))]
     assert all("A|x" not in genes for _, _, genes in got["hogs"])
 
