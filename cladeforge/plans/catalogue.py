@@ -44,7 +44,7 @@ NORM = "norm as materialized (select s.q, s.h, s.q_sp, s.h_sp, s.score * pow(10,
 NORM_LEN = "norm as materialized (select q, h, q_sp, h_sp, score / sqrt(lq * lh) as score from scored)"
 BH = """marked as (select *, max(score) over (partition by q, h_sp) as best, max(case when q_sp <> h_sp then score end) over (partition by q) as away from norm),
   bh as materialized (select q, h, q_sp, h_sp, score from marked where score > (case when q_sp <> h_sp then best else coalesce(away, -1) end) - 1e-3)"""
-RBH = "rbh as (select * from bh a where exists (select 1 from bh b where b.q = a.h and b.h = a.q))"
+RBH = "rbh as materialized (select a.* from bh a semi join bh b on b.q = a.h and b.h = a.q)"
 CUT = """cut as (select m.q, coalesce(l.least, m.most + 1e-6) as cutoff from (select q, coalesce(max(case when q_sp <> h_sp then score end), 0) as most from norm group by q) m
   left join (select q, min(score) as least from rbh where q_sp <> h_sp group by q) l on l.q = m.q)"""
 CONNECT = "conn as (select n.* from norm n join cut c on c.q = n.q where n.score >= c.cutoff)"
@@ -505,9 +505,9 @@ def tree_level_order(spark, sf_dir):
 # ---- per-group distances, trees and reconciliation ----------------------------------------------------------------
 
 SIZE_GROUPS = "members as (select p_size as og, p_brand as sp, p_partkey as gene from part)"
-INSIDE = """inside as (select a.og, n.q, n.h, n.score from norm n join members a on a.gene = n.q join members b on b.gene = n.h and a.og = b.og),
+INSIDE = """inside as materialized (select a.og, n.q, n.h, n.score from norm n join members a on a.gene = n.q join members b on b.gene = n.h and a.og = b.og),
   ends as (select og, q, min(score) as least, max(score) as most from inside group by og, q),
-  sim as (select a.og, a.gene as a, b.gene as b, 0.5 * greatest(coalesce(i.score, 0), e.least) / e.most as m from members a join members b on a.og = b.og and a.gene <> b.gene join ends e on e.og = a.og and e.q = a.gene
+  sim as materialized (select a.og, a.gene as a, b.gene as b, 0.5 * greatest(coalesce(i.score, 0), e.least) / e.most as m from members a join members b on a.og = b.og and a.gene <> b.gene join ends e on e.og = a.og and e.q = a.gene
     left join inside i on i.og = a.og and i.q = a.gene and i.h = b.gene),
   dist as (select x.og, x.a, x.b, -ln(x.m + y.m) as d from sim x join sim y on x.og = y.og and x.a = y.b and x.b = y.a where x.a < x.b),
   near as (select og, least(x.sp, y.sp) as sp_a, greatest(x.sp, y.sp) as sp_b, min(d) as d from dist join (select gene as a, sp from members) x using (a) join (select gene as b, sp from members) y using (b) where x.sp <> y.sp group by all)"""

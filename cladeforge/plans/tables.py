@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cladeforge.operators import genetrees, identifiers, results, trees
+from cladeforge.operators import clustering, genetrees, identifiers, results, trees
 from cladeforge.plans import inputs
 from cladeforge.plans.catalogue import ORACLE, QUERIES, TREE, _heap, query  # noqa: F401
 
@@ -359,3 +359,77 @@ def rearranged_trees(spark, sf_dir):
     """Rearranged gene trees of four lines: each branch's leaves and length."""
     nodes = genetrees.tree_nodes(genetrees.rearranged(_quartets(spark, sf_dir)))
     return trees.clades(nodes).where("parent is not null").select(F.col("tree").alias("og"), F.array_join("leaves", " ").alias("clade"), F.round("dist", 6).alias("dist"))
+
+
+# ---- kernels held against what SQL can say of trees and graphs with a known answer --------------------------------
+
+LADDER = "((((s0:1,s1:1):1,s2:1):1,s3:1):1,s4:1);"
+#: Orders as groups, their lines as genes of five species.
+FIVE = """genes as (select distinct l_orderkey as og, 's' || (l_suppkey % 5)::varchar as sp, 's' || (l_suppkey % 5)::varchar || '|' || l_linenumber::varchar as gene from lineitem),
+  sized as (select *, count(*) over (partition by og) as n from genes), kept as (select * from sized where n > 1)"""
+
+
+def _five(spark, sf_dir):
+    """(og, sp, gene), and a gene tree a group: the ladder of the species that it has, each with its genes on a ladder of their own."""
+    li = inputs.table(spark, sf_dir, "lineitem")
+    sp = F.concat(F.lit("s"), (F.col("l_suppkey") % 5).cast("string"))
+    genes = li.select(F.col("l_orderkey").alias("og"), sp.alias("sp"), F.concat(sp, F.lit("|"), F.col("l_linenumber").cast("string")).alias("gene")).distinct()
+    ladder = lambda xs: F.aggregate(F.slice(xs, F.lit(2), F.size(xs)), xs[0], lambda acc, x: F.concat(F.lit("("), acc, F.lit(":1,"), x, F.lit(":1)")))
+    clades = genes.groupBy("og", "sp").agg(F.array_sort(F.collect_list("gene")).alias("g")).select("og", "sp", ladder(F.col("g")).alias("clade"))
+    texts = clades.groupBy("og").agg(F.array_sort(F.collect_list(F.struct("sp", "clade"))).alias("c")).select("og", F.transform("c", lambda x: x["clade"]).alias("c"))
+    return genes, texts.select("og", F.concat(ladder(F.col("c")), F.lit(";")).alias("newick"))
+
+
+@query(f"with {FIVE} select a.og, a.gene as a, b.gene as b from kept a join kept b on a.og = b.og and a.sp < b.sp")
+def reconciled_pairs(spark, sf_dir):
+    """Ortholog pairs of reconciled trees that agree with the species tree: all genes of different species."""
+    genes, texts = _five(spark, sf_dir)
+    pairs = results.gene_pairs(genetrees.ortholog_sides(genetrees.reconciled(texts, LADDER), genes.select("gene", "sp").distinct()))
+    return pairs.select("og", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+@query(f"""with {FIVE}, ranked as (select *, row_number() over (partition by og, sp order by gene) as rn, max(sp) over (partition by og) <> min(sp) over (partition by og) as several from kept),
+  ladder as (select *, string_agg(gene, ', ' order by gene) over (partition by og, sp order by rn rows between unbounded preceding and 1 preceding) as before,
+    string_agg(gene, ', ' order by gene) over (partition by og, sp order by rn rows between 1 following and unbounded following) as after from ranked)
+  select og, sp as level, 1.0::double as support, before as genes_1, gene as genes_2 from ladder where several and rn > 1
+  union all select og, sp, 1.0, case when rn = n - 1 then gene else after end, case when rn = n - 1 then after else gene end from ladder where not several and rn < n""")
+def reconciled_duplications(spark, sf_dir):
+    """Duplications of the same trees: one for each gene of a species after its first. Trees of one species are rooted on their first leaf."""
+    rows = genetrees.reconciled(_five(spark, sf_dir)[1], LADDER).where("kind = 'duplication'")
+    sides = F.array_sort(F.array(F.struct(F.size("genes_1").alias("n"), "genes_1"), F.struct(F.size("genes_2").alias("n"), F.col("genes_2").alias("genes_1"))), lambda a, b: F.when(a["n"] != b["n"], b["n"] - a["n"]).when(a["genes_1"] < b["genes_1"], -1).otherwise(1))
+    join = lambda k: F.array_join(F.array_sort(sides[k]["genes_1"]), ", ")
+    return rows.select("og", "level", "support", join(0).alias("genes_1"), join(1).alias("genes_2"))
+
+
+@query(f"""with {FIVE}, levels(level, last) as (values ('N0', 4), ('N1', 3), ('N2', 2), ('N3', 1))
+  select og, level, string_agg(gene, ', ' order by gene) as genes from kept join levels on substr(sp, 2)::integer <= last group by og, level""")
+def reconciled_groups(spark, sf_dir):
+    """Hierarchical groups of the same trees: at each level one of all genes of its species."""
+    rows = genetrees.reconciled(_five(spark, sf_dir)[1], LADDER).where("kind = 'hog'")
+    return rows.select("og", "level", F.array_join(F.array_sort("genes_1"), ", ").alias("genes"))
+
+
+@query("""with c as (select distinct l_orderkey as og, l_linenumber as k, l_quantity::double as q from lineitem), n as (select og from c group by og having count(*) >= 6 and count(*) = count(distinct k))
+  select a.og, a.k::varchar as a, b.k::varchar as b, round(b.k - a.k + a.q + b.q, 6) as dist from c a join c b on a.og = b.og and a.k < b.k where a.og in (select og from n)""")
+def tree_path_lengths(spark, sf_dir):
+    """Neighbour-joining trees of distances along a known tree (a line's twigs in a row, as long as its quantity) have these distances again."""
+    c = inputs.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("og"), F.col("l_linenumber").alias("k"), F.col("l_quantity").cast("double").alias("q")).distinct()
+    n = c.groupBy("og").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("k").alias("d")).where("n >= 6 and n = d").select("og")
+    kept = c.join(n, "og")
+    b = kept.select("og", F.col("k").alias("kb"), F.col("q").alias("qb"))
+    d = kept.join(b, "og").where("k < kb").select("og", F.col("k").cast("string").alias("a"), F.col("kb").cast("string").alias("b"), (F.col("kb") - F.col("k") + F.col("q") + F.col("qb")).alias("d"))
+    nodes = clustering.cut(genetrees.tree_nodes(genetrees.distance_trees(d)))
+    leaf = nodes.where("is_leaf").select("tree", "node", "name")
+    ends = d.select(F.col("og").alias("tree"), F.col("a").alias("na"), F.col("b").alias("nb"))
+    ends = ends.join(leaf.select("tree", F.col("node").alias("a"), F.col("name").alias("na")), ["tree", "na"]).join(leaf.select("tree", F.col("node").alias("b"), F.col("name").alias("nb")), ["tree", "nb"])
+    found = trees.distances(trees.closure(nodes), ends.select("tree", "a", "b"))
+    return found.join(ends, ["tree", "a", "b"]).select(F.col("tree").alias("og"), F.col("na").alias("a"), F.col("nb").alias("b"), "dist")
+
+
+@query("select c_custkey as gene, (min(c_custkey) over (partition by c_custkey // 8))::bigint as og from customer")
+def markov_cliques(spark, sf_dir):
+    """Flow clusters of cliques of eight customers, each tied to the next by a weak edge (no tie after every hundredth): the cliques."""
+    c = inputs.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("q"), F.floor(F.col("c_custkey") / 8).alias("clique"))
+    inside = c.join(c.withColumnRenamed("q", "h"), "clique").where("q < h").select("q", "h", F.lit(1.0).alias("weight"))
+    ties = c.where("q % 8 = 7 and clique % 100 <> 99").select("q", (F.col("q") + 1).alias("h"), F.lit(0.02).alias("weight")).join(c.select(F.col("q").alias("h")), "h", "left_semi")
+    return clustering.markov(inside.unionByName(ties.select("q", "h", "weight")), inflation=2.0)
