@@ -11,12 +11,12 @@ PROTEIN_ONLY = "EFILPQ"
 HIT_FIELDS = "qid string, hid string, pident double, length int, mismatch int, gapopen int, qstart int, qend int, hstart int, hend int, evalue double, bitscore double"
 
 
-def read_fasta(spark: SparkSession, folder: str) -> DataFrame:
+def read_fasta(spark: SparkSession, folder: str, least: int = 2, first_id: int = 0) -> DataFrame:
     """(species_id, species, seq_idx, header, accession, residues, len) of a folder's sequence files, gzipped or not.
 
-    Species are numbered in order of file names, sequences in order within their file. Residues are upper-cased. The accession is the
+    Species are numbered from ``first_id`` in order of file names, sequences in order within their file. Residues are upper-cased. The accession is the
     header's first word with ``: , ( )`` as ``_``; where that repeats within a species, all of the header is used. Records
-    without a header, or a folder with fewer than two files, are errors.
+    without a header, or a folder with fewer than ``least`` files, are errors.
     """
     glob = "{" + ",".join(f"*.{e}{z}" for e in EXTENSIONS for z in ("", ".gz")) + "}"
     raw = spark.read.option("lineSep", "\n>").option("pathGlobFilter", glob).text(folder).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
@@ -25,9 +25,9 @@ def read_fasta(spark: SparkSession, folder: str) -> DataFrame:
     head = F.trim(F.regexp_extract(text, r"^([^\n]*)", 1))
     body = F.upper(F.regexp_replace(F.regexp_replace(text, r"^[^\n]*", ""), r"\s+", ""))
     rows = raw.select("file", "start", "at", F.when(head == "", F.raise_error(F.concat(F.lit("blank header in "), "file"))).otherwise(head).alias("header"), body.alias("residues"))
-    files = rows.select("file").distinct().withColumn("species_id", F.row_number().over(Window.orderBy("file")) - 1)  # a row a species
-    if files.limit(2).count() < 2:
-        raise ValueError(f"fewer than two sequence files in {folder}")
+    files = rows.select("file").distinct().withColumn("species_id", F.row_number().over(Window.orderBy("file")) - 1 + first_id)  # a row a species
+    if files.limit(least).count() < least:
+        raise ValueError(f"fewer than {least} sequence files in {folder}")
     rows = rows.join(F.broadcast(files), "file").withColumn("seq_idx", F.row_number().over(Window.partitionBy("file").orderBy("start", "at")) - 1)
     first = clean(F.split("header", r"\s+")[0])
     rows = rows.withColumn("first", first).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("species_id", "first")))
@@ -74,6 +74,17 @@ def read_hits(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.when(ok, F.col("f")[0]).otherwise(bad.cast("string")).alias("q"), F.col("f")[1].alias("h"), score.alias("score"), F.expr("try_cast(f[10] as double)").alias("evalue"))
 
 
+def read_profile_hits(spark: SparkSession, path: str) -> DataFrame:
+    """(gene, og, part, sp, hit, evalue) of tab-separated rows, gzipped or not, of a search against profile sequences named ``group_species_sequence``; the group may
+    have a part after a point. Rows whose target isn't so named, or that lack the e-value in their last field but one, are errors."""
+    rows = spark.read.text(path).select(F.split("value", "\t").alias("f"), "value").where(F.trim("value") != "")
+    names, evalue = F.split(F.get("f", F.lit(1)), "_"), F.expr("try_cast(get(f, size(f) - 2) as double)")
+    group = F.split(names[0], r"\.")
+    ok = (F.size("f") >= 4) & (F.size(names) == 3) & group[0].rlike(r"^\d+$") & evalue.isNotNull()
+    gene = F.when(ok, F.col("f")[0]).otherwise(F.raise_error(F.concat(F.lit("malformed profile hit: "), "value")).cast("string"))
+    return rows.select(gene.alias("gene"), group[0].try_cast("long").alias("og"), F.get(group, F.lit(1)).alias("part"), F.get(names, F.lit(1)).alias("sp"), F.concat_ws("_", F.get(names, F.lit(1)), F.get(names, F.lit(2))).alias("hit"), evalue.alias("evalue"))
+
+
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     """(og, gene) of a cluster file: ``<n> <ids> $`` records that may go on over lines; profile ids are left out."""
     records = spark.read.option("lineSep", "$").text(path).select(F.trim(F.regexp_replace("value", r"\s+", " ")).alias("v"))

@@ -11,7 +11,7 @@ from cladeforge.operators.ranking import with_rank
 
 def write_groups(members: DataFrame, species: list, path: str) -> None:
     """Group lines, gene table, unassigned genes and counts, each a folder under ``path``; tables end lines with CRLF."""
-    orthogroups.lines(members).orderBy("og").select("line").write.text(f"{path}/Orthogroups.txt")
+    orthogroups.lines(members).orderBy("og").select("line").write.mode("overwrite").text(f"{path}/Orthogroups.txt")
     named = lambda df: df.withColumn("Orthogroup", orthogroups.name(F.col("og"))).orderBy("og").select("Orthogroup", *[c for c in df.columns if c != "og"])
     write_table(named(orthogroups.gene_table(members, species)), f"{path}/Orthogroups.tsv")
     write_table(named(orthogroups.gene_table(orthogroups.unassigned(members), species, least=1)), f"{path}/Orthogroups_UnassignedGenes.tsv")
@@ -21,7 +21,7 @@ def write_groups(members: DataFrame, species: list, path: str) -> None:
 def write_table(df: DataFrame, path: str, compress: bool = False) -> None:
     """Tab-separated rows, lines ended with CRLF. Part files keep the order of ``df``; each has the header."""
     cells = df.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns))
-    writer = cells.write.options(sep="\t", header=True, lineSep="\r\n", quote="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    writer = cells.write.mode("overwrite").options(sep="\t", header=True, lineSep="\r\n", quote="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     (writer.option("compression", "gzip") if compress else writer).csv(path)
 
 
@@ -35,7 +35,7 @@ def write_hogs(hogs: DataFrame, genes: DataFrame, species: list, path: str) -> N
     title = "\t".join(["HOG", "OG", "Gene Tree Parent Clade", *map(str, species)])
     body = wide.select("level", F.lit(1).alias("part"), "hog", line.alias("value"))
     head = wide.select("level").distinct().select("level", F.lit(0).alias("part"), F.lit("").alias("hog"), F.lit(title).alias("value"))
-    head.union(body).repartition("level").sortWithinPartitions("level", "part", "hog").select("level", "value").write.option("lineSep", "\r\n").partitionBy("level").text(path)
+    head.union(body).repartition("level").sortWithinPartitions("level", "part", "hog").select("level", "value").write.mode("overwrite").option("lineSep", "\r\n").partitionBy("level").text(path)
 
 
 def write_duplications(rows: DataFrame, path: str) -> None:
@@ -57,12 +57,12 @@ def write_statistics(totals: DataFrame, dups: DataFrame, species: list, path: st
 
 def write_clusters(members: DataFrame, path: str) -> None:
     """(og, gene) as cluster records, ``<og> <ids> $``, in order of groups."""
-    members.groupBy("og").agg(F.array_join(F.array_sort(F.collect_list("gene")), " ").alias("ids")).orderBy("og").select(F.concat_ws(" ", F.col("og").cast("string"), "ids", F.lit("$")).alias("value")).write.text(path)
+    members.groupBy("og").agg(F.array_join(F.array_sort(F.collect_list("gene")), " ").alias("ids")).orderBy("og").select(F.concat_ws(" ", F.col("og").cast("string"), "ids", F.lit("$")).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_by_species(rows: DataFrame, path: str) -> None:
     """(sp, gene), a folder for each species, genes in order: misplaced or unassigned genes."""
-    rows.repartition("sp").sortWithinPartitions("sp", "gene").select("sp", F.col("gene").cast("string").alias("value")).write.partitionBy("sp").text(path)
+    rows.repartition("sp").sortWithinPartitions("sp", "gene").select("sp", F.col("gene").cast("string").alias("value")).write.mode("overwrite").partitionBy("sp").text(path)
 
 
 def write_sorted(df: DataFrame, path: str, *order: str) -> None:
@@ -75,23 +75,23 @@ def write_fasta(rows: DataFrame, path: str, by: str | None = "og", width: int =
     """(by, name, seq) to FASTA, a folder for each value of ``by``, sequences in order of names."""
     body = F.concat(F.lit(">"), "name", F.lit("\n"), F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n"))
     if by is None:
-        rows.orderBy("name").select(body.alias("value")).write.text(path)
+        rows.orderBy("name").select(body.alias("value")).write.mode("overwrite").text(path)
     else:
-        rows.repartition(F.col(by)).sortWithinPartitions(by, "name").select(F.col(by), body.alias("value")).write.partitionBy(by).text(path)
+        rows.repartition(F.col(by)).sortWithinPartitions(by, "name").select(F.col(by), body.alias("value")).write.mode("overwrite").partitionBy(by).text(path)
 
 
 def write_graph(edges: DataFrame, path: str) -> None:
     """One line a node: ``<id>    <id>:<weight> ... $`` with three decimals."""
     per = edges.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("h", "weight"))).alias("e"))
     cells = F.array_join(F.transform("e", lambda x: F.concat(x["h"].cast("string"), F.lit(":"), F.format_string("%.3f", x["weight"]))), " ")
-    per.orderBy("q").select(F.concat(F.col("q").cast("string"), F.lit("    "), cells, F.lit(" $"))).write.text(path)
+    per.orderBy("q").select(F.concat(F.col("q").cast("string"), F.lit("    "), cells, F.lit(" $"))).write.mode("overwrite").text(path)
 
 
 def write_orthologs(pairs: DataFrame, path: str, compress: bool = False) -> None:
     """(og, sp_a, genes_a, sp_b, genes_b), both directions, a folder for each species and other species."""
     both = pairs.select("og", "sp_a", "genes_a", "sp_b", "genes_b").union(pairs.select("og", "sp_b", "genes_b", "sp_a", "genes_a"))
     rows = both.select("sp_a", "sp_b", F.concat_ws("\t", orthogroups.name(F.col("og")), F.array_join("genes_a", ", "), F.array_join("genes_b", ", ")).alias("value"))
-    writer = rows.repartition("sp_a", "sp_b").sortWithinPartitions("sp_a", "sp_b", "value").write.partitionBy("sp_a", "sp_b")
+    writer = rows.repartition("sp_a", "sp_b").sortWithinPartitions("sp_a", "sp_b", "value").write.mode("overwrite").partitionBy("sp_a", "sp_b")
     (writer.option("compression", "gzip") if compress else writer).text(path)
 
 
