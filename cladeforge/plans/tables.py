@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cladeforge.operators import clustering, genetrees, identifiers, results, trees
+from cladeforge.operators import clustering, genetrees, identifiers, profiles, results, similarity, trees
 from cladeforge.plans import inputs
 from cladeforge.plans.catalogue import ORACLE, QUERIES, TREE, _heap, query  # noqa: F401
 
@@ -433,3 +433,84 @@ def markov_cliques(spark, sf_dir):
     inside = c.join(c.withColumnRenamed("q", "h"), "clique").where("q < h").select("q", "h", F.lit(1.0).alias("weight"))
     ties = c.where("q % 8 = 7 and clique % 100 <> 99").select("q", (F.col("q") + 1).alias("h"), F.lit(0.02).alias("weight")).join(c.select(F.col("q").alias("h")), "h", "left_semi")
     return clustering.markov(inside.unionByName(ties.select("q", "h", "weight")), inflation=2.0)
+
+
+# ---- profiles: documents of the sources numbered under ten are members of known groups (by length), the others are new genes ----------------------
+
+CORE_DOCS = """core as (select doc_id as gene, source as sp, n_chars % 40 as og from documents where length(source) = 4), fresh as (select doc_id as gene, source as sp from documents where length(source) <> 4),
+  profile as materialized (select og, sp, gene from (select *, row_number() over (partition by og order by md5('0:' || gene::varchar), gene) as rn from core) where rn <= 5),
+  w as (select doc_id as gene, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') as w from documents),
+  s as materialized (select gene, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) as piece from w where len(w) >= 5),
+  hits as materialized (select a.gene, p.og, p.sp, p.gene as hit, -count(*)::double as evalue from s a join fresh f on f.gene = a.gene join s b on a.piece = b.piece join profile p on p.gene = b.gene group by all having count(*) >= 3),
+  best as (select gene, og, sp as hit_sp from (select *, row_number() over (partition by gene order by evalue, og, sp) as rn from hits) where rn = 1)"""
+
+
+def _core_docs(spark, sf_dir):
+    docs = inputs.document_genes(spark, sf_dir)
+    core = docs.where("length(sp) = 4").select((F.col("len") % 40).alias("og"), "sp", "gene")
+    return core, docs.where("length(sp) <> 4"), docs
+
+
+def _profile_hits(spark, sf_dir):
+    core, fresh, docs = _core_docs(spark, sf_dir)
+    pieces = profiles.word_pieces(5)
+    index = profiles.profile_index(profiles.profiles(core, 5, "random"), docs, pieces)
+    return profiles.profile_hits(fresh.select("gene", "seq"), index, pieces)
+
+
+@query(f"with {CORE_DOCS} select og, sp, gene from profile")
+def profile_members(spark, sf_dir):
+    return profiles.profiles(_core_docs(spark, sf_dir)[0], 5, "random")
+
+
+@query(f"with {CORE_DOCS} select gene, og, sp, hit, evalue from hits")
+def profile_hits(spark, sf_dir):
+    """New documents against the profiles of known groups, by shared runs of five words."""
+    return _profile_hits(spark, sf_dir)
+
+
+@query(f"with {CORE_DOCS} select gene, og, hit_sp from best")
+def profile_assignment(spark, sf_dir):
+    return similarity.assign(_profile_hits(spark, sf_dir))
+
+
+@query(f"with {CORE_DOCS}, per as (select gene, og, min(evalue) as evalue from hits group by gene, og) select gene, og, evalue from (select *, min(evalue) over (partition by gene) as best from per) where evalue - best < 10")
+def profile_close_groups(spark, sf_dir):
+    return profiles.close_groups(_profile_hits(spark, sf_dir))
+
+
+@query(f"with {CORE_DOCS} select sp, hit_sp, n from (select f.sp, hit_sp, count(*) as n, row_number() over (partition by f.sp order by count(*) desc, hit_sp) as rn from best join fresh f using (gene) group by f.sp, hit_sp) where rn = 1")
+def profile_closest_species(spark, sf_dir):
+    return similarity.closest_species(similarity.assign(_profile_hits(spark, sf_dir)), _core_docs(spark, sf_dir)[1])
+
+
+@query(f"""with {CORE_DOCS}, grown as (select og, gene from core union all select og, gene from best), sized as (select og, count(*) as n from grown group by og having count(*) > 1)
+  select doc_id as gene, source as sp from documents where doc_id not in (select gene from grown where og in (select og from sized))""")
+def profile_unassigned(spark, sf_dir):
+    """Genes of any species that no group of two or more has after the new ones are assigned."""
+    from cladeforge.operators import orthogroups
+
+    core, fresh, docs = _core_docs(spark, sf_dir)
+    added = similarity.assign(_profile_hits(spark, sf_dir)).join(fresh.select("gene", "sp"), "gene").select("og", "sp", "gene")
+    return orthogroups.not_grouped(core.unionByName(added), docs.select("gene", "sp")).select("gene", "sp")
+
+
+#: Parts as aligned rows: ten letters of the name, anything else a gap; sizes are groups.
+ROWS_OF_TEN = """aligned as (select p_size as og, p_partkey as gene, regexp_replace(rpad(substr(upper(p_name), 1, 10), 10, '-'), '[^A-Z]', '-', 'g') as aligned from part where p_partkey is not null and p_name is not null),
+  gaps as (select og, gene, len(aligned) - len(replace(aligned, '-', '')) as g from aligned), bar as (select og, count(*) as n, quantile_cont(g, 0.75) as bar from gaps group by og)"""
+
+
+@query(f"with {ROWS_OF_TEN} select og, case when any_value(n) <= 12 then any_value(n) else least(12, count_if(g <= bar)) end as n from gaps join bar using (og) group by og")
+def representative_counts(spark, sf_dir):
+    """How many representatives of at most twelve each aligned group has (tests hold which ones they are against brute force)."""
+    p = inputs.table(spark, sf_dir, "part").where("p_partkey is not null and p_name is not null")
+    row = F.regexp_replace(F.rpad(F.substring(F.upper("p_name"), 1, 10), 10, "-"), "[^A-Z]", "-")
+    chosen = profiles.from_alignments(p.select(F.col("p_size").alias("og"), F.col("p_partkey").alias("gene"), row.alias("aligned")), 12)
+    return chosen.groupBy("og").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def piece_representatives(spark, sf_dir):
+    """Twelve parts that stand for all, by the three-letter pieces of their names (tests hold them against brute force)."""
+    p = inputs.table(spark, sf_dir, "part").where("p_name is not null")
+    return profiles.from_pieces(p.select(F.col("p_partkey").alias("gene"), F.lower("p_name").alias("seq")), 12)
