@@ -34,19 +34,46 @@ def consensus(trees: list[Node], taxa: list[str]) -> Node:
     for t in trees:
         for m, d in splits(t, taxa).items():
             lengths.setdefault(m, []).append(d)
-    kept = set(compatible({m: len(x) for m, x in lengths.items()}, len(taxa))) | {1 << k for k in range(1, len(taxa))}
+    kept = set(compatible({m: len(x) for m, x in lengths.items()}, len(taxa)))
+    return assemble({m: (len(x), sum(x) / len(x)) for m, x in lengths.items() if m in kept}, taxa, len(trees))
+
+
+def assemble(found: dict[int, tuple[int, float]], taxa: list[str], n_trees: int) -> Node:
+    """The tree of compatible splits: mask -> (trees that have it, mean length). Leaves that no split names have length 0."""
+    full = (1 << len(taxa)) - 1
+    first = full ^ 1
     root = Node()
-    nodes = [((1 << len(taxa)) - 1, root)]
-    first = ((1 << len(taxa)) - 1) ^ 1
-    for m in sorted(kept - {first}, key=lambda m: (-m.bit_count(), m)):
-        found = lengths.get(m, [0.0])
+    nodes = [(full, root)]
+    for m in sorted((set(found) | {1 << k for k in range(1, len(taxa))}) - {first}, key=lambda m: (-m.bit_count(), m)):
+        n, length = found.get(m, (0, 0.0))
         parent = min((x for x in nodes if m & x[0] == m and x[0] != m), key=lambda x: x[0].bit_count())[1]
-        n = parent.add(Node(taxa[m.bit_length() - 1] if m.bit_count() == 1 else "", sum(found) / len(found), len(found) / len(trees)))
-        nodes.append((m, n))
-    root.add(Node(taxa[0], sum(lengths.get(first, [0.0])) / max(1, len(lengths.get(first, [0.0])))))
+        nodes.append((m, parent.add(Node(taxa[m.bit_length() - 1] if m.bit_count() == 1 else "", length, n / n_trees if n_trees else 0.0))))
+    root.add(Node(taxa[0], found.get(first, (0, 0.0))[1]))
     return root
 
 
+def closest_distances(tree: Node, species_of) -> dict[tuple[str, str], float]:
+    """(species, species), in order -> the least length between leaves of the two; branches below 0 count as 0. Only each species' nearest leaf below a node is carried up."""
+    near: dict[int, dict[str, float]] = {}
+    out: dict[tuple[str, str], float] = {}
+    for n in tree.postorder():
+        if n.is_leaf:
+            near[id(n)] = {species_of(n.name): 0.0}
+            continue
+        held: dict[str, float] = {}
+        for c in n.children:
+            own = {s: d + max(c.dist, 0.0) for s, d in near.pop(id(c)).items()}
+            for s, d in own.items():
+                for t, e in held.items():
+                    if s != t:
+                        key = (s, t) if s < t else (t, s)
+                        out[key] = min(out.get(key, d + e), d + e)
+            for s, d in own.items():
+                held[s] = min(held.get(s, d), d)
+        near[id(n)] = held
+    return out
+
+
 def parsimony_root(clades: dict[str, tuple[frozenset, frozenset]], observed: dict[frozenset, int]) -> list[str]:
     """Root candidates with fewest contradicting duplications. ``clades``: name -> the two sides of a root; an observed set of species
     contradicts a root if it holds species of both sides but isn't all of either's, or of the whole."""

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cladeforge.operators import clustering, genetrees, identifiers, profiles, results, similarity, trees
+from cladeforge.operators import clustering, genetrees, identifiers, profiles, results, similarity, species_trees, trees
 from cladeforge.plans import inputs
 from cladeforge.plans.catalogue import ORACLE, QUERIES, TREE, _heap, query  # noqa: F401
 
@@ -317,17 +317,17 @@ def tree_single_species_clades(spark, sf_dir):
 
 # ---- rearrangement ------------------------------------------------------------------------------------------------
 
-#: Orders of four lines as gene trees (t, (l1, (l2, (l3, l4)))): a line's species is its supplier modulo 4, t is none of them; branches are as long as the line's number says.
-QUARTETS = """lines as (select l_orderkey as og, l_linenumber as k, (l_suppkey % 4)::varchar as s, (l_suppkey % 4)::varchar || '|' || l_linenumber::varchar as g from lineitem),
-  q as (select og, max(s) filter (k = 1) as s1, max(s) filter (k = 2) as s2, max(s) filter (k = 3) as s3, max(s) filter (k = 4) as s4, max(g) filter (k = 1) as g1, max(g) filter (k = 2) as g2, max(g) filter (k = 3) as g3, max(g) filter (k = 4) as g4
-    from lines group by og having count(*) = 4 and count(distinct k) = 4 and max(k) = 4)"""
+#: Orders of four lines, in order of part and supplier, as gene trees (t, (l1, (l2, (l3, l4)))): a line's species is its supplier modulo 4, t is none of them.
+QUARTETS = """lines as (select l_orderkey as og, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey) as k, (l_suppkey % 4)::varchar as s from lineitem),
+  q as (select og, max(s) filter (k = 1) as s1, max(s) filter (k = 2) as s2, max(s) filter (k = 3) as s3, max(s) filter (k = 4) as s4, max(s || '|' || k::varchar) filter (k = 1) as g1, max(s || '|' || k::varchar) filter (k = 2) as g2,
+    max(s || '|' || k::varchar) filter (k = 3) as g3, max(s || '|' || k::varchar) filter (k = 4) as g4 from lines group by og having count(*) = 4)"""
 
 
 def _quartets(spark, sf_dir):
-    li = inputs.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("og"), F.col("l_linenumber").alias("k"), (F.col("l_suppkey") % 4).cast("string").alias("s"))
-    name = lambda k: F.max(F.when(F.col("k") == k, F.concat("s", F.lit("|"), F.col("k").cast("string")))).alias(f"g{k}")
-    four = li.groupBy("og").agg(*map(name, (1, 2, 3, 4)), F.count(F.lit(1)).alias("n"), F.count_distinct("k").alias("d"), F.max("k").alias("last")).where("n = 4 and d = 4 and last = 4")
-    return four.select("og", F.format_string("(t|0:1,(%s:1,(%s:2,(%s:3,%s:4):5):6):7);", "g1", "g2", "g3", "g4").alias("newick"))
+    li = inputs.table(spark, sf_dir, "lineitem")
+    lines = li.groupBy(F.col("l_orderkey").alias("og")).agg(F.array_sort(F.collect_list(F.struct("l_partkey", "l_suppkey"))).alias("x")).where(F.size("x") == 4)
+    name = lambda k: F.concat((F.col("x")[k - 1]["l_suppkey"] % 4).cast("string"), F.lit(f"|{k}"))
+    return lines.select("og", F.format_string("(t|0:1,(%s:1,(%s:2,(%s:3,%s:4):5):6):7);", *map(name, (1, 2, 3, 4))).alias("newick"))
 
 
 @query(f"""with {QUARTETS},
@@ -514,3 +514,44 @@ def piece_representatives(spark, sf_dir):
     """Twelve parts that stand for all, by the three-letter pieces of their names (tests hold them against brute force)."""
     p = inputs.table(spark, sf_dir, "part").where("p_name is not null")
     return profiles.from_pieces(p.select(F.col("p_partkey").alias("gene"), F.lower("p_name").alias("seq")), 12)
+
+
+# ---- species trees: orders of four lines of four species, as above, with t a fifth --------------------------------
+
+FIVE_TAXA = ["0", "1", "2", "3", "t"]
+#: Each tree's splits as masks (species k is bit k, t is bit 4) turned so that bit 0 is clear, and their lengths once the root is gone.
+SPLITS = QUARTETS + """, four as (select og, s1::integer as a, s2::integer as b, s3::integer as c, s4::integer as d from q where s1 <> s2 and s1 <> s3 and s1 <> s4 and s2 <> s3 and s2 <> s4 and s3 <> s4),
+  raw as (select og, 16 as m, 8.0 as length from four union all select og, 1 << a, 1 from four union all select og, 1 << b, 2 from four union all select og, 1 << c, 3 from four union all select og, 1 << d, 4 from four
+    union all select og, (1 << c) + (1 << d), 5 from four union all select og, (1 << b) + (1 << c) + (1 << d), 6 from four),
+  splits as (select og, case when m & 1 = 1 then 31 - m else m end as m, length::double as length from raw),
+  counted as (select m, count(*) as n, avg(length) as length from splits group by m),
+  inner_ones as (select *, bit_count(m) as k from counted where bit_count(m) between 2 and 3)"""
+NAMES_OF = "array_to_string(list_filter([case when m & 1 > 0 then '0' end, case when m & 2 > 0 then '1' end, case when m & 4 > 0 then '2' end, case when m & 8 > 0 then '3' end, case when m & 16 > 0 then 't' end], lambda x: x is not null), ' ')"
+
+
+def _species_splits(spark, sf_dir):
+    return species_trees.tree_splits(species_trees.closest_species_trees(_quartets(spark, sf_dir), FIVE_TAXA), FIVE_TAXA)
+
+
+@query(f"with {SPLITS} select og, {NAMES_OF} as split, length from splits")
+def species_tree_splits(spark, sf_dir):
+    """Splits of the species trees of all gene trees with every species."""
+    rows = _species_splits(spark, sf_dir)
+    return rows.select("og", F.array_join(species_trees.taxa_of(F.col("split"), FIVE_TAXA), " ").alias("split"), F.round("length", 6).alias("length"))
+
+
+@query(f"with {SPLITS} select {NAMES_OF} as split, n, round(length, 6) as length from counted")
+def species_split_counts(spark, sf_dir):
+    rows = species_trees.split_counts(_species_splits(spark, sf_dir))
+    return rows.select(F.array_join(species_trees.taxa_of(F.col("split"), FIVE_TAXA), " ").alias("split"), "n", F.round("length", 6).alias("length"))
+
+
+@query(f"""with {SPLITS}, one as (select * from inner_ones order by n desc, m limit 1), two as (select i.* from inner_ones i, one o where i.m <> o.m and (i.m & o.m) in (0, i.m, o.m) order by i.n desc, i.m limit 1),
+  total as (select count(*) as trees from four), every as (select m, n, length from one union all select m, n, length from two union all select m, n, length from counted where bit_count(m) in (1, 4))
+  select case when bit_count(m) = 4 then '0' else {NAMES_OF} end as split, case when bit_count(m) in (1, 4) then null else round(n / trees, 5) end as support, round(length, 5) as length from every, total""")
+def consensus_branches(spark, sf_dir):
+    """Branches of the greedy consensus of those species trees."""
+    text, _ = species_trees.consensus_tree(species_trees.closest_species_trees(_quartets(spark, sf_dir), FIVE_TAXA), FIVE_TAXA)
+    nodes = genetrees.tree_nodes(spark.createDataFrame([(0, text)], "og long, newick string"))  # one tree
+    full = nodes.join(trees.clades(nodes).select("tree", "node", "leaves"), ["tree", "node"]).where("parent is not null")
+    return full.select(F.array_join("leaves", " ").alias("split"), F.when(~F.col("is_leaf"), F.round("support", 5)).alias("support"), F.round("dist", 5).alias("length"))
