@@ -12,7 +12,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeforge.operators import clustering, gathering, genetrees, orthogroups, profiles, results, similarity
+from cladeforge.operators import clustering, gathering, genetrees, orthogroups, profiles, results, similarity, species_trees
 from cladeforge.plans import assignment
 from cladeforge.sources import sequences, sinks
 from cladeforge.sources.stages import Stages
@@ -20,11 +20,11 @@ from cladeforge.sources.stages import Stages
 
 def run(
     spark: SparkSession, folder: str, output: str, k: int = 5, least: float = 0.1, inflation: float = 1.2, components: bool = False, scores_v2: bool = False, species_tree: str | None = None, unrooted: bool = False, rearrange: bool = True,
-    stop: str | None = None,
+    stop: str | None = None, infer: bool = False,
 ) -> DataFrame:
     """Read, join by k-mers, gather, cluster, write; with a rooted species tree (Newick) also trees and what they give. Returns (og, sp, gene). ``stop``: "sequences",
-    "hits", "groups" or "trees", after which no more is done (the last table made comes back)."""
-    settings = {"folder": folder, "k": k, "least": least, "inflation": inflation, "components": components, "scores_v2": scores_v2, "species_tree": species_tree, "unrooted": unrooted, "rearrange": rearrange}
+    "hits", "groups" or "trees", after which no more is done (the last table made comes back). ``infer``: without a species tree, make one of the gene trees."""
+    settings = {"folder": folder, "k": k, "least": least, "inflation": inflation, "components": components, "scores_v2": scores_v2, "species_tree": species_tree, "unrooted": unrooted, "rearrange": rearrange, "infer": infer}
     stages = Stages(spark, f"{output}/Stages", settings)
     seqs = stages.table("sequences", lambda: sequences.read_fasta(spark, folder))
     if stop == "sequences":
@@ -46,7 +46,7 @@ def run(
     members = stages.table("members", lambda: orthogroups.with_singletons(grouped, genes).join(genes.select("gene", "accession"), "gene").select("og", "sp", F.col("accession").alias("gene")))
     species = species_of(genes)
     sinks.write_groups(members, species, output)
-    if species_tree is not None and stop != "groups":
+    if (species_tree is not None or infer) and stop != "groups":
         named = genes.select("gene", "sp", F.concat_ws("|", "sp", "accession").alias("name"))
         scored = normalise(gathering.with_genes(gathering.best_per_pair(hits), genes))
         write_orthologs(stages, grouped, scored, named, species, species_tree, output, unrooted, rearrange, stop)
@@ -57,9 +57,10 @@ def species_of(genes: DataFrame) -> list[str]:
     return [r[0] for r in genes.select("sp").distinct().orderBy("sp").collect()]  # a row a species
 
 
-def write_orthologs(stages: Stages, grouped: DataFrame, scored: DataFrame, named: DataFrame, species: list, species_tree: str, output: str, unrooted: bool = False, rearrange: bool = True, stop: str | None = None) -> None:
+def write_orthologs(stages: Stages, grouped: DataFrame, scored: DataFrame, named: DataFrame, species: list, species_tree: str | None, output: str, unrooted: bool = False, rearrange: bool = True, stop: str | None = None) -> None:
     """Gene trees from hits, reconciled with a rooted species tree (Newick): ortholog pairs, duplications, hierarchical groups and their statistics.
-    ``named``: (gene, sp, name), name being ``species|accession``. With ``unrooted`` the species tree's root is chosen by supported duplications."""
+    ``named``: (gene, sp, name), name being ``species|accession``. With ``unrooted`` the species tree's root is chosen by supported duplications. Without a species tree one is
+    made: by consensus where there is a group with all species, else from the median distances between species; its root is chosen likewise."""
     a, b = (named.select(F.col("gene").alias(c), F.col("name").alias(f"n_{c}")) for c in "ab")
 
     def distances() -> DataFrame:
@@ -70,6 +71,12 @@ def write_orthologs(stages: Stages, grouped: DataFrame, scored: DataFrame, named
     trees.select("og", "newick").write.mode("overwrite").parquet(f"{output}/Gene_Trees")
     if stop == "trees":
         return
+    if species_tree is None:
+        found, n = species_trees.species_tree(trees, species)
+        if found is None:
+            found = species_trees.distance_species_tree(genetrees.species_distances(genetrees.closest_species_distances(genetrees.group_distances(grouped, scored), named)))
+        species_tree, unrooted = found, len(species) > 2
+        named.sparkSession.createDataFrame([(found, n)], "species_tree string, gene_trees long").coalesce(1).write.mode("overwrite").json(f"{output}/Unrooted_Species_Tree")
     confirmed = named.select(F.array("name").alias("genes")).where("false")
     if unrooted:
         supported = stages.table("supported", lambda: genetrees.supported_duplications(trees, species_tree))
@@ -141,6 +148,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--scores-v2", action="store_true", help="normalise by length alone")
     p.add_argument("-s", "--species-tree", help="file with the rooted species tree (Newick); gene trees are made and reconciled with it")
     p.add_argument("--unrooted", action="store_true", help="choose the species tree's root by supported duplications")
+    p.add_argument("--infer-species-tree", action="store_true", help="without a species tree, make one of the gene trees")
     p.add_argument("--no-rearrangement", action="store_true", help="reconcile gene trees as they are")
     p.add_argument("--profile-genes", type=int, default=20, help="with --assign: genes of a group's profile")
     p.add_argument("--separator", default="_", help="with --resolve: what parts species and gene in a leaf's name")
@@ -153,7 +161,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.assign:
         assign(spark, a.folder, a.output, a.assign, tree, a.k, a.least, a.profile_genes, a.inflation, a.components)
     else:
-        run(spark, a.folder, a.output, a.k, a.least, a.inflation, a.components, a.scores_v2, tree, a.unrooted, not a.no_rearrangement, a.stop)
+        run(spark, a.folder, a.output, a.k, a.least, a.inflation, a.components, a.scores_v2, tree, a.unrooted, not a.no_rearrangement, a.stop, a.infer_species_tree)
 
 
 if __name__ == "__main__":

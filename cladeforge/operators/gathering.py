@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeforge.operators.ranking import with_rank
+
 #: Smallest group that is binned, and (largest group, bin size) steps above it.
 BINNED_FROM, BIN_STEPS, LAST_BIN = 100, ((1000, 20), (5000, 200)), 1000
 TOLERANCE = 1e-3
@@ -39,15 +41,15 @@ def with_genes(hits: DataFrame, genes: DataFrame) -> DataFrame:
 
 def top_of_length_bins(scored: DataFrame, share: float = 0.95) -> DataFrame:
     """Hits at or above the percentile of their length bin, within each species pair; small pairs are kept whole, and the
-    longest hits that fill no bin go."""
-    by_length = Window.partitionBy(*PAIR).orderBy(F.col("lq") * F.col("lh"), "q", "h")
-    n = F.count(F.lit(1)).over(Window.partitionBy(*PAIR))
-    rows = scored.withColumn("n", n).withColumn("rn", F.row_number().over(by_length))
+    longest hits that fill no bin go. Hits are ranked by ranges of all, so that one species pair's are spread over tasks."""
+    at = with_rank(scored, F.col("q_sp"), F.col("h_sp"), F.col("lq") * F.col("lh"), F.col("q"), F.col("h"), name="cf_at")
+    sizes = at.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n"), F.min("cf_at").alias("first"))
     size = F.when(F.col("n") <= BIN_STEPS[0][0], BIN_STEPS[0][1]).when(F.col("n") <= BIN_STEPS[1][0], BIN_STEPS[1][1]).otherwise(LAST_BIN)
-    rows = rows.withColumn("size", size).withColumn("bin", F.floor((F.col("rn") - 1) / F.col("size")))
-    rows = rows.where((F.col("n") < BINNED_FROM) | (F.col("bin") < F.floor(F.col("n") / F.col("size"))))
-    bar = F.percentile("score", F.lit(share)).over(Window.partitionBy(*PAIR, "bin"))
-    return rows.withColumn("bar", bar).where((F.col("n") < BINNED_FROM) | (F.col("score") >= F.col("bar"))).select(*scored.columns)
+    rows = at.join(sizes, PAIR).withColumn("size", size).withColumn("bin", F.when(F.col("n") >= BINNED_FROM, F.floor((F.col("cf_at") - F.col("first")) / F.col("size"))))
+    whole = rows.where(F.col("n") < BINNED_FROM)
+    binned = rows.where((F.col("n") >= BINNED_FROM) & (F.col("bin") < F.floor(F.col("n") / F.col("size"))))
+    bar = binned.groupBy(*PAIR, "bin").agg(F.percentile("score", F.lit(share)).alias("bar"))  # a bin's rows at a time
+    return whole.select(*scored.columns).unionByName(binned.join(bar, [*PAIR, "bin"]).where("score >= bar").select(*scored.columns))
 
 
 def length_fit(scored: DataFrame, share: float = 0.95) -> DataFrame:

@@ -5,11 +5,14 @@ Null texts and texts that aren't Newick are set aside by every operator here ali
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeforge.functions import align, newick, rearrange, reconcile, rooting
+from cladeforge.operators import orthogroups
+from cladeforge.operators.clustering import cut
 
 
 def group_similarity(members: DataFrame, scored: DataFrame) -> DataFrame:
@@ -228,11 +231,41 @@ def trimmed(aligned: DataFrame, **options) -> DataFrame:
     return aligned.select("og", "gene", "aligned").groupBy("og").applyInPandas(one, aligned.select("og", "gene", "aligned").schema)
 
 
-def concatenated(aligned: DataFrame, genes: DataFrame) -> DataFrame:
-    """(sp, row): each species' single-copy rows joined in group order; absent ones are gaps."""
-    rows = aligned.join(genes.select("gene", "sp"), "gene")
-    single = rows.groupBy("og", "sp").agg(F.count(F.lit(1)).alias("n"), F.first("aligned").alias("aligned"), F.max(F.length("aligned")).alias("len"))
-    width = single.groupBy("og").agg(F.max("len").alias("width"))
-    grid = width.join(genes.select("sp").distinct()).join(single.where("n = 1").select("og", "sp", "aligned"), ["og", "sp"], "left")  # groups by species, as the result
-    cells = grid.withColumn("cell", F.coalesce(F.translate("aligned", "*", "-"), F.repeat(F.lit("-"), F.col("width"))))
-    return cells.groupBy("sp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("og", "cell"))), lambda x: x["cell"]), "").alias("row"))
+def concatenated(aligned: DataFrame, members: DataFrame, groups: DataFrame, share: float = 1.0, max_gap: float = 0.5) -> DataFrame:
+    """(sp, row): each species' rows of the chosen ``groups`` (og) joined in order of group; one row a species of ``members`` (og, sp, gene).
+
+    A species has a row in a group where it has one gene there and that is aligned (og, gene, aligned); else gaps stand for it, as for letters ``*``. Columns in which
+    more than ``1 - max_gap * share`` of all species have a gap are left out, ``share`` being the least share of single-copy species in the groups. What a task holds
+    is a group's grid of species by columns, and in the end one species' row.
+    """
+    species = members.select("sp").distinct()
+    n_species = species.count()
+    most = (1 - max_gap * share) * n_species
+    kinds = dict(members.dtypes)
+    chosen = groups.select("og").distinct()
+    single = members.join(chosen, "og", "left_semi").groupBy("og", "sp").agg(F.count(F.lit(1)).alias("n"), F.first("gene").alias("gene")).where("n = 1").drop("n")
+    rows = aligned.select("og", "gene", "aligned").join(single, ["og", "gene"])
+
+    def grid(pdf: pd.DataFrame) -> pd.DataFrame:
+        letters = np.frombuffer("".join(pdf["aligned"]).replace("*", "-").encode("utf-32-le"), np.uint32).reshape(len(pdf), -1)
+        gaps = (letters == ord("-")).sum(axis=0) + n_species - len(pdf)
+        keep = letters[:, gaps <= most]
+        return pd.DataFrame({"og": pdf["og"], "sp": pdf["sp"], "cell": [r.tobytes().decode("utf-32-le") for r in keep], "width": keep.shape[1]})
+
+    cells = cut(rows.groupBy("og").applyInPandas(grid, f"og {kinds['og']}, sp {kinds['sp']}, cell string, width long"))
+    widths = cells.groupBy("og").agg(F.max("width").alias("width"))
+    # groups by species, as the result is
+    full = widths.crossJoin(F.broadcast(species)).join(cells.select("og", "sp", "cell"), ["og", "sp"], "left")
+    filled = full.select("sp", "og", F.coalesce("cell", F.repeat(F.lit("-"), F.col("width").cast("int"))).alias("cell"))
+    return filled.groupBy("sp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("og", "cell"))), lambda x: x["cell"]), "").alias("row"))
+
+
+def species_alignment(aligned: DataFrame, members: DataFrame, max_gap: float = 0.5) -> tuple[DataFrame, int]:
+    """(``concatenated`` of the groups that are single copy in enough species, that number of species): as many groups as pay for asking fewer species."""
+    n_species = members.select("sp").distinct().count()
+    found = [(r["k"], r["n"]) for r in orthogroups.occupancy(members, n_species).collect()]  # a row a species
+    if not found:
+        return members.select("sp", F.lit("").alias("row")), 0
+    k = orthogroups.choose_occupancy(found)
+    share = k / n_species
+    return concatenated(aligned, members, orthogroups.single_copy(members, share - 1e-5, n_species), share, max_gap), k

@@ -137,6 +137,26 @@ def same_orthologs(pairs: DataFrame) -> DataFrame:
     return sets.groupBy("genes_b").agg(_cell("a").alias("genes_a")).select("genes_a", "genes_b")
 
 
+def locus_sides(nodes: DataFrame, events: DataFrame, genes: DataFrame) -> DataFrame:
+    """(og, node, side, sp, gene) of the speciations of reconciled locus trees. ``nodes``: ``genetrees.tree_nodes``; ``events``: (tree, name, event), a row a node;
+    ``genes``: gene, sp. A speciation whose name no node has is the root's. Nodes of other than two children have none."""
+    spec = events.where("event = 'spec'").select("tree", "name").distinct()
+    known = spec.join(nodes.select("tree", "name", "node"), ["tree", "name"], "left")
+    root = nodes.where("parent is null").select("tree", F.col("node").alias("root"))
+    at = known.join(root, "tree").select("tree", F.coalesce("node", "root").alias("parent")).distinct()
+    child = Window.partitionBy("tree", "parent").orderBy("node")
+    kids = nodes.join(at, ["tree", "parent"]).select("tree", "parent", "node", (F.row_number().over(child) - 1).alias("side"), F.count(F.lit(1)).over(Window.partitionBy("tree", "parent")).alias("n"), "pre", (F.col("post") + F.col("depth")).alias("last"))
+    leaf = nodes.where("is_leaf").select("tree", F.col("name").alias("gene"), F.col("pre").alias("at"))
+    below = kids.where("n = 2").join(leaf, "tree").where("at between pre and last")
+    return below.join(genes.select("gene", "sp"), "gene").select(F.col("tree").alias("og"), F.col("parent").alias("node"), "side", "sp", "gene")
+
+
+def ortholog_classes(pairs: DataFrame) -> DataFrame:
+    """(sp_a, sp_b, genes_a, genes_b): genes of a species that have the same orthologs in another, and those. ``pairs``: (a, sp_a, b, sp_b)."""
+    sets = pairs.select("sp_a", "sp_b", "a", "b").distinct().groupBy("sp_a", "sp_b", "a").agg(_cell("b").alias("genes_b"))
+    return sets.groupBy("sp_a", "sp_b", "genes_b").agg(_cell("a").alias("genes_a")).select("sp_a", "sp_b", "genes_a", "genes_b")
+
+
 def enough_for_species_tree(members: DataFrame, n_species: int, least: int = 100) -> DataFrame:
     """(n, enough): groups with all species, and whether there are ``least``."""
     full = members.groupBy("og").agg(F.count_distinct("sp").alias("n_sp")).where(F.col("n_sp") == n_species)

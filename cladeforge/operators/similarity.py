@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeforge.operators.clustering import cut
+
 
 def kmers(seq: Column, k: int) -> Column:
     """All k-letter pieces, in order; none of a shorter sequence."""
@@ -30,11 +32,12 @@ def jaccard_join(idx: DataFrame, least: float, most_genes: int | None = None) ->
     n - ceil(least * n) + 1 pieces of each. Only those meet in the join; sizes are compared before the whole sets.
     ``most_genes`` leaves out pieces of more genes, where the caller defines the score so.
     """
+    idx = cut(idx)
     df = idx.groupBy("piece").agg(F.count(F.lit(1)).alias("df"))
     if most_genes is not None:
         df = df.where((F.col("df") <= most_genes) & (F.col("df") > 1))
     rows = idx.join(df, "piece").withColumn("rn", F.row_number().over(Window.partitionBy("gene").orderBy("df", "piece")))
-    head = rows.where(F.col("rn") <= F.col("n_pieces") - F.ceil(F.lit(least) * F.col("n_pieces")) + 1).select("piece", "gene", "n_pieces")
+    head = cut(rows.where(F.col("rn") <= F.col("n_pieces") - F.ceil(F.lit(least) * F.col("n_pieces")) + 1).select("piece", "gene", "n_pieces"))
     a = head.select("piece", F.col("gene").alias("q"), F.col("n_pieces").alias("nq"))
     b = head.select("piece", F.col("gene").alias("h"), F.col("n_pieces").alias("nh"))
     pairs = a.join(b, "piece").where((F.col("q") < F.col("h")) & (F.least("nq", "nh") >= F.lit(least) * F.greatest("nq", "nh"))).select("q", "h", "nq", "nh").distinct()

@@ -140,8 +140,9 @@ def distance_species_tree(distances: DataFrame) -> str:
     return newick.write(newick.neighbour_joining(every, [[0.0 if a == b else d.get((min(a, b), max(a, b)), far) for b in every] for a in every]))
 
 
-def topology_lines(trees: DataFrame, separator: str = "|") -> DataFrame:
-    """(og, value): trees without lengths, their leaves named by species alone, as programs that combine gene trees read them. Trees of under four leaves are left out."""
+def topology_lines(trees: DataFrame, separator: str = "|", first: int = 50) -> DataFrame:
+    """(og, value): trees without lengths, their leaves named by species alone, as programs that combine gene trees read them. Trees of under four leaves are left out, and
+    so are groups before ``first``, the largest ones."""
 
     def run(batches):
         for batch in batches:
@@ -155,4 +156,4 @@ def topology_lines(trees: DataFrame, separator: str = "|") -> DataFrame:
                 rows.append((og, newick.write(tree, "none", lengths=False)))
             yield pd.DataFrame(rows, columns=["og", "value"])
 
-    return trees.select("og", "newick").mapInPandas(run, f"og {dict(trees.dtypes)['og']}, value string")
+    return trees.where(F.col("og") >= first).select("og", "newick").mapInPandas(run, f"og {dict(trees.dtypes)['og']}, value string")

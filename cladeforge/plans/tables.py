@@ -555,3 +555,51 @@ def consensus_branches(spark, sf_dir):
     nodes = genetrees.tree_nodes(spark.createDataFrame([(0, text)], "og long, newick string"))  # one tree
     full = nodes.join(trees.clades(nodes).select("tree", "node", "leaves"), ["tree", "node"]).where("parent is not null")
     return full.select(F.array_join("leaves", " ").alias("split"), F.when(~F.col("is_leaf"), F.round("support", 5)).alias("support"), F.round("dist", 5).alias("length"))
+
+
+# ---- reconciled locus trees: the same orders of four lines, m0 to m3 from the top; the order's number says which nodes are speciations --------------
+
+LOCUS = QUARTETS + """, sides as (select og, 0 as node, 't' as sa, 't|0' as a, unnest([s1, s2, s3, s4]) as sb, unnest([g1, g2, g3, g4]) as b from q where og % 2 = 0
+    union all select og, 1, s1, g1, unnest([s2, s3, s4]), unnest([g2, g3, g4]) from q where og % 3 <> 0 union all select og, 2, s2, g2, unnest([s3, s4]), unnest([g3, g4]) from q where og % 5 <> 0 union all select og, 3, s3, g3, s4, g4 from q where og % 7 <> 0),
+  pairs as (select og, sa, og::varchar || '.' || a as a, sb, og::varchar || '.' || b as b from sides where sa <> sb)"""
+
+
+def _locus_pairs(spark, sf_dir):
+    inner = F.regexp_replace("newick", r"\):5\):6\):7\);", "):5)m2:6)m1:7)m0;")
+    texts = _quartets(spark, sf_dir).select("og", F.regexp_replace(F.regexp_replace(inner, r":4\):5", ":4)m3:5"), r"(?<=[(,])([^(),:|]+\|)", F.concat(F.col("og").cast("string"), F.lit(".$1"))).alias("newick"))
+    nodes = clustering.cut(genetrees.tree_nodes(texts))
+    rule = {"m0": "tree % 2 = 0", "m1": "tree % 3 <> 0", "m2": "tree % 5 <> 0", "m3": "tree % 7 <> 0"}
+    event = F.coalesce(*(F.when((F.col("name") == n) & F.expr(cond), "spec") for n, cond in rule.items()), F.lit("dup"))
+    events = nodes.where("not is_leaf").select("tree", F.when((F.col("name") == "m0") & (F.col("tree") % 4 == 0), "gone").otherwise(F.col("name")).alias("name"), event.alias("event"))
+    genes = nodes.where("is_leaf").select(F.col("name").alias("gene"), F.regexp_extract("name", r"\.([^|]*)", 1).alias("sp"))
+    sides = results.locus_sides(nodes, events, genes)
+    other = sides.where("side = 1").select("og", "node", F.col("sp").alias("sp_b"), F.col("gene").alias("b"))
+    return sides.where("side = 0").join(other, ["og", "node"]).where("sp <> sp_b").select("og", F.col("sp").alias("sp_a"), F.col("gene").alias("a"), "sp_b", "b")
+
+
+@query(f"with {LOCUS} select og, a, b from pairs")
+def locus_orthologs(spark, sf_dir):
+    return _locus_pairs(spark, sf_dir).select("og", "a", "b")
+
+
+@query(f"""with {LOCUS}, ways as (select sa, a, sb, b from pairs union select sb, b, sa, a from pairs), sets as (select sa, sb, a, string_agg(b, ', ' order by b) as genes_b from ways group by sa, sb, a)
+  select sa as sp_a, sb as sp_b, string_agg(a, ', ' order by a) as genes_a, genes_b from sets group by sa, sb, genes_b""")
+def locus_ortholog_classes(spark, sf_dir):
+    one = _locus_pairs(spark, sf_dir).select("sp_a", "a", "sp_b", "b")
+    return results.ortholog_classes(one.unionByName(one.select(F.col("sp_b").alias("sp_a"), F.col("b").alias("a"), F.col("sp_a").alias("sp_b"), F.col("a").alias("b"))))
+
+
+#: Columns of the aligned rows above, brands as species; single-copy rows alone, by groups that have at least a third of the species so.
+@query(f"""with {ROWS_OF_TEN}, m as (select og, gene, p_brand as sp, aligned from aligned join part on p_partkey = gene), species as (select distinct sp from m), total as (select count(*) as n_species from species),
+  single as (select og, sp, any_value(aligned) as aligned from m group by og, sp having count(*) = 1), chosen as (select og from single, total group by og, n_species having count(*) > 0.2 * n_species),
+  letters as (select og, sp, i, aligned[i] as c from single join chosen using (og), (select unnest(range(1, 11)) as i)),
+  kept as (select og, i from letters, total group by og, i, n_species having count_if(c = '-') + n_species - count(*) <= 0.9 * n_species)
+  select species.sp as sp, string_agg(coalesce(c, '-'), '' order by kept.og, kept.i) as row from species cross join kept left join letters on letters.sp = species.sp and letters.og = kept.og and letters.i = kept.i group by species.sp""")
+def concatenated_alignment(spark, sf_dir):
+    """Species' single-copy rows side by side, without columns of gaps."""
+    p = inputs.table(spark, sf_dir, "part").where("p_partkey is not null and p_name is not null")
+    row = F.regexp_replace(F.rpad(F.substring(F.upper("p_name"), 1, 10), 10, "-"), "[^A-Z]", "-")
+    m = p.select(F.col("p_size").alias("og"), F.col("p_brand").alias("sp"), F.col("p_partkey").alias("gene"), row.alias("aligned"))
+    n_species = m.select("sp").distinct().count()
+    single = m.groupBy("og", "sp").agg(F.count(F.lit(1)).alias("n")).where("n = 1").groupBy("og").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 0.2 * n_species)
+    return genetrees.concatenated(m, m, single, share=0.2)

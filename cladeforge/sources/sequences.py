@@ -85,6 +85,16 @@ def read_profile_hits(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(gene.alias("gene"), group[0].try_cast("long").alias("og"), F.get(group, F.lit(1)).alias("part"), F.get(names, F.lit(1)).alias("sp"), F.concat_ws("_", F.get(names, F.lit(1)), F.get(names, F.lit(2))).alias("hit"), evalue.alias("evalue"))
 
 
+def read_locus_trees(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """((og, newick), (tree, name, species, event)) of a folder of ``<og>.locus.tree`` files, a tree each, and ``<og>.locus.recon`` files with a node, its species
+    and its event a line. Lines with fewer fields are errors."""
+    og = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1)
+    trees = spark.read.option("pathGlobFilter", "*.locus.tree").text(folder, wholetext=True).select(og.alias("og"), F.trim("value").alias("newick"))
+    lines = spark.read.option("pathGlobFilter", "*.locus.recon").text(folder).select(og.alias("tree"), F.split(F.trim("value"), r"\s+").alias("f"), "value").where(F.trim("value") != "")
+    name = F.when(F.size("f") >= 3, F.col("f")[0]).otherwise(F.raise_error(F.concat(F.lit("malformed reconciliation row: "), "value")).cast("string"))
+    return trees, lines.select("tree", name.alias("name"), F.get("f", F.lit(1)).alias("species"), F.get("f", F.lit(2)).alias("event"))
+
+
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     """(og, gene) of a cluster file: ``<n> <ids> $`` records that may go on over lines; profile ids are left out."""
     records = spark.read.option("lineSep", "$").text(path).select(F.trim(F.regexp_replace("value", r"\s+", " ")).alias("v"))

@@ -3,6 +3,7 @@
 import random
 
 from cladeforge import __main__ as command
+from cladeforge.functions import consensus, newick
 from cladeforge.sources import sequences, sinks
 
 
@@ -50,6 +51,25 @@ def test_an_unrooted_species_tree_gets_a_root(spark, tmp_path):
     assert spark.read.text(f"{out}/Orthologues").where("sp_a = 'Aa' and sp_b = 'Dd'").count() == 3
 
 
+def test_a_species_tree_is_inferred(spark, tmp_path):
+    rng = random.Random(11)
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    seqs = {sp: [] for sp in ("Aa", "Bb", "Cc", "Dd", "Ee")}
+    for _ in range(4):
+        base = "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(240))
+        left, right = mutated(rng, base, 0.08), mutated(rng, base, 0.08)
+        for sp, parent in (("Aa", left), ("Bb", left), ("Cc", base), ("Dd", right), ("Ee", right)):
+            seqs[sp].append(mutated(rng, parent, 0.02))
+    for sp, some in seqs.items():
+        (folder / f"{sp}.fa").write_text("".join(f">g{f}\n{s}\n" for f, s in enumerate(some)))
+    command.run(spark, str(folder), out, k=3, components=True, scores_v2=True, infer=True)
+    made = spark.read.json(f"{out}/Unrooted_Species_Tree").first()
+    got = set(consensus.splits(newick.parse(made["species_tree"]), sorted(seqs)))
+    assert made["gene_trees"] == 4 and {0b11100, 0b11000} <= got
+    assert spark.read.text(f"{out}/Orthologues").where("sp_a = 'Aa' and sp_b = 'Dd'").count() == 4
+
+
 def test_clusters_and_groups_read_what_is_written(spark, tmp_path):
     rows = spark.createDataFrame([(0, "Aa", "a"), (0, "Bb", "b"), (1, "Aa", "c")], "og int, sp string, gene string")
     sinks.write_clusters(rows, str(tmp_path / "clusters"))

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladeforge.functions import consensus, newick
-from cladeforge.operators import species_trees
+from cladeforge.operators import genetrees, results, species_trees
+from cladeforge.sources import sequences
 
 
 def random_tree(rng, taxa):
@@ -64,7 +65,8 @@ def test_species_trees_of_gene_trees(spark):
     assert n == 1 and {0b1100} <= set(branches(newick.parse(text), list("abcd")))
     assert species_trees.species_tree(frame.where("false"), "abcd") == (None, 0)
     assert species_trees.species_tree(frame, "ab") == ("(a:1,b:1);", 0)
-    assert [tuple(r) for r in species_trees.topology_lines(frame).collect()] == [(0, "((a,b),((c,d),(c,d)));")]
+    assert [tuple(r) for r in species_trees.topology_lines(frame).collect()] == []
+    assert [tuple(r) for r in species_trees.topology_lines(frame, first=0).collect()] == [(0, "((a,b),((c,d),(c,d)));")]
 
 
 def test_species_tree_of_distances(spark):
@@ -72,3 +74,30 @@ def test_species_tree_of_distances(spark):
     rows = [(x.name, y.name, newick.distance(x, y)) for x, y in combinations(tree.leaves(), 2)]
     got = newick.parse(species_trees.distance_species_tree(spark.createDataFrame(rows, "sp_a string, sp_b string, d double")))
     assert branches(got, list("abcde")) == branches(tree, list("abcde"))
+
+
+def test_species_alignment(spark):
+    members = spark.createDataFrame([(1, "a", "a1"), (1, "b", "b1"), (1, "c", "c1"), (2, "a", "a2"), (2, "b", "b2"), (2, "c", "c2"), (2, "c", "c3"), (3, "a", "a4")], "og long, sp string, gene string")
+    aligned = spark.createDataFrame([(1, "a1", "AC-*"), (1, "b1", "A--G"), (1, "c1", "A-TG"), (2, "a2", "TT"), (2, "b2", "T-"), (2, "c2", "GG")], "og long, gene string, aligned string")
+    both = spark.createDataFrame([(1,), (2,), (3,)], "og long")
+    got = {r["sp"]: r["row"] for r in genetrees.concatenated(aligned, members, both, share=2 / 3).collect()}
+    # columns may lack (1 - 0.5 * 2 / 3) * 3 = 2 species
+    assert got == {"a": "AC--TT", "b": "A--GT-", "c": "A-TG--"}
+    got = {r["sp"]: r["row"] for r in genetrees.concatenated(aligned, members, both, share=1.0, max_gap=1.0).collect()}
+    assert got == {"a": "A", "b": "A", "c": "A"}
+    rows, k = genetrees.species_alignment(aligned, members)
+    assert k == 2 and {r["sp"]: len(r["row"]) for r in rows.collect()} == {"a": 6, "b": 6, "c": 6}
+
+
+def test_locus_tree_files(spark, tmp_path):
+    (tmp_path / "OG1.locus.tree").write_text("((0_1:1,1_1:1)n2:1,(0_2:1,1_2:1)n3:1)n1;\n")
+    (tmp_path / "OG1.locus.recon").write_text("n1\t3\tdup\nn2 3 spec\nabsent 3 spec\n")
+    trees, events = sequences.read_locus_trees(spark, str(tmp_path))
+    nodes = genetrees.tree_nodes(trees)
+    genes = nodes.where("is_leaf").selectExpr("name as gene", "split(name, '_')[0] as sp")
+    sides = results.locus_sides(nodes, events, genes)
+    # an event of an absent node is the root's
+    assert sorted((r["a"], r["b"]) for r in results.gene_pairs(sides).collect()) == [("0_1", "1_1"), ("0_1", "1_2"), ("1_1", "0_2")]
+    (tmp_path / "OG2.locus.recon").write_text("n1 spec\n")
+    with pytest.raises(Exception, match="malformed reconciliation"):
+        sequences.read_locus_trees(spark, str(tmp_path))[1].collect()
