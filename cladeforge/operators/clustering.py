@@ -31,6 +31,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``cut`` that nothing will read again."""
+    for file in table.inputFiles()[:1]:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(q, h) edges -> (gene, og) with og the smallest gene reachable. Labels of neighbours are taken until none changes,
     with a step to the label's own label in each round (pointer jumping), so that paths shorten by half."""
@@ -60,7 +67,7 @@ def symmetric_edges(edges: DataFrame) -> DataFrame:
 def markov(edges: DataFrame, inflation: float = 1.2, rounds: int = 30, keep: int = 500, floor: float = 1e-4, tolerance: float = 1e-4) -> DataFrame:
     """Markov clustering (van Dongen 2000) of (q, h, weight) -> (gene, og), og the smallest gene of the cluster.
 
-    Self loops weigh a node's largest edge. Each round squares the column-stochastic matrix, drops entries below ``floor`` and beyond the ``keep`` largest of a
+    Self loops weigh a node's largest edge. The first matrix is pruned as later ones are. Each round squares the column-stochastic matrix, drops entries below ``floor`` and beyond the ``keep`` largest of a
     column, raises to ``inflation`` and renormalises, until no entry moves by ``tolerance``. Clusters are what the limit connects. No flow
     leaves a component, so components of up to ``DENSE`` genes are a matrix in one task each, and only larger ones are squared by joins.
     """
@@ -80,21 +87,39 @@ def markov(edges: DataFrame, inflation: float = 1.2, rounds: int = 30, keep: int
     return small.unionByName(markov_by_joins(large, inflation, rounds, keep, floor, tolerance))
 
 
-def markov_by_joins(both: DataFrame, inflation: float, rounds: int, keep: int, floor: float, tolerance: float) -> DataFrame:
-    """``markov`` of symmetric (i, j, w) as a loop of joins on the middle node; entries are rounded, so that the order of sums doesn't matter."""
+def stochastic(m: DataFrame) -> DataFrame:
+    """Columns that sum to one; sums are combined before they are joined, so that a long column isn't one task's."""
+    total = m.groupBy("j").agg(F.sum("w").alias("cf_total"))
+    return m.join(total, "j").select("i", "j", F.round(F.col("w") / F.col("cf_total"), 9).alias("w"))
+
+
+def pruned(m: DataFrame, keep: int, floor: float) -> DataFrame:
+    """Entries of ``floor`` and more, the ``keep`` largest of each column."""
+    ranked = m.where(F.col("w") >= floor).withColumn("rn", F.row_number().over(Window.partitionBy("j").orderBy(F.desc("w"), "i")))
+    return ranked.where(F.col("rn") <= keep).drop("rn")
 
-    def stochastic(m: DataFrame) -> DataFrame:
-        return m.withColumn("w", F.round(F.col("w") / F.sum("w").over(Window.partitionBy("j")), 9))
 
+def flow_start(both: DataFrame, keep: int, floor: float) -> DataFrame:
+    """The first matrix of symmetric (i, j, w): with self loops, stochastic, and pruned like all that follow, so that a hub's column has ``keep`` entries when it is squared."""
     loops = both.groupBy("j").agg(F.max("w").alias("w")).select(F.col("j").alias("i"), "j", "w")
-    m = cut(stochastic(both.union(loops)))
+    return stochastic(pruned(stochastic(both.select("i", "j", "w").union(loops)), keep, floor))
+
+
+def flow_square(m: DataFrame) -> DataFrame:
+    """The matrix times itself. Of the pairs that meet at a node one side is that node's column, at most ``keep`` entries: so there are at most ``keep`` times as many pairs as entries."""
+    left = m.select("i", F.col("j").alias("k"), F.col("w").alias("wl"))
+    right = m.select(F.col("i").alias("k"), "j", F.col("w").alias("wr"))
+    return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("wl") * F.col("wr")).alias("w"))
+
+
+def markov_by_joins(both: DataFrame, inflation: float, rounds: int, keep: int, floor: float, tolerance: float) -> DataFrame:
+    """``markov`` of symmetric (i, j, w) as a loop of joins on the middle node; entries are rounded, so that the order of sums doesn't matter."""
+    m = cut(flow_start(both, keep, floor))
     for _ in range(rounds):
-        left = m.select("i", F.col("j").alias("k"), F.col("w").alias("wl"))
-        right = m.select(F.col("i").alias("k"), "j", F.col("w").alias("wr"))
-        squared = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("wl") * F.col("wr")).alias("w")).where(F.col("w") >= floor)
-        top = squared.withColumn("rn", F.row_number().over(Window.partitionBy("j").orderBy(F.desc("w"), "i"))).where(F.col("rn") <= keep).drop("rn")
+        top = pruned(flow_square(m), keep, floor)
         new = cut(stochastic(top.withColumn("w", F.pow("w", F.lit(inflation)))).where(F.col("w") >= floor))
         moved = new.join(m.withColumnRenamed("w", "old"), ["i", "j"], "full").agg(F.max(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("d")).first()["d"]
+        discard(m)
         m = new
         if moved is None or moved < tolerance:
             break

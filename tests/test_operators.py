@@ -1,5 +1,7 @@
 """Gathering, clustering, statistics and sources on fixtures worked by hand."""
 
+from collections import Counter
+
 import numpy as np
 
 from cladeforge.operators import clustering, gathering, orthogroups
@@ -63,3 +65,17 @@ def test_flow_clusters_are_the_same_by_matrix_and_by_joins(spark, monkeypatch):
     monkeypatch.setattr(clustering, "DENSE", 0)
     joins = sorted(map(tuple, clustering.markov(df, inflation=2.0).collect()))
     assert dense == joins and len({og for _, og in dense}) == 5
+
+
+def test_flow_of_hubs_is_bounded(spark, monkeypatch):
+    rng = __import__("random").Random(4)
+    edges = [(0, k, round(rng.uniform(1, 2), 3)) for k in range(1, 120)] + [(a, a + 1, 3.0) for a in range(1, 119, 2)] + [(200 + a, 200 + b, 1.0) for a in range(5) for b in range(a)]
+    df = spark.createDataFrame(edges, "q long, h long, weight double")
+    both = clustering.cut(clustering.symmetric_edges(df))
+    start = clustering.cut(clustering.flow_start(both, 10, 1e-4))
+    assert start.groupBy("j").count().agg({"count": "max"}).first()[0] == 10
+    columns, rows = (Counter(r[c] for r in start.collect()) for c in "ji")
+    assert sum(columns[k] * rows[k] for k in columns) <= 10 * start.count()
+    dense = sorted(map(tuple, clustering.markov(df, inflation=2.0, keep=10).collect()))
+    monkeypatch.setattr(clustering, "DENSE", 0)
+    assert dense == sorted(map(tuple, clustering.markov(df, inflation=2.0, keep=10).collect()))
