@@ -121,8 +121,6 @@ def brute_lines(rows, percent=90):
         for b in keys[x + 1 :]:
             p, q = at[a], at[b]
             near = 100 * min(len(p), len(q)) >= percent * max(len(p), len(q))
-            if near and max(len(p), len(q)) > lines.LONG:
-                p, q = p.split(" "), q.split(" ")
             if p == q or (near and edit_distance(p, q) <= (100 - percent) * max(len(p), len(q)) // 100):
                 links.append((a, b))
     first = components(keys, links)

@@ -189,6 +189,57 @@ def test_leaks_wherever_the_runs_start(spark):
     assert {r["id"] for r in decontam.find_leaks(docs(spark, rows), bench).collect()} == {i for i, _ in rows}
 
 
+def brute_leaks(doc, item, width=8, min_run=13, min_share=0.5):
+    """(matched, run, item_words, n_slots) of the best alignment of two lists of (template word, word), all alignments tried; None where none counts."""
+    best = None
+    for shift in range(-len(item), len(doc)):
+        at = [(k, k + shift) for k in range(len(item)) if 0 <= k + shift < len(doc)]
+        same = {k for k, j in at if item[k][0] == doc[j][0]}
+        blocks = [range(k, k + min(width, len(item))) for k in range(len(item) - min(width, len(item)) + 1)]
+        if not any(all(k in same for k in b) and (any(item[k][0][0] != "‹" for k in b) or all(item[k] == doc[k + shift] for k in b)) for b in blocks):
+            continue
+        slots = [(k, item[k][1], doc[k + shift][1]) for k in sorted(same) if "‹" in item[k][1]]
+        matched = len(same) - len(slots) + sum(max(sum(1 for _, i, d in slots if (i, d) == (v, e)) for e in {d for _, i, d in slots if i == v}) for v in {i for _, i, _ in slots})
+        run = start = 0
+        for k in range(len(item)):
+            if k not in same:
+                start = k + 1
+            elif "‹" in item[k][1]:
+                start = max([start, *(j + 1 for j, i, d in slots if j < k and i == item[k][1] and d != doc[k + shift][1])])
+            run = max(run, k + 1 - start)
+        if run >= min_run or matched >= min_share * len(item):
+            best = max(best or (0,), (matched, run, len(item), len({(i, d) for _, i, d in slots})))
+    return best
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = ["has", "then", "gave", "the", "box", "of", "with", "some", "7", "12", "12", "40", "Anna", "Bob", "Carl"]
+    items = [" ".join(["so", *rng.choices(vocabulary, k=rng.choice([4, 7, 12, 25]))]) for _ in range(12)] + ["1 2 3 4 5 6 7 8 9 10 11 12"]
+    rows = []
+    for k in range(60):
+        words = rng.choice(items).split()
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        rows.append((k, " ".join(rng.choices(vocabulary, k=rng.randint(0, 9)) + words + rng.choices(vocabulary, k=rng.randint(0, 9)))))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["id"], r["item_id"]): (r["matched"], r["run"], r["item_words"], r["n_slots"]) for r in decontam.find_leaks(docs(spark, rows), bench).collect()}
+    both = docs(spark, rows).selectExpr("doc_id as id", "text").unionByName(bench.selectExpr("item_id + 1000 as id", "text"))
+    full = decontam.split_words(decontam.full_template(both["text"]))
+    texts = {r["id"]: list(zip(r["t"], r["f"], strict=True)) for r in both.select("id", full.alias("f")).select("id", "f", decontam.F.transform("f", decontam.template).alias("t")).collect()}
+    want = {(i, k): brute_leaks(texts[i], texts[1000 + k]) for i, _ in rows for k in range(len(items))}
+    assert got == {p: b for p, b in want.items() if b is not None} and len(got) > 20
+
+
+def test_leaks_of_number_tables_and_tiny_items(spark):
+    table = " ".join(str(7 * k % 1000) for k in range(1500))
+    items = [(1, " ".join(str(13 * k % 1000) for k in range(100))), (2, table[200:900]), (3, "the"), (4, " ".join(["0"] * 100))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, table), (2, "the word the and the"), (3, " ".join(["0"] * 300))]
+    got = {(r["id"], r["item_id"]) for r in decontam.find_leaks(docs(spark, rows), bench).collect()}
+    assert got == {(1, 2), (3, 4)}
+
+
 def test_leaks_slots_reject_only_what_they_break(spark):
     item = "A farmer sold 12 crates of apples and 15 crates of pears at the local market, then drove home with Anna and paid Anna 40 dollars for all the help she gave"
     start = " ".join(item.split()[:22])
