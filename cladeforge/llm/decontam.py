@@ -42,8 +42,8 @@ def template(full: Column) -> Column:
 
 
 def window_hash(words: Column, full: Column) -> Column:
-    """Of template words, or of the words with their values where all are placeholders."""
-    return F.when(F.exists(words, lambda w: ~w.startswith("‹")), F.xxhash64(words)).otherwise(F.xxhash64(full))
+    """Of template words, or of the words with their values where all are placeholders; ``full`` may be null where that can't be."""
+    return F.when(full.isNotNull() & F.forall(words, lambda w: w.startswith("‹")), F.xxhash64(full)).otherwise(F.xxhash64(words))
 
 
 def windows(words: Column, full: Column, width: int, stride: int) -> Column:
@@ -75,7 +75,11 @@ def find_leaks(
     few = marks.count() <= BROADCAST_WINDOWS
 
     named = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    cut = named.select("id", split_words(full_template(F.col("text"))).alias("full")).select("id", "full", F.transform("full", template).alias("words"))
+    # words with their values are cut only where as many placeholders as a window has words follow each other; a generator keeps arrays from being made anew for each window
+    bare = r"(?:^|[\x20\x09-\x0D])(?:‹[^\x20\x09-\x0D]*(?:[\x20\x09-\x0D]+|$)){%d}" % min([width, *sizes])
+    cut = named.select("id", full_template(F.col("text")).alias("full")).select("id", "full", template(F.col("full")).alias("template"))
+    arrays = F.struct(split_words("template").alias("words"), F.when(F.col("template").rlike(bare), split_words("full")).alias("full"))
+    cut = cut.select("id", F.inline(F.transform(F.array(arrays), lambda x: x)))
 
     def sized(w: int) -> Column:
         found = F.coalesce(windows(F.col("words"), F.col("full"), w, stride if w == width else 1), F.array().cast("array<struct<at:int,hash:bigint>>"))
