@@ -13,7 +13,9 @@ from math import exp, inf, lgamma, log, log1p
 from cladeforge.functions.newick import Node, distance, reroot
 
 #: What stands for the genes of a side that has more than ``most``.
-TOO_MANY = "Too many genes"
+TOO_MANY = "*"
+#: Fixed value: the prior of branches that are not ends of the tree is so many times smaller.
+INNER_PRIOR = 10
 
 
 class Unrooted:
@@ -241,7 +243,7 @@ def root_probabilities(species_tree: Node, observed: dict[frozenset, int]) -> di
             along, root = log_poisson(inward, term_false) + way, log_poisson(inward, term_true) + here
             x, y = (along, -inf) if len(a) == 1 else (-inf, along)
         else:
-            x, y, root = log_orientations(count_a, count_b, alpha / 10)
+            x, y, root = log_orientations(count_a, count_b, alpha / INNER_PRIOR)
             x, y, root = x + way, y + way, root + here
         whole = log_sum(x, y, root)
         towards[a], at[canonical(a, species)] = x - whole, root - whole

@@ -80,9 +80,3 @@ def search_pairs(species: DataFrame, one_way: bool = False) -> DataFrame:
 def clade_pairs(clades: DataFrame) -> DataFrame:
     """Ordered species pairs within a clade; ``clades``: (clade, species_id)."""
     return clades.withColumnRenamed("species_id", "i").join(clades.withColumnRenamed("species_id", "j"), "clade").select("clade", "i", "j")
-
-
-def sample_keyed(genes: DataFrame, n: int, seed: int = 0, by: str = "og") -> DataFrame:
-    """At most n genes of each group by a keyed hash: the same ones at every layout."""
-    ranked = genes.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64("gene", F.lit(seed)), "gene")))
-    return ranked.where(F.col("rn") <= n).drop("rn")

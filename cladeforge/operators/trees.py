@@ -155,11 +155,6 @@ def closest_pairs(nodes: DataFrame, paths: DataFrame, most: int = 2) -> DataFram
     return a.join(b, ["tree", "node"]).where("sp_a < sp_b").groupBy("tree", "sp_a", "sp_b").agg(F.round(F.min(F.col("da") + F.col("db")), 6).alias("dist"))
 
 
-def median_distances(closest: DataFrame) -> DataFrame:
-    """(sp_a, sp_b, dist): medians over trees."""
-    return closest.groupBy("sp_a", "sp_b").agg(F.percentile("dist", F.lit(0.5)).alias("dist"))
-
-
 def preorder_rank(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """(tree, node, rank) in level order: by depth, then by node."""
     d = depths(paths)

@@ -483,10 +483,10 @@ def tree_comparable(spark, sf_dir):
     return trees.comparable(_heap(spark, sf_dir)[1])
 
 
-@query(TREE + ", p as (select node from nodes where node % 7 = 3) select 0::bigint as tree, node from p where not exists (select 1 from paths q where q.node = p.node and q.steps > 0 and q.ancestor % 7 = 3)")
+@query(TREE + ", p as (select node from nodes where dist >= 4) select 0::bigint as tree, node from p where not exists (select 1 from paths q join p r on r.node = q.ancestor where q.node = p.node and q.steps > 0)")
 def tree_highest(spark, sf_dir):
     nodes, paths = _heap(spark, sf_dir)
-    return trees.highest(paths, nodes.where("node % 7 = 3").select("tree", "node"))
+    return trees.highest(paths, nodes.where("dist >= 4").select("tree", "node"))  # long branches
 
 
 NEAREST = "near as (select node, sp, min(dist) as d from below group by node, sp)"

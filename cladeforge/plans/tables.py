@@ -82,9 +82,9 @@ def duplications_per_level(spark, sf_dir):
     return results.duplications_per_level(_dups(spark, sf_dir))
 
 
-@query(f"with {DUPS}, d as (select * from dups where og % 5 <> 0) select g.og, count(d.og) as n, count(d.og) filter (support >= 0.5) as n_50 from (select unnest(range((select max(og) + 1 from d))) as og) g left join d on d.og = g.og group by g.og")
+@query(f"with {DUPS}, d as (select * from dups where level like 'N%') select g.og, count(d.og) as n, count(d.og) filter (support >= 0.5) as n_50 from (select unnest(range((select max(og) + 1 from d))) as og) g left join d on d.og = g.og group by g.og")
 def duplications_per_group(spark, sf_dir):
-    return results.duplications_per_group(_dups(spark, sf_dir).where("og % 5 <> 0"))
+    return results.duplications_per_group(_dups(spark, sf_dir).where("level like 'N%'"))
 
 
 @query(f"with {DUPS}, r as (select level, og, node from dups where level like 'N%') select level, og, node, level || '.HOG' || lpad((row_number() over (partition by level order by og, node) - 1)::varchar, 7, '0') as hog from r")
@@ -246,10 +246,10 @@ def header_tags(spark, sf_dir):
     return identifiers.header_tags(p.select(F.concat(F.lit("p gene:"), "p_brand", F.lit(" word size:"), F.col("p_size").cast("string"), F.lit(":x ")).alias("header")))
 
 
-@query("select p_partkey, case when p_partkey % 3 = 0 then 'protein ' || p_brand || ' [org]' else 'XP_' || p_partkey::varchar || '.1 protein ' || p_brand || ' [org]' end as gene, true as refseq from part")
+@query("select p_partkey, case when p_partkey % 3 = 0 then 'protein ' || p_brand || ' [org]' else case when p_size < 40 then 'XP_' else 'ENSP_' end || p_partkey::varchar || '.1 protein ' || p_brand || ' [org]' end as gene, p_size < 40 as refseq from part")
 def isoform_free_headers(spark, sf_dir):
     iso = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("isoform X"), (F.col("p_partkey") % 4).cast("string"), F.lit(" "))).otherwise("")
-    head = F.concat(F.lit("XP_"), F.col("p_partkey").cast("string"), F.lit(".1 protein "), "p_brand", F.lit(" "), iso, F.lit("[org]"))
+    head = F.concat(F.when(F.col("p_size") < 40, "XP_").otherwise("ENSP_"), F.col("p_partkey").cast("string"), F.lit(".1 protein "), "p_brand", F.lit(" "), iso, F.lit("[org]"))
     return inputs.table(spark, sf_dir, "part").select("p_partkey", identifiers.isoform_free(head).alias("gene"), identifiers.is_refseq(head).alias("refseq"))
 
 

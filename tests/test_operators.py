@@ -79,3 +79,37 @@ def test_flow_of_hubs_is_bounded(spark, monkeypatch):
     dense = sorted(map(tuple, clustering.markov(df, inflation=2.0, keep=10).collect()))
     monkeypatch.setattr(clustering, "DENSE", 0)
     assert dense == sorted(map(tuple, clustering.markov(df, inflation=2.0, keep=10).collect()))
+
+
+def test_files_that_no_other_test_writes(spark, tmp_path):
+    read = lambda f: "".join(p.read_bytes().decode() for p in sorted((tmp_path / f).rglob("part-*")))
+    sinks.write_graph(spark.createDataFrame([(0, 1, 0.5), (0, 2, 1.25), (3, 0, 2.0)], "q long, h long, weight double"), str(tmp_path / "graph"))
+    assert read("graph") == "0    1:0.500 2:1.250 $\n3    0:2.000 $\n"
+    sinks.write_sorted(spark.createDataFrame([("b", 1), ("a", 2)], "x string, y int"), str(tmp_path / "sorted"), "x")
+    assert "0\ta\t2" in read("sorted") and "1\tb\t1" in read("sorted")
+    sinks.write_fasta(spark.createDataFrame([(1, "n1", "A" * 90), (2, "n2", "CC")], "og int, name string, seq string"), str(tmp_path / "fasta"))
+    assert read("fasta/og=1") == f">n1\n{'A' * 80}\n{'A' * 10}\n" and read("fasta/og=2") == ">n2\nCC\n"
+    lines = sinks.orthoxml(spark.createDataFrame([(0, 's"1', "g1"), (0, "s2", "h&1")], "og int, sp string, gene string")).orderBy("part", "at").collect()
+    text = "\n".join(r["line"] for r in lines)
+    assert text.startswith("<orthoXML") and 'species name="s&quot;1"' in text and text.count("<geneRef") == 2 and text.endswith("</orthoXML>")
+
+
+def test_transcripts_offsets_and_ids(spark):
+    from pyspark.sql import functions as F
+
+    from cladeforge.operators import identifiers
+
+    rows = [(0, 0, "t1 gene:A x", 5), (0, 1, "t2 gene:A", 9), (0, 2, "t3 locus=B", 3), (0, 3, "t4", 1), (1, 0, "t5 gene:A", 2), (1, 1, "t6 gene:A gene:B", 2)]
+    seqs = spark.createDataFrame(rows, "species_id int, seq_idx int, header string, len int")
+    kept = sequences.longest_per_gene(seqs, sequences.gene_of_header(F.col("header")))
+    assert sorted((r["species_id"], r["seq_idx"]) for r in kept.collect()) == [(0, 1), (0, 2), (0, 3), (1, 0), (1, 1)]
+    assert sorted((r["species_id"], r["n"], r["start"]) for r in sequences.offsets(seqs).collect()) == [(0, 4, 0), (1, 2, 4)]
+    bad = identifiers.malformed_ids(spark.createDataFrame([("0: a",), ("#1: b c",), ("",), ("2 d",), ("3:",)], "value string"))
+    assert {r[0] for r in bad.collect()} == {"2 d", "3:"}
+
+
+def test_choosing_how_many_species():
+    # all species do where there are enough groups; fewer only where that pays
+    assert orthogroups.choose_occupancy([(4, 2000), (3, 9000), (2, 9000), (1, 9000)]) == 4
+    assert orthogroups.choose_occupancy([(4, 10), (3, 120), (2, 130), (1, 500)]) == 3
+    assert orthogroups.choose_occupancy([(4, 10), (3, 120), (2, 900), (1, 950)]) == 2
