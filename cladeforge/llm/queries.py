@@ -91,6 +91,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_minhash": """with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+  sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) end as s from w),
+  rows as materialized (select doc_id, len(s) as n, unnest(s) as piece from sets),
+  links as materialized (select a.doc_id as a, b.doc_id as b from rows a join rows b on a.piece = b.piece and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+  reach(id, root) as (select doc_id, doc_id from documents union select l.b, r.root from reach r join links l on l.a = r.id),
+  label as (select id, min(root) as component_id from reach group by id)
+  select doc_id, len(s)::bigint as n_shingles, component_id, component_id = doc_id as kept from sets join label on id = doc_id""",
+    "op8_warc": """with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+  bits as (select page_id, html, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(('0x' || substr(h, i, 1))::integer), 4, '0')), '') as b from p),
+  d as (select page_id, strlen(html)::bigint as payload_bytes, html, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_reduce(list_transform(range(1, 6), lambda j: substr(b, 5 * i + j, 1)::integer), lambda x, y: 2 * x + y), 1)), '') as payload_digest from bits),
+  m as (select *, max(page_id) over (partition by html) as first_id from d)
+  select page_id, payload_bytes, payload_digest, case when page_id = first_id then 'response' else 'revisit' end as record_type, case when page_id <> first_id then first_id end as refers_to from m""",
     "op3_urls": """with rules(action, r_host, r_path) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('allow', 'example.net', '/de/8'), ('block', 'org', '/es/')),
   p as (select row_number() over () as k, page_id, coalesce(translate(regexp_extract(url, '^(?:.|\\n)*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
     coalesce(regexp_extract(url, '^(?:.|\\n)*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
