@@ -548,13 +548,13 @@ def species_split_counts(spark, sf_dir):
 
 @query(f"""with {SPLITS}, one as (select * from inner_ones order by n desc, m limit 1), two as (select i.* from inner_ones i, one o where i.m <> o.m and (i.m & o.m) in (0, i.m, o.m) order by i.n desc, i.m limit 1),
   total as (select count(*) as trees from four), every as (select m, n, length from one union all select m, n, length from two union all select m, n, length from counted where bit_count(m) in (1, 4))
-  select case when bit_count(m) = 4 then '0' else {NAMES_OF} end as split, case when bit_count(m) in (1, 4) then null else round(n / trees, 5) end as support, round(length, 5) as length from every, total""")
+  select case when bit_count(m) = 4 then '0' else {NAMES_OF} end as split, case when bit_count(m) not in (1, 4) then n end as n_trees, trees, round(length, 5) as length from every, total""")
 def consensus_branches(spark, sf_dir):
     """Branches of the greedy consensus of those species trees."""
-    text, _ = species_trees.consensus_tree(species_trees.closest_species_trees(_quartets(spark, sf_dir), FIVE_TAXA), FIVE_TAXA)
+    text, n = species_trees.consensus_tree(species_trees.closest_species_trees(_quartets(spark, sf_dir), FIVE_TAXA), FIVE_TAXA)
     nodes = genetrees.tree_nodes(spark.createDataFrame([(0, text)], "og long, newick string"))  # one tree
     full = nodes.join(trees.clades(nodes).select("tree", "node", "leaves"), ["tree", "node"]).where("parent is not null")
-    return full.select(F.array_join("leaves", " ").alias("split"), F.when(~F.col("is_leaf"), F.round("support", 5)).alias("support"), F.round("dist", 5).alias("length"))
+    return full.select(F.array_join("leaves", " ").alias("split"), F.when(~F.col("is_leaf"), F.round(F.col("support") * n).cast("long")).alias("n_trees"), F.lit(n).cast("long").alias("trees"), F.round("dist", 5).alias("length"))
 
 
 # ---- reconciled locus trees: the same orders of four lines, m0 to m3 from the top; the order's number says which nodes are speciations --------------
