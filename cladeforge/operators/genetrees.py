@@ -104,6 +104,25 @@ def tree_nodes(trees: DataFrame) -> DataFrame:
     return trees.select("og", "newick").mapInPandas(run, f"tree {dict(trees.dtypes)['og']}, node long, parent long, name string, dist double, support double, pre long, post long, depth long, is_leaf boolean")
 
 
+def renamed(trees: DataFrame, names: DataFrame) -> DataFrame:
+    """(og, newick) with leaves (gene) named by ``names`` (gene, name); leaves without a name keep theirs. Supports, lengths and inner names stay. A tree's nodes are one group."""
+    nodes = tree_nodes(trees)
+    known = nodes.join(names.select(F.col("gene").alias("cf_gene"), F.col("name").alias("cf_name")).dropDuplicates(["cf_gene"]), F.col("is_leaf") & (F.col("name") == F.col("cf_gene")), "left")
+    rows = known.select("tree", "node", "parent", F.coalesce("cf_name", "name").alias("name"), "dist", "support")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        at: dict[int, newick.Node] = {}
+        for r in pdf.sort_values("node").itertuples():  # parents come before their children
+            at[r.node] = n = newick.Node(r.name or "", r.dist, None if pd.isna(r.support) else r.support)
+            if not pd.isna(r.parent):
+                at[int(r.parent)].add(n)
+        root = at[min(at)]
+        inner = "support" if any(n.support is not None for n in at.values()) else "name"
+        return pd.DataFrame({"og": [pdf["tree"].iat[0]], "newick": [newick.write(root, inner)]})
+
+    return rows.groupBy("tree").applyInPandas(one, f"og {dict(trees.dtypes)['og']}, newick string")
+
+
 def rearranged(trees: DataFrame, species_tree: str | None = None, separator: str = "|", events: bool = False) -> DataFrame:
     """(og, newick, n_moves) of rooted gene trees (og, newick) whose leaves are ``species<separator>gene``, rearranged where sisters share species.
 

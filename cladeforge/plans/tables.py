@@ -603,3 +603,10 @@ def concatenated_alignment(spark, sf_dir):
     n_species = m.select("sp").distinct().count()
     single = m.groupBy("og", "sp").agg(F.count(F.lit(1)).alias("n")).where("n = 1").groupBy("og").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 0.2 * n_species)
     return genetrees.concatenated(m, m, single, share=0.2)
+
+
+@query(f"with {QUARTETS} select og, '(t|0:1,(p' || s1 || '-1:1,(p' || s2 || '-2:2,(p' || s3 || '-3:3,p' || s4 || '-4:4):5):6):7);' as newick from q")
+def renamed_trees(spark, sf_dir):
+    """Trees of four lines with other names for their leaves; t keeps its own."""
+    names = spark.range(4).crossJoin(spark.range(1, 5).withColumnRenamed("id", "k")).select(F.concat_ws("|", F.col("id").cast("string"), F.col("k").cast("string")).alias("gene"), F.concat(F.lit("p"), F.col("id").cast("string"), F.lit("-"), F.col("k").cast("string")).alias("name"))  # sixteen rows
+    return genetrees.renamed(_quartets(spark, sf_dir), names)

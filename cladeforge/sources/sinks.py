@@ -104,3 +104,9 @@ def orthoxml(members: DataFrame) -> DataFrame:
     groups = members.groupBy("og").agg(F.array_sort(F.collect_list(ref)).alias("g")).select(F.lit(3).alias("part"), F.lpad(F.col("og").cast("string"), 12, "0").alias("at"), F.concat(F.lit('    <orthologGroup id="'), F.col("og").cast("string"), F.lit('">\n'), F.array_join("g", "\n"), F.lit("\n    </orthologGroup>")).alias("line"))
     frame = members.sparkSession.createDataFrame([(0, "", '<orthoXML version="0.3">'), (2, "", "  <groups>"), (4, "", "  </groups>\n</orthoXML>")], "part int, at string, line string")
     return frame.union(species).union(groups)
+
+
+def write_hog_fasta(hogs: DataFrame, seqs: DataFrame, path: str, level: str = "N0") -> None:
+    """Sequences (gene, seq) of each hierarchical group of a level, a folder a group. ``hogs``: (hog, level, genes)."""
+    rows = hogs.where(F.col("level") == level).select("hog", F.explode("genes").alias("gene")).join(seqs.select("gene", "seq"), "gene")
+    write_fasta(rows.select("hog", F.col("gene").alias("name"), "seq"), path, by="hog")

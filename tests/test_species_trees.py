@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cladeforge.functions import consensus, newick
 from cladeforge.operators import genetrees, results, species_trees
-from cladeforge.sources import sequences
+from cladeforge.sources import sequences, sinks
 
 
 def random_tree(rng, taxa):
@@ -101,3 +101,14 @@ def test_locus_tree_files(spark, tmp_path):
     (tmp_path / "OG2.locus.recon").write_text("n1 spec\n")
     with pytest.raises(Exception, match="malformed reconciliation"):
         sequences.read_locus_trees(spark, str(tmp_path))[1].collect()
+
+
+def test_renaming_and_group_files(spark, tmp_path):
+    trees = spark.createDataFrame([(1, "((0_1:1,0_2:2)0.9:3,1_1:4);"), (2, "(0_1:1,(1_1:1,9_9:1)n1:1);"), (3, None)], "og long, newick string")
+    names = spark.createDataFrame([("0_1", "Aa_x"), ("0_2", "Aa_y"), ("1_1", "Bb_z"), ("n1", "wrong")], "gene string, name string")
+    got = {r["og"]: r["newick"] for r in genetrees.renamed(trees, names).collect()}
+    assert got == {1: "((Aa_x:1,Aa_y:2)0.9:3,Bb_z:4);", 2: "(Aa_x:1,(Bb_z:1,9_9:1)n1:1);"}
+    hogs = spark.createDataFrame([("N0.HOG1", "N0", ["a", "b"]), ("N1.HOG1", "N1", ["a"])], "hog string, level string, genes array<string>")
+    sinks.write_hog_fasta(hogs, spark.createDataFrame([("a", "AC"), ("b", "GT")], "gene string, seq string"), str(tmp_path / "hogs"))
+    assert sorted(p.name for p in (tmp_path / "hogs").glob("hog=*")) == ["hog=N0.HOG1"]
+    assert "".join(p.read_text() for p in (tmp_path / "hogs").rglob("part-*")) == ">a\nAC\n>b\nGT\n"
