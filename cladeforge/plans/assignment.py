@@ -17,7 +17,7 @@ def new_species_clades(spark, species_tree: str, core: list[str], most: int = 2)
     """(clade, sp): the highest clades of a rooted species tree (Newick) with ``most`` core species at most, and a new one."""
     tree = spark.createDataFrame([(0, newick.write(newick.parse(species_tree)))], "og long, newick string")
     nodes = clustering.cut(genetrees.tree_nodes(tree))
-    paths = clustering.cut(trees.closure(nodes))
+    paths = trees.routes(nodes)
     leaves = nodes.where("is_leaf").select("tree", F.col("node").alias("leaf"), F.col("name").alias("sp"))
     known = leaves.where(F.col("sp").isin(core)).select("leaf")
     top = trees.small_clades(nodes, paths, known, most)

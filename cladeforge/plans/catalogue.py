@@ -387,12 +387,12 @@ TREE = "with recursive " + HEAP + ",\n" + PATHS + ",\n" + LEAVES
 
 def _heap(spark, sf_dir):
     nodes = inputs.heap_nodes(spark, sf_dir)
-    return nodes, trees.closure(nodes)
+    return nodes, trees.routes(nodes)
 
 
 @query(TREE + " select tree, node, ancestor, steps, round(dist, 6) as dist from paths")
 def tree_paths(spark, sf_dir):
-    return _heap(spark, sf_dir)[1].select("tree", "node", "ancestor", "steps", F.round("dist", 6).alias("dist"))
+    return trees.closure(_heap(spark, sf_dir)[1]).select("tree", "node", "ancestor", "steps", F.round("dist", 6).alias("dist"))
 
 
 @query(TREE + " select tree, node, max(steps) as depth, round(max(dist), 6) as height from paths group by tree, node")
@@ -455,7 +455,7 @@ def tree_splits(spark, sf_dir):
   select 0::bigint as tree, count(*) filter (s2.side is null) as rf, count(*) as n from s left join s2 on s2.side = s.side""")
 def tree_robinson_foulds(spark, sf_dir):
     nodes, paths = _heap(spark, sf_dir)
-    all_splits = trees.splits(nodes, paths)
+    all_splits = trees.split_prints(nodes, paths)
     return trees.robinson_foulds(all_splits, all_splits.where("node % 3 <> 0"))
 
 

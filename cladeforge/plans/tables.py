@@ -306,7 +306,7 @@ def new_clades(spark, sf_dir):
 
 @query(TREE + ", total as (select sum(dist) as t from nodes where parent is not null) select tree, node, round(case when dist - 1.5 < 0 then 1e-6 * t else dist - 1.5 end, 9) as dist from nodes, total")
 def mended_branches(spark, sf_dir):
-    nodes = _heap(spark, sf_dir)[0]
+    nodes = inputs.heap_nodes(spark, sf_dir)
     return trees.mend_branches(nodes.withColumn("total", F.col("dist")).withColumn("dist", F.col("dist") - 1.5), "total").withColumn("dist", F.round("dist", 9))
 
 
@@ -422,7 +422,7 @@ def tree_path_lengths(spark, sf_dir):
     leaf = nodes.where("is_leaf").select("tree", "node", "name")
     ends = d.select(F.col("og").alias("tree"), F.col("a").alias("na"), F.col("b").alias("nb"))
     ends = ends.join(leaf.select("tree", F.col("node").alias("a"), F.col("name").alias("na")), ["tree", "na"]).join(leaf.select("tree", F.col("node").alias("b"), F.col("name").alias("nb")), ["tree", "nb"])
-    found = trees.distances(trees.closure(nodes), ends.select("tree", "a", "b"))
+    found = trees.distances(trees.routes(nodes), ends.select("tree", "a", "b"))
     return found.join(ends, ["tree", "a", "b"]).select(F.col("tree").alias("og"), F.col("na").alias("a"), F.col("nb").alias("b"), "dist")
 
 
