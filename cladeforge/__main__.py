@@ -20,13 +20,16 @@ from cladeforge.sources.stages import Stages
 
 def run(
     spark: SparkSession, folder: str, output: str, k: int = 5, least: float = 0.1, inflation: float = 1.2, components: bool = False, scores_v2: bool = False, species_tree: str | None = None, unrooted: bool = False, rearrange: bool = True,
-    stop: str | None = None, infer: bool = False,
+    stop: str | None = None, infer: bool = False, only: list[str] | None = None, species_info: str | None = None,
 ) -> DataFrame:
     """Read, join by k-mers, gather, cluster, write; with a rooted species tree (Newick) also trees and what they give. Returns (og, sp, gene). ``stop``: "sequences",
-    "hits", "groups" or "trees", after which no more is done (the last table made comes back). ``infer``: without a species tree, make one of the gene trees."""
+    "hits", "groups" or "trees", after which no more is done (the last table made comes back). ``infer``: without a species tree, make one of the gene trees.
+    ``only``: the species to read. ``species_info``: a table of ``sequences.read_species_info``, with which groups are written as OrthoXML too."""
     settings = {"folder": folder, "k": k, "least": least, "inflation": inflation, "components": components, "scores_v2": scores_v2, "species_tree": species_tree, "unrooted": unrooted, "rearrange": rearrange, "infer": infer}
+    if only is not None:
+        settings["only"] = sorted(only)
     stages = Stages(spark, f"{output}/Stages", settings)
-    seqs = stages.table("sequences", lambda: sequences.read_fasta(spark, folder))
+    seqs = stages.table("sequences", lambda: sequences.read_fasta(spark, folder, only=only))
     if stop == "sequences":
         return seqs
     genes = seqs.select("accession", F.col("species").alias("sp"), "len", F.concat("species_id", F.lit("_"), "seq_idx").alias("gene"), "residues")
@@ -46,6 +49,9 @@ def run(
     members = stages.table("members", lambda: orthogroups.with_singletons(grouped, genes).join(genes.select("gene", "accession"), "gene").select("og", "sp", F.col("accession").alias("gene")))
     species = species_of(genes)
     sinks.write_groups(members, species, output)
+    sinks.write_unassigned_fasta(genes.select(F.col("accession").alias("gene"), "sp", F.col("residues").alias("seq")), members, f"{output}/Unassigned_Sequences")
+    if species_info is not None:
+        sinks.write_orthoxml(members, f"{output}/Orthogroups.orthoxml", sequences.read_species_info(spark, species_info, species))
     if (species_tree is not None or infer) and stop != "groups":
         named = genes.select("gene", "sp", F.concat_ws("|", "sp", "accession").alias("name"))
         scored = normalise(gathering.with_genes(gathering.best_per_pair(hits), genes))
@@ -152,6 +158,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--no-rearrangement", action="store_true", help="reconcile gene trees as they are")
     p.add_argument("--profile-genes", type=int, default=20, help="with --assign: genes of a group's profile")
     p.add_argument("--separator", default="_", help="with --resolve: what parts species and gene in a leaf's name")
+    p.add_argument("--only", nargs="+", metavar="SPECIES", help="read the files of these species only")
+    p.add_argument("--species-info", help="table of sequence file, name, taxon number, database and version: groups are written as OrthoXML too")
     p.add_argument("--stop", choices=["sequences", "hits", "groups", "trees"], help="the last stage to be done")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
@@ -161,7 +169,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.assign:
         assign(spark, a.folder, a.output, a.assign, tree, a.k, a.least, a.profile_genes, a.inflation, a.components)
     else:
-        run(spark, a.folder, a.output, a.k, a.least, a.inflation, a.components, a.scores_v2, tree, a.unrooted, not a.no_rearrangement, a.stop, a.infer_species_tree)
+        run(spark, a.folder, a.output, a.k, a.least, a.inflation, a.components, a.scores_v2, tree, a.unrooted, not a.no_rearrangement, a.stop, a.infer_species_tree, a.only, a.species_info)
 
 
 if __name__ == "__main__":

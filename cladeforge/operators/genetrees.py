@@ -240,16 +240,6 @@ def alignments(members: DataFrame) -> DataFrame:
     return members.select("og", "gene", "seq").groupBy("og").applyInPandas(one, f"og {kinds['og']}, gene {kinds['gene']}, aligned string")
 
 
-def trimmed(aligned: DataFrame, **options) -> DataFrame:
-    """(og, gene, aligned) with sparse columns gone."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        keep = align.trim_columns(list(pdf["aligned"]), **options)
-        return pdf.assign(aligned=["".join(r[k] for k in keep) for r in pdf["aligned"]])
-
-    return aligned.select("og", "gene", "aligned").groupBy("og").applyInPandas(one, aligned.select("og", "gene", "aligned").schema)
-
-
 def concatenated(aligned: DataFrame, members: DataFrame, groups: DataFrame, share: float = 1.0, max_gap: float = 0.5) -> DataFrame:
     """(sp, row): each species' rows of the chosen ``groups`` (og) joined in order of group; one row a species of ``members`` (og, sp, gene).
 

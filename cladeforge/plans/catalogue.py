@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeforge.operators import clustering, gathering, genetrees, orthogroups, similarity, trees
+from cladeforge.operators import alignments, clustering, gathering, genetrees, orthogroups, similarity, trees
 from cladeforge.plans import inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -598,4 +598,4 @@ def alignment_residues(spark, sf_dir):
 @query()
 def group_alignments(spark, sf_dir):
     p = inputs.table(spark, sf_dir, "part").where("p_partkey is not null").select(F.col("p_size").alias("og"), F.col("p_partkey").alias("gene"), F.upper("p_name").alias("seq"))
-    return genetrees.trimmed(genetrees.alignments(p))
+    return alignments.trimmed(genetrees.alignments(p))

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cladeforge.operators import clustering, genetrees, identifiers, profiles, results, similarity, species_trees, trees
+from cladeforge.operators import alignments, clustering, genetrees, identifiers, profiles, results, similarity, species_trees, trees
 from cladeforge.plans import inputs
 from cladeforge.plans.catalogue import ORACLE, QUERIES, TREE, _heap, query  # noqa: F401
+from cladeforge.sources import sinks
 
 SIDES = """sides as (select distinct l_orderkey % 97 as og, l_orderkey as node, (l_linenumber % 2)::integer as side, l_suppkey % 5 as sp, l_partkey as gene, l_partkey % 13 = 0 as suspect from lineitem)"""
 ROWS = """cells as (select og, node, side, sp, string_agg(gene::varchar, ', ' order by gene::varchar) as genes, count(*) as n from sides group by og, node, side, sp),
@@ -610,3 +611,69 @@ def renamed_trees(spark, sf_dir):
     """Trees of four lines with other names for their leaves; t keeps its own."""
     names = spark.range(4).crossJoin(spark.range(1, 5).withColumnRenamed("id", "k")).select(F.concat_ws("|", F.col("id").cast("string"), F.col("k").cast("string")).alias("gene"), F.concat(F.lit("p"), F.col("id").cast("string"), F.lit("-"), F.col("k").cast("string")).alias("name"))  # sixteen rows
     return genetrees.renamed(_quartets(spark, sf_dir), names)
+
+
+# ---- alignments as rows ---------------------------------------------------------------------------------------------
+
+
+def _rows_of_ten(spark, sf_dir):
+    p = inputs.table(spark, sf_dir, "part").where("p_partkey is not null and p_name is not null")
+    row = F.regexp_replace(F.rpad(F.substring(F.upper("p_name"), 1, 10), 10, "-"), "[^A-Z]", "-")
+    return p.select(F.col("p_size").alias("og"), F.col("p_partkey").alias("gene"), row.alias("aligned"))
+
+
+LETTERS = ROWS_OF_TEN + """, letters as (select og, gene, i, aligned[i + 1] as c from aligned, (select unnest(range(0, 10)) as i)), per as (select og, i, c, count(*) as n from letters group by all),
+  cols as (select og, i as pos, sum(n)::bigint as n_rows, coalesce(sum(n) filter (c <> '-'), 0)::bigint as n_letters, count(*) filter (c <> '-') as n_kinds, (min((-n, c)) filter (c <> '-'))[2] as top, max(n) filter (c <> '-') as n_top from per group by og, i)"""
+
+
+@query(f"with {LETTERS} select * from cols")
+def alignment_columns(spark, sf_dir):
+    """Residues of each column of the rows, and the most frequent one."""
+    return alignments.columns(_rows_of_ten(spark, sf_dir))
+
+
+@query(f"with {LETTERS} select og, gene, i as pos, c as letter from letters where c <> '-'")
+def alignment_cells(spark, sf_dir):
+    return alignments.cells(_rows_of_ten(spark, sf_dir))
+
+
+#: Of ten columns those stay that have residues in 95 % of the rows, or as many as let six columns and 70 % of the residues stay.
+KEPT = LETTERS + """, stay as (select a.og, a.n_letters, any_value(a.n_rows) as n_rows, count(*) as cols, sum(b.n_letters) as letters from (select distinct og, n_letters, n_rows from cols) a join cols b on a.og = b.og and b.n_letters >= a.n_letters group by a.og, a.n_letters),
+  total as (select og, sum(n_letters) as total from cols group by og), least as (select og, least(0.95 * any_value(n_rows), max(n_letters) filter (cols >= 6 and letters >= 0.7 * total)) as least from stay join total using (og) group by og)"""
+
+
+@query(f"with {KEPT} select a.og, a.gene, string_agg(a.c, '' order by a.i) as aligned from letters a join cols on cols.og = a.og and cols.pos = a.i join least on least.og = a.og where cols.n_letters >= least.least group by a.og, a.gene")
+def trimmed_rows(spark, sf_dir):
+    """The rows without sparse columns."""
+    return alignments.trimmed(_rows_of_ten(spark, sf_dir), least_share=0.95, least_columns=6, least_letters=0.7).select("og", "gene", "aligned")
+
+
+@query(f"with {ROWS_OF_TEN} select og, gene, aligned from aligned where og in (select og from aligned group by og having count(distinct aligned) >= 38)")
+def varied_alignments(spark, sf_dir):
+    """Rows of groups with many different ones."""
+    return alignments.varied(_rows_of_ten(spark, sf_dir), 38).select("og", "gene", "aligned")
+
+
+@query(f"with {ROWS_OF_TEN} select og, 0 as part, '' as gene, '# STOCKHOLM 1.0' || chr(10) || '#=GF AC ' || og::varchar as line from aligned group by og union all select og, 1, gene::varchar, gene::varchar || ' ' || aligned from aligned union all select og, 2, '', '//' from aligned group by og")
+def stockholm_lines(spark, sf_dir):
+    """Alignments in Stockholm format, a line a row."""
+    return alignments.stockholm(_rows_of_ten(spark, sf_dir))
+
+
+@query(f"with {ROWS_OF_TEN} select og, p_brand || '|' || gene::varchar as gene, aligned from aligned join part on p_partkey = gene")
+def renamed_alignments(spark, sf_dir):
+    names = inputs.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene"), F.concat_ws("|", "p_brand", F.col("p_partkey").cast("string")).alias("name"))
+    return alignments.renamed(_rows_of_ten(spark, sf_dir), names).select("og", "gene", "aligned")
+
+
+@query("""with genes as (select p_partkey::varchar as gene, p_brand as sp, p_size as og from part where p_partkey is not null), numbered as (select *, row_number() over (order by sp, gene) - 1 as id from genes),
+  lines as (select 0 as part, '<orthoXML version="0.3" origin="cladeforge" xmlns="http://orthoXML.org/2011/">' as line union all select 2, '  <groups>' union all select 4, '  </groups>' || chr(10) || '</orthoXML>'
+    union all select distinct 1, '  <species name="' || sp || '">' || chr(10) || '    <database>' || chr(10) || '      <genes>' from genes
+    union all select 1, '        <gene id="' || id::varchar || '" geneId="' || gene || '"/>' from numbered
+    union all select 1, '      </genes>' || chr(10) || '    </database>' || chr(10) || '  </species>' from (select distinct sp from genes)
+    union all select distinct 3, '    <orthologGroup id="' || og::varchar || '">' from genes union all select 3, '      <geneRef id="' || id::varchar || '"/>' from numbered
+    union all select 3, '    </orthologGroup>' from (select distinct og from genes)) select * from lines""")
+def orthoxml_lines(spark, sf_dir):
+    """Parts as genes, sizes as groups, brands as species, as an OrthoXML document's lines."""
+    p = inputs.table(spark, sf_dir, "part").where("p_partkey is not null")
+    return sinks.orthoxml(p.select(F.col("p_size").alias("og"), F.col("p_brand").alias("sp"), F.col("p_partkey").alias("gene"))).select("part", "line")

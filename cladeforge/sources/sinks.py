@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeforge.operators import orthogroups, results
+from cladeforge.operators import alignments, orthogroups, results
 from cladeforge.operators.ranking import with_rank
 
 
@@ -95,15 +95,79 @@ def write_orthologs(pairs: DataFrame, path: str, compress: bool = False) -> None
     (writer.option("compression", "gzip") if compress else writer).text(path)
 
 
-def orthoxml(members: DataFrame) -> DataFrame:
-    """(part, at, line): an OrthoXML document's lines, in order of (part, at): genes by species, then groups."""
-    gene = F.format_string('        <gene id="%s" geneId="%s"/>', F.col("gene").cast("string"), F.col("gene").cast("string"))
-    quote = lambda c: F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
-    species = members.groupBy("sp").agg(F.array_sort(F.collect_set(gene)).alias("g")).select(F.lit(1).alias("part"), F.col("sp").cast("string").alias("at"), F.concat(F.lit('  <species name="'), quote("sp"), F.lit('">\n    <database>\n      <genes>\n'), F.array_join("g", "\n"), F.lit("\n      </genes>\n    </database>\n  </species>")).alias("line"))
-    ref = F.format_string('      <geneRef id="%s"/>', F.col("gene").cast("string"))
-    groups = members.groupBy("og").agg(F.array_sort(F.collect_list(ref)).alias("g")).select(F.lit(3).alias("part"), F.lpad(F.col("og").cast("string"), 12, "0").alias("at"), F.concat(F.lit('    <orthologGroup id="'), F.col("og").cast("string"), F.lit('">\n'), F.array_join("g", "\n"), F.lit("\n    </orthologGroup>")).alias("line"))
-    frame = members.sparkSession.createDataFrame([(0, "", '<orthoXML version="0.3">'), (2, "", "  <groups>"), (4, "", "  </groups>\n</orthoXML>")], "part int, at string, line string")
-    return frame.union(species).union(groups)
+def orthoxml(members: DataFrame, info: DataFrame | None = None) -> DataFrame:
+    """(part, at, line): an OrthoXML document's lines, in order of (part, at): genes (og, sp, gene) by species, numbered over all, then groups. ``info``: ``read_species_info``;
+    without it species have no taxon number. A line holds a gene, so that no row grows with a genome or a group."""
+    quote = lambda c: F.replace(F.replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit("<"), F.lit("&lt;"))
+    place = lambda c, step, k: F.concat(c, F.lit("\t" + step), F.lpad(k.cast("string"), 19, "0"))
+    sp, zero = F.col("sp").cast("string"), F.lit(0)
+    genes = with_rank(members.select(sp.alias("sp"), F.col("gene").cast("string").alias("gene")).distinct(), F.col("sp"), F.col("gene"), name="id")
+    species = genes.select("sp").distinct()
+    if info is None:
+        head = F.concat(F.lit('  <species name="'), quote(sp), F.lit('">\n    <database>\n      <genes>'))
+    else:
+        species = species.join(info, "sp")
+        database = F.concat(F.lit('">\n    <database name="'), quote(F.col("source")), F.lit('" version="'), quote(F.col("version")), F.lit('">\n      <genes>'))
+        head = F.concat(F.lit('  <species name="'), quote(F.col("name")), F.lit('" NCBITaxId="'), quote(F.col("taxon")), database)
+    opened = species.select(F.lit(1).alias("part"), place(sp, "0", zero).alias("at"), head.alias("line"))
+    closed = species.select(F.lit(1), place(sp, "2", zero), F.lit("      </genes>\n    </database>\n  </species>"))
+    each = genes.select(F.lit(1), place(sp, "1", F.col("id")), F.concat(F.lit('        <gene id="'), F.col("id").cast("string"), F.lit('" geneId="'), quote(F.col("gene")), F.lit('"/>')))
+    og = F.lpad(F.col("og").cast("string"), 19, "0")
+    groups = members.select("og").distinct()
+    refs = members.select("og", sp.alias("sp"), F.col("gene").cast("string").alias("gene")).distinct().join(genes, ["sp", "gene"])
+    refs = refs.select(F.lit(3), place(og, "1", F.col("id")), F.concat(F.lit('      <geneRef id="'), F.col("id").cast("string"), F.lit('"/>')))
+    begun = groups.select(F.lit(3), place(og, "0", zero), F.concat(F.lit('    <orthologGroup id="'), F.col("og").cast("string"), F.lit('">')))
+    ended = groups.select(F.lit(3), place(og, "2", zero), F.lit("    </orthologGroup>"))
+    frame = members.sparkSession.createDataFrame([(0, "", '<orthoXML version="0.3" origin="cladeforge" xmlns="http://orthoXML.org/2011/">'), (2, "", "  <groups>"), (4, "", "  </groups>\n</orthoXML>")], "part int, at string, line string")
+    for rows in (opened, each, closed, begun, refs, ended):
+        frame = frame.union(rows)
+    return frame
+
+
+def write_orthoxml(members: DataFrame, path: str, info: DataFrame | None = None) -> None:
+    """The document as part files that follow each other."""
+    orthoxml(members, info).orderBy("part", "at").select("line").write.mode("overwrite").text(path)
+
+
+def write_stockholm(aligned: DataFrame, path: str) -> None:
+    """Alignments (og, gene, aligned) as Stockholm records; a record is whole in its part file."""
+    alignments.stockholm(aligned).repartition("og").sortWithinPartitions("og", "part", "gene").select("line").write.mode("overwrite").text(path)
+
+
+def write_named_fasta(seqs: DataFrame, names: DataFrame, path: str, by: str | None = "og") -> None:
+    """Sequences (by, gene, seq) of the genes that ``names`` (gene, name) has, under those names."""
+    picked = seqs.join(names.select("gene", "name").dropDuplicates(["gene"]), "gene")
+    write_fasta(picked.select(*([] if by is None else [by]), "name", "seq"), path, by)
+
+
+def write_unassigned_fasta(genes: DataFrame, members: DataFrame, path: str) -> None:
+    """Sequences (gene, sp, seq) of the genes that aren't in a group of ``members`` (og, gene) with another gene, a folder a species."""
+    grouped = members.select("sp", "gene").join(orthogroups.unassigned(members), ["sp", "gene"], "left_anti")
+    loose = genes.join(grouped, ["sp", "gene"], "left_anti")
+    write_fasta(loose.select("sp", F.col("gene").alias("name"), "seq"), path, by="sp")
+
+
+def write_species_orthologs(pairs: DataFrame, path: str, compress: bool = False) -> None:
+    """(og, sp_a, genes_a, sp_b, genes_b), both directions, as a table for each species: Orthogroup, Species, its genes, the other species' genes."""
+    both = pairs.select("og", "sp_a", "genes_a", "sp_b", "genes_b").union(pairs.select("og", "sp_b", "genes_b", "sp_a", "genes_a"))
+    title = F.concat_ws("\t", F.lit("Orthogroup"), F.lit("Species"), "sp_a", F.lit("Orthologs"))
+    line = F.concat_ws("\t", orthogroups.name(F.col("og")), "sp_b", F.array_join("genes_a", ", "), F.array_join("genes_b", ", "))
+    rows = both.select("sp_a", F.lit(1).alias("part"), line.alias("value")).union(both.select("sp_a").distinct().select("sp_a", F.lit(0), title))
+    _write_lines(rows, ["sp_a"], path, compress)
+
+
+def split_orthologs(spark: SparkSession, folder: str, path: str, compress: bool = False) -> None:
+    """Tables of ``write_species_orthologs``, gzipped or not, as one for each pair of species: Orthogroup and a column of each."""
+    lines = spark.read.option("basePath", folder).text(folder).withColumn("f", F.split(F.regexp_replace("value", "\r$", ""), "\t")).where(F.size("f") == 4)
+    rows = lines.select(F.col("sp_a").cast("string").alias("sp_a"), "f").where("f[1] <> 'Species'").select("sp_a", F.col("f")[1].alias("sp_b"), F.concat_ws("\t", F.col("f")[0], F.col("f")[2], F.col("f")[3]).alias("value"))
+    title = rows.select("sp_a", "sp_b").distinct().select("sp_a", "sp_b", F.lit(0).alias("part"), F.concat_ws("\t", F.lit("Orthogroup"), "sp_a", "sp_b").alias("value"))
+    _write_lines(rows.select("sp_a", "sp_b", F.lit(1).alias("part"), "value").union(title), ["sp_a", "sp_b"], path, compress)
+
+
+def _write_lines(rows: DataFrame, by: list[str], path: str, compress: bool) -> None:
+    """(by..., part, value) as text, a folder for each key, the title (part 0) first."""
+    writer = rows.repartition(*by).sortWithinPartitions(*by, "part", "value").select(*by, "value").write.mode("overwrite").option("lineSep", "\r\n").partitionBy(*by)
+    (writer.option("compression", "gzip") if compress else writer).text(path)
 
 
 def write_hog_fasta(hogs: DataFrame, seqs: DataFrame, path: str, level: str = "N0") -> None:

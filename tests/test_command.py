@@ -77,3 +77,21 @@ def test_clusters_and_groups_read_what_is_written(spark, tmp_path):
     sinks.write_groups(rows, ["Aa", "Bb"], str(tmp_path / "groups"))
     got = sequences.read_groups(spark, str(tmp_path / "groups/Orthogroups.tsv"), first=1).collect()
     assert sorted(map(tuple, got)) == [("OG0000000", "Aa", "a"), ("OG0000000", "Bb", "b")]
+
+
+def test_some_species_and_their_document(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for sp, letters in {"Aa": "MKLVNPQRST", "Bb": "MKLVNPQRST", "Cc": "WYWYFFGHIK"}.items():
+        (tmp_path / f"in/{sp}.fa").write_text(f">g1 {sp}\n{letters * 3}\n>only{sp}\n{'ACDE' * 3 + sp.upper() * 6}\n")
+    (tmp_path / "info.tsv").write_text("Aa.fa\tFirst\t11\tdb\tv1\nBb.fa\tSecond\t22\tdb\tv2\n")
+    out = tmp_path / "out"
+    members = command.run(spark, str(tmp_path / "in"), str(out), k=3, components=True, scores_v2=True, stop="groups", only=["Aa", "Bb"], species_info=str(tmp_path / "info.tsv")).collect()
+    assert {r["sp"] for r in members} == {"Aa", "Bb"} and len(members) == 4
+    sizes = {}
+    for r in members:
+        sizes[r["og"]] = sizes.get(r["og"], 0) + 1
+    read = lambda f: "".join(p.read_text() for p in sorted((out / f).rglob("part-*")))
+    document = read("Orthogroups.orthoxml")
+    assert document.count("<gene ") == document.count("<geneRef ") == 4 and 'name="Second" NCBITaxId="22"' in document and document.count("<orthologGroup ") == len(sizes)
+    loose = sorted((r["sp"], r["gene"]) for r in members if sizes[r["og"]] == 1)
+    assert sorted(x for x in read("Unassigned_Sequences").split("\n") if x.startswith(">")) == sorted(f">{g}" for _, g in loose)
