@@ -4,8 +4,9 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from cladeforge.operators import clustering, gathering, genetrees, orthogroups
+from cladeforge.operators import clustering, gathering, genetrees, orthogroups, ranking
 from cladeforge.sources import sequences, sinks
 
 
@@ -130,3 +131,21 @@ def test_closest_species_of_groups_without_their_pairs(spark):
     ring = spark.range(6000).selectExpr("id as q", "(id + 2) % 6000 as h", "1.0 + id % 5 as score")
     found = genetrees.closest_in_groups(many, ring, many)
     assert found.count() == 2 * 21
+
+
+def test_hits_are_dealt_twice_and_ranked_where_they_lie(spark):
+    """From raw hits to best hits rows are dealt by h and by q only; ranks need no rows but the ranges'."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = spark.range(300).selectExpr("id % 17 as q", "(id * 7 + 1) % 19 as h", "1.0 + id % 5 as score")
+        genes = spark.range(20).selectExpr("id as gene", "id % 3 as sp", "10 as len")
+        best = gathering.best_hits(gathering.with_genes(gathering.best_per_pair(hits), genes))
+        plan = best._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 4, plan  # the hits twice, and the genes for either end
+        ranked = ranking.with_rank(hits, F.col("score"), F.col("q"), F.col("h"))
+        assert "cf_part" not in "".join(line for line in ranked._jdf.queryExecution().executedPlan().toString().splitlines() if "Window" in line and "row_number" in line)
+        rows = sorted(ranked.collect(), key=lambda r: r["rank"])
+        assert [r["rank"] for r in rows] == list(range(300)) and [(r["score"], r["q"], r["h"]) for r in rows] == sorted((r["score"], r["q"], r["h"]) for r in rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
