@@ -2,12 +2,13 @@
 
 from itertools import combinations
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cladeforge.functions import align, consensus, newick, reconcile
-from cladeforge.operators import orthogroups
+from cladeforge.operators import genetrees, orthogroups
 
 
 @st.composite
@@ -142,3 +143,24 @@ def test_trim_keeps_enough_columns():
 def test_multicopy_allowance():
     assert orthogroups.multicopy_allowance(4) == [0, 1, 2, 3]
     assert orthogroups.multicopy_allowance(8) == [0, 1, 1, 1, 2, 2, 4, 7]
+
+
+def test_closest_pair_by_blocks_is_the_first_of_the_whole_matrix():
+    rng = np.random.default_rng(3)
+    for n in (4, 63, 64, 65, 150):
+        m = rng.integers(0, 4, (n, n)).astype(float)  # ties
+        m += m.T
+        np.fill_diagonal(m, 0)
+        total = m.sum(axis=1)
+        q = (n - 2) * m - total[:, None] - total[None, :]
+        np.fill_diagonal(q, np.inf)
+        assert newick._closest_pair(m, total) == divmod(int(np.round(q, 9).argmin()), n)
+
+
+def test_distance_trees_take_names_a_group_at_a_time(spark):
+    d = spark.createDataFrame([(1, 10, 20, 0.3), (1, 10, 30, 0.5), (1, 20, 30, 0.6), (2, 40, 50, 0.2), (3, 60, 70, 0.2)], "og int, a long, b long, d double")
+    names = spark.createDataFrame([(1, 10, "z"), (1, 20, "y"), (1, 30, "x"), (2, 40, "q"), (2, 50, "p"), (3, 60, "lone"), (9, 1, "none")], "og int, gene long, name string")
+    got = {r["og"]: r["newick"] for r in genetrees.distance_trees(d, names).collect()}
+    joined = d.join(names.selectExpr("og", "gene as a", "name as x"), ["og", "a"]).join(names.selectExpr("og", "gene as b", "name as y"), ["og", "b"])
+    assert got == {r["og"]: r["newick"] for r in genetrees.distance_trees(joined.selectExpr("og", "x as a", "y as b", "d")).collect()}
+    assert set(got) == {1, 2}
