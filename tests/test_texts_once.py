@@ -1,5 +1,6 @@
 """Kernels of trees work on each text, or shape, once; counts of pieces hold no genes."""
 
+import random
 from collections import Counter
 
 from cladeforge.functions import rooting
@@ -59,3 +60,21 @@ def test_counts_of_pieces(spark):
     rows = [(1, "abab"), (1, "abab"), (1, "xab"), (2, "ab"), (None, "abc"), (3, None), (4, "a")]
     got = {r["kmer"]: (r["n"], r["n_genes"]) for r in similarity.piece_counts(spark.createDataFrame(rows, "gene long, seq string"), 2).collect()}
     assert got == {"ab": (7, 2), "ba": (2, 1), "xa": (1, 1), "bc": (1, 0)}
+
+
+def test_overlap_join_writes_shared_pieces_alone(spark, monkeypatch):
+    """Against all pairs, with families of near copies; of what is written nothing is as long as the texts."""
+    rng = random.Random(3)
+    sets = {}
+    for g in range(12):
+        base = {rng.randrange(10**9) for _ in range(120)}
+        for m in range(4):
+            sets[4 * g + m] = set(rng.sample(sorted(base), rng.choice((20, 60, 110)))) | {rng.randrange(10**9) for _ in range(rng.choice((0, 30, 200)))} | set(range(rng.choice((0, 5, 25))))
+    written, plain = [], similarity.cut
+    monkeypatch.setattr(similarity, "cut", lambda df: written.append(plain(df)) or written[-1])
+    idx = spark.createDataFrame([(p, g, len(s)) for g, s in sets.items() for p in s], "piece long, gene long, n_pieces int")
+    for least in (0.1, 0.5):
+        want = {(q, h): len(a & b) / len(a | b) for q, a in sets.items() for h, b in sets.items() if q != h and len(a & b) >= least * len(a | b) and a & b}
+        assert {(r["q"], r["h"]): r["score"] for r in similarity.jaccard_join(idx, least).collect()} == want
+    shared = sum(n for n in Counter(p for s in sets.values() for p in s).values() if n > 1)
+    assert max(t.count() for t in written) <= shared < idx.count()
