@@ -172,9 +172,11 @@ def counts_from_cells(table: DataFrame, species: list[str]) -> DataFrame:
 def parsimony_roots(clades: DataFrame, observed: DataFrame) -> DataFrame:
     """(clade, against) of the root candidates with the fewest contradictions. ``clades``: (clade, species) rows of each candidate; ``observed``: (id,
     n, species) rows of duplications' species sets. A set contradicts a clade if it has species inside and outside."""
-    size = observed.groupBy("id", "n").agg(F.count(F.lit(1)).alias("size"))
-    inside = observed.join(F.broadcast(clades), "species").groupBy("clade", "id").agg(F.count(F.lit(1)).alias("inside"))  # species-tree rows
-    against = inside.join(size, "id").where("inside < size").groupBy("clade").agg(F.sum("n").alias("against"))
+    # ids of the same species are one row from here on
+    sets = observed.groupBy("id", "n").agg(F.array_sort(F.collect_set("species")).alias("species")).groupBy("species").agg(F.sum("n").alias("n"))
+    wanted = clades.groupBy("clade").agg(F.collect_set("species").alias("inside"))
+    common = F.size(F.array_intersect("species", "inside"))
+    against = sets.crossJoin(F.broadcast(wanted)).where((common > 0) & (common < F.size("species"))).groupBy("clade").agg(F.sum("n").alias("against"))  # species-tree rows
     every = clades.select("clade").distinct().join(against, "clade", "left").na.fill(0, ["against"])
     least = every.agg(F.min("against").alias("least"))  # one row
     return every.crossJoin(F.broadcast(least)).where("against = least").drop("least")

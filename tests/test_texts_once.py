@@ -78,3 +78,18 @@ def test_overlap_join_writes_shared_pieces_alone(spark, monkeypatch):
         assert {(r["q"], r["h"]): r["score"] for r in similarity.jaccard_join(idx, least).collect()} == want
     shared = sum(n for n in Counter(p for s in sets.values() for p in s).values() if n > 1)
     assert max(t.count() for t in written) <= shared < idx.count()
+
+
+def test_parsimony_counts_sets_of_species_not_ids(spark):
+    """Against brute force; lines are shuffled once, by id, and species' sets after that."""
+    from cladeforge.operators import results
+
+    rng = random.Random(5)
+    seen = {k: (rng.randrange(1, 9), set(rng.sample(range(5), rng.randrange(1, 4)))) for k in range(60)}
+    clades = {"c1": {0}, "c2": {0, 1}, "c3": {2, 3}, "c4": {7}}
+    observed = spark.createDataFrame([(k, n, s) for k, (n, ss) in seen.items() for s in ss], "id long, n long, species long")
+    table = spark.createDataFrame([(c, s) for c, ss in clades.items() for s in ss if c != "c4"], "clade string, species long")
+    against = {c: sum(n for n, s in seen.values() if s & ss and s - ss) for c, ss in clades.items() if c != "c4"}
+    found = results.parsimony_roots(table, observed)
+    assert {(r["clade"], r["against"]) for r in found.collect()} == {(c, n) for c, n in against.items() if n == min(against.values())}
+    assert "[clade#" not in "".join(line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line and ", id#" in line)
