@@ -161,6 +161,29 @@ def test_line_dedup_recall_by_edit_similarity_alone(spark):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_short_lines_near_one_hub_that_share_no_pair_with_each_other(spark):
+    """Pairs of short lines a letter of two words apart, each over a tenth from the line that all resemble: none is lost for what it shares with that line."""
+    rng, rows = random.Random(11), []
+    base = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(6)]
+    rows.append((0, " ".join(base)))
+    for k in range(40):
+        other = list(base)
+        other[k % 3 * 2] = "".join(rng.choice("qrstuvwxyz") for _ in range(7))
+        for letter in "aq":
+            i, j = (k % 3 * 2 + 1) % 6, (k % 3 * 2 + 4) % 6
+            rows.append((len(rows), " ".join(w[:3] + letter + w[4:] if n == i or n == j else w for n, w in enumerate(other))))
+    assert removed_lines(spark, rows) == brute_lines(rows)
+
+
+def test_family_pairs_are_held_to_the_share_of_their_union(spark):
+    """Sets that meet by a shared difference but share too little are not written; those that share enough are."""
+    hub = list(range(100))
+    sets = {1: hub[15:] + [-1], 2: hub[:15] + hub[30:] + [-1], 3: hub[30:] + [-2], 4: hub[30:] + [-3]}
+    rows = [(0, i, i, len(s), sorted(set(s) ^ set(hub))) for i, s in sets.items()]
+    got = {(r["a"], r["b"]) for r in linking.related(spark.createDataFrame(rows, "fam long, id long, label long, n int, elems array<int>"), 80).collect()}
+    assert got == {(a, b) for a in sets for b in sets if a < b and 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))} and (1, 2) not in got
+
+
 def test_line_dedup_columns_null_ids_and_empty_table(spark):
     docs = frame(spark, [(None, "same\nsame"), (1, "same\nsame")])
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in lines.dedup_lines(docs).collect()}
