@@ -127,8 +127,12 @@ def merged_groups(assigned: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def coorthologs(pairs: DataFrame) -> DataFrame:
-    """(a, b) -> (a, other): genes of the first species that share an ortholog of the second, themselves included."""
-    return pairs.select("a", "b").distinct().join(pairs.select(F.col("a").alias("other"), "b").distinct(), "b").select("a", "other").distinct()
+    """(a, b) -> (a, other): genes of the first species that share an ortholog of the second, themselves included. Each two genes meet once, and
+    the other way round is added to what is distinct. A null gene comes before all."""
+    once = pairs.select("a", "b").where("b is not null").distinct()
+    two = once.join(once.select(F.col("a").alias("other"), "b"), "b").where("a < other or a is null and other is not null").select("a", "other").distinct()
+    both = two.select(F.inline(F.array(F.struct("a", "other"), F.struct(F.col("other").alias("a"), F.col("a").alias("other")))))
+    return once.select("a").distinct().select("a", F.col("a").alias("other")).union(both)
 
 
 def same_orthologs(pairs: DataFrame) -> DataFrame:
