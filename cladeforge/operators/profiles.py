@@ -49,8 +49,9 @@ def from_pieces(genes: DataFrame, n: int, k: int = 3, seed: int = 0, dims: int =
     rows = placed.select("gene", "cluster", F.explode("buckets").alias("bucket"))
     sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     shared = rows.groupBy("cluster", "bucket").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(sizes), "cluster").where("2 * n > size").select("cluster", "bucket")  # a row a cluster
-    score = rows.join(shared, ["cluster", "bucket"], "left_semi").groupBy("cluster", "gene").agg(F.count(F.lit(1)).alias("shared"))
-    every = rows.select("cluster", "gene").distinct().join(score, ["cluster", "gene"], "left").na.fill(0, ["shared"])
+    common = shared.groupBy("cluster").agg(F.collect_list("bucket").alias("common"))  # n rows of at most ``dims`` buckets; most of a cluster's rows have them, so rows aren't dealt by them
+    score = F.when(F.col("common").isNull(), 0).otherwise(F.size(F.array_intersect("buckets", "common")))
+    every = placed.join(F.broadcast(common), "cluster", "left").groupBy("cluster", "gene").agg(F.sum(score).alias("shared"))
     best = every.groupBy("cluster").agg(F.min(F.struct((-F.col("shared")).alias("less"), "gene")).alias("m"))
     return best.select(F.col("m.gene").alias("gene"), "cluster", (-F.col("m.less")).alias("shared"))
 

@@ -1,6 +1,6 @@
-"""Genes that share an ortholog."""
+"""Genes that share an ortholog, and representatives by pieces: what is joined and what isn't."""
 
-from cladeforge.operators import results
+from cladeforge.operators import profiles, results
 
 
 def plan(df) -> str:
@@ -13,3 +13,10 @@ def test_coorthologs_meet_once_and_both_ways_are_given(spark):
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == {(a, c) for a, b in rows for c, d in rows if b == d and b is not None}
     assert any("Join" in s and "<" in s for s in plan(found).split("\n"))
+
+
+def test_representatives_are_not_dealt_by_common_pieces(spark):
+    """A bucket that most of a cluster has would gather most of its rows in one task."""
+    genes = spark.createDataFrame([(k, "abcde" + "xyz"[k % 3] * 3) for k in range(12)], "gene long, seq string")
+    found = profiles.from_pieces(genes, 3)
+    assert found.count() <= 3 and "LeftSemi" not in plan(found)
