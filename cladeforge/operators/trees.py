@@ -133,8 +133,10 @@ def species_below(nodes: DataFrame, ways: DataFrame) -> DataFrame:
 def species_above(nodes: DataFrame, ways: DataFrame) -> DataFrame:
     """(tree, node, species) with the species of the leaves that aren't below the node."""
     total = leaf_species(nodes).groupBy("tree", "sp").agg(F.count(F.lit(1)).alias("total"))
-    grid = nodes.select("tree", "node").join(total, "tree").join(species_counts(nodes, ways), ["tree", "node", "sp"], "left")
-    return grid.groupBy("tree", "node").agg(F.array_sort(F.collect_set(F.when(F.col("total") > F.coalesce("n", F.lit(0)), F.col("sp")))).alias("species"))
+    every = total.groupBy("tree").agg(F.array_sort(F.collect_list("sp")).alias("every"))  # a tree's species, as in the result
+    inside = species_counts(nodes, ways).join(total, ["tree", "sp"]).where("n >= total").groupBy("tree", "node").agg(F.collect_list("sp").alias("inside"))
+    left = F.when(F.col("inside").isNull(), F.col("every")).otherwise(F.array_except("every", "inside"))
+    return nodes.select("tree", "node").distinct().join(inside, ["tree", "node"], "left").join(every, "tree").select("tree", "node", left.alias("species"))
 
 
 def mrca(ways: DataFrame, sets: DataFrame) -> DataFrame:

@@ -132,3 +132,12 @@ def test_long_ladder_has_two_ways_a_leaf(spark):
     assert counts[0] == sum(n + 1 - i for i in range(n)) + n + 1 and counts[1] == n + 1
     assert trees.comparable(ways).agg(F.max("above")).first()[0] == n
     assert trees.species_counts(nodes, ways).where("node = 0").count() == 7
+
+
+def test_species_above_makes_no_row_for_each_node_and_species(spark):
+    """Nodes meet their tree's species as one list: counted rows are as many as a node's own species."""
+    rows = random_tree(1, 40, random.Random(3), 4)
+    nodes = spark.createDataFrame(rows, SCHEMA)
+    found = trees.species_above(nodes, trees.routes(nodes))
+    left = [s for s in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in s]
+    assert found.count() == 40 and not any("LeftOuter" in s and "sp#" in s for s in left)
