@@ -55,23 +55,24 @@ class Network:
         return np.log(self.counts.reshape(MEMBERS, CLASSES).T + 1).astype(np.float32)
 
     def forward(self, around: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(hidden, class log-probabilities)."""
-        hidden = self.b1 + self.table[0][around[0]]
+        """(hidden, logits of classes)."""
+        hidden = self.table[0].take(around[0], axis=0)
+        hidden += self.b1
         for k in range(1, len(AROUND)):
-            hidden += self.table[k][around[k]]
+            hidden += self.table[k].take(around[k], axis=0)
         np.tanh(hidden, out=hidden)
-        logits = hidden @ self.w2 + self.b2
+        logits = hidden @ self.w2
+        logits += self.b2
         np.clip(logits, -FAR, FAR, out=logits)
-        logits -= np.log(np.exp(logits) @ np.ones((CLASSES, 1), np.float32))
         return hidden, logits
 
     def within(self, hidden: np.ndarray, target: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray]:
         """Words in order of class: (that order, each class's range in it, hidden, logits of the class's members)."""
-        group = target % CLASSES
+        group = (target % CLASSES).astype(np.int16)  # sixteen bits are sorted by counting
         order = np.argsort(group, kind="stable")
         ends = np.cumsum(np.bincount(group, minlength=CLASSES)).tolist()
         ranges = list(zip([0, *ends[:-1]], ends, strict=True))
-        h, logits = hidden[order], prior[group[order]]
+        h, logits = hidden.take(order, axis=0), prior.take(group[order], axis=0)
         for c, (lo, hi) in enumerate(ranges):
             if lo < hi:
                 logits[lo:hi] += h[lo:hi] @ self.w3[c]
@@ -80,12 +81,15 @@ class Network:
 
     def word_log_probs(self, around: list[np.ndarray], target: np.ndarray, prior: np.ndarray) -> np.ndarray:
         """log P(class) + log P(member of its class) of every word."""
-        hidden, logp = self.forward(around)
+        hidden, classes = self.forward(around)
         at = np.arange(len(target))
+        own = classes[at, target % CLASSES]
+        own -= np.log(np.exp(classes, out=classes) @ np.ones(CLASSES, np.float32))
         order, _, _, logits = self.within(hidden, target, prior)
-        own = np.empty(len(target), np.float32)
-        own[order] = logits[at, target[order] // CLASSES] - np.log(np.exp(logits) @ np.ones(MEMBERS, np.float32))
-        return own + logp[at, target % CLASSES]
+        inside = logits[at, target[order] // CLASSES]
+        inside -= np.log(np.exp(logits, out=logits) @ np.ones(MEMBERS, np.float32))
+        own[order] += inside
+        return own
 
     def log_prob(self, around: list[np.ndarray], target: np.ndarray, prior: np.ndarray) -> float:
         """Their sum."""
@@ -100,12 +104,13 @@ class Trainer:
     def step(self, around: list[np.ndarray], target: np.ndarray) -> None:
         net = self.net
         net.counts += np.bincount(target, minlength=VOCAB)
-        hidden, logp = net.forward(around)
-        out = np.exp(logp)
+        hidden, out = net.forward(around)
+        np.exp(out, out=out)
+        out /= out @ np.ones((CLASSES, 1), np.float32)
         out[np.arange(len(target)), target % CLASSES] -= 1
         out /= len(target)
         back = out @ net.w2.T
-        w3 = np.zeros_like(net.w3)
+        w3 = np.zeros_like(net.w3)  # of a class that has no word it stays so
         order, ranges, h, inner = net.within(hidden, target, net.prior())
         np.exp(inner, out=inner)
         inner /= inner @ np.ones((MEMBERS, 1), np.float32)
@@ -116,17 +121,19 @@ class Trainer:
             if lo < hi:
                 w3[c] = h[lo:hi].T @ inner[lo:hi]
                 inside[lo:hi] = inner[lo:hi] @ net.w3[c].T
-        back[order] += inside
+        back += inside.take(np.argsort(order), axis=0)
         back *= 1 - hidden * hidden
-        columns = np.arange(HIDDEN)
-        for k, ids in enumerate(around):  # only rows that occur have a gradient
-            occurs = np.bincount(ids, minlength=VOCAB + 1) > 0
+        for k, ids in enumerate(around):  # only rows that occur have a gradient: sums over the words of each
+            by = np.argsort(ids.astype(np.int16), kind="stable")
+            occurs = np.bincount(ids, minlength=VOCAB + 1)
             rows = np.flatnonzero(occurs)
-            place = (np.cumsum(occurs) - 1)[ids]
-            g = np.bincount((place[:, None] * HIDDEN + columns).ravel(), back.ravel(), len(rows) * HIDDEN).reshape(-1, HIDDEN).astype(np.float32)
-            squares = self.squares[0][k, rows] + g * g
+            g = np.add.reduceat(back.take(by, axis=0), np.cumsum(occurs[rows]) - occurs[rows], axis=0)
+            squares = self.squares[0][k].take(rows, axis=0)
+            squares += g * g
             self.squares[0][k, rows] = squares
-            net.table[k, rows] -= self.rate * g / np.sqrt(squares)
+            g *= self.rate
+            g /= np.sqrt(squares, out=squares)
+            net.table[k, rows] = net.table[k].take(rows, axis=0) - g
         for p, s, g in zip((net.b1, net.w2, net.b2, net.w3), self.squares[1:], (back.sum(axis=0), hidden.T @ out, out.sum(axis=0), w3), strict=True):
             s += g * g
             p -= self.rate * g / np.sqrt(s)
