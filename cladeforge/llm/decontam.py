@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeforge.llm.common import materialise
+from cladeforge.llm.common import materialise, small
 
 #: Units that may follow a number.
 UNITS = "km|m|cm|mm|mi|ft|in|kg|g|mg|lb|lbs|oz|l|ml|h|hr|hrs|hours|hour|min|mins|minutes|s|sec|seconds|days|day|weeks|months|years|usd|eur|dollars|euros|cents|percent|mph|kmh"
@@ -90,8 +90,8 @@ def find_leaks(
     hits = seen.join(F.broadcast(marks) if few else marks, ["w", "hash"])
     lines = materialise(hits.select("id", "item_id", (F.col("at") - F.col("i_at")).alias("shift")).distinct(), "alignments")
 
-    wanted = lines.select("id").distinct()
-    texts = named.join(wanted, "id", "left_semi").withColumn("full", full_template(F.col("text")))
+    wanted = materialise(lines.select("id").distinct(), "wanted")
+    texts = named.join(small(wanted), "id", "left_semi").withColumn("full", full_template(F.col("text")))
     texts = texts.select("id", split_words("full").alias("d_full"), split_words(template(F.col("full"))).alias("d_words")).distinct()
     pairs = lines.join(texts, "id").join(F.broadcast(items) if few else items, "item_id")
     same = F.expr("transform(i_words, (w, k) -> k + shift >= 0 and k + shift < size(d_words) and coalesce(w = get(d_words, k + shift), false))")
