@@ -80,6 +80,24 @@ def test_overlap_join_writes_shared_pieces_alone(spark, monkeypatch):
     assert max(t.count() for t in written) <= shared < idx.count()
 
 
+def test_overlap_join_lets_classes_of_copies_meet(spark, monkeypatch):
+    """Against all pairs; genes of the same shared pieces are one in the join, also where a class is dealt by shares and sizes differ."""
+    rng = random.Random(9)
+    base, sets = rng.sample(range(10**6), 60), {}
+    for g in range(120):
+        sets[g] = set(base[10 * (g % 4) : 10 * (g % 4) + 30]) | {10**7 + 1000 * g + k for k in range((0, 3, 400)[g % 3])}
+    written, plain = [], similarity.cut
+    monkeypatch.setattr(similarity, "cut", lambda df: written.append(plain(df)) or written[-1])
+    if hasattr(similarity, "SHARE"):
+        monkeypatch.setattr(similarity, "SHARE", 7)
+    idx = spark.createDataFrame([(p, g, len(s)) for g, s in sets.items() for p in s], "piece long, gene long, n_pieces int")
+    want = {(q, h): len(a & b) / len(a | b) for q, a in sets.items() for h, b in sets.items() if q != h and len(a & b) >= 0.1 * len(a | b)}
+    got = [(r["q"], r["h"], r["score"]) for r in similarity.jaccard_join(idx, 0.1).collect()]
+    assert {(q, h): x for q, h, x in got} == want and len(got) == len(want)
+    head = written[-2]
+    assert sum(n * n for n in Counter(r[0] for r in head.collect()).values()) < len(sets)
+
+
 def test_parsimony_counts_sets_of_species_not_ids(spark):
     """Against brute force; lines are shuffled once, by id, and species' sets after that."""
     from cladeforge.operators import results
