@@ -27,6 +27,19 @@ def test_equal_texts_are_worked_on_once(spark):
     assert new[0] == "(x:1,y:1);" and len(new) == 40
 
 
+def test_rows_of_a_text_do_not_carry_it(spark):
+    text = "(" + ",".join(f"A|{k}:1" for k in range(3000)) + ");"
+    trees = spark.createDataFrame([(1, text), (2, text), (3, "")], "og long, newick string")
+    keys = []
+
+    def kernel(texts):
+        keys.extend(r["og"] for r in texts.collect())
+        return texts.selectExpr("og", "length(newick) as n")
+
+    got = {r["og"]: r["n"] for r in genetrees.each_text_once(trees, kernel).collect()}
+    assert got == {1: len(text), 2: len(text), 3: 0} and max(map(len, keys)) <= 32
+
+
 def test_supported_duplications_of_numbered_leaves_have_their_own_names(spark):
     texts = {k: f"(A|1-{k},B|1-{k},(((C|1-{k},D|1-{k}),(E|1-{k},F|1-{k})),((C|2-{k},D|2-{k}),(E|2-{k},F|2-{k}))));" for k in range(5)}
     texts[5] = "('A|x y',B|1,(((C|1,D|1),(E|1,F|1)),((C|2,D|2),(E|2,F|2))));"
