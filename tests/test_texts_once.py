@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from cladeforge.functions import rooting
 from cladeforge.operators import genetrees, similarity
 
@@ -40,6 +42,17 @@ def test_rows_of_a_text_do_not_carry_it(spark):
     assert got == {1: len(text), 2: len(text), 3: 0} and max(map(len, keys)) <= 32
 
 
+def test_few_texts_are_dealt_to_several_tasks(spark):
+    trees = spark.createDataFrame([(k, f"(A|{k}:1,B|1:1);") for k in range(40)], "og long, newick string")
+    at = []
+
+    def kernel(texts):
+        at.extend(r[0] for r in texts.select(F.spark_partition_id(), "newick").collect())
+        return texts.selectExpr("og", "newick as text")
+
+    assert genetrees.each_text_once(trees, kernel).count() == 40 and len(at) == 40 and len(set(at)) > 1
+
+
 def test_supported_duplications_of_numbered_leaves_have_their_own_names(spark):
     texts = {k: f"(A|1-{k},B|1-{k},(((C|1-{k},D|1-{k}),(E|1-{k},F|1-{k})),((C|2-{k},D|2-{k}),(E|2-{k},F|2-{k}))));" for k in range(5)}
     texts[5] = "('A|x y',B|1,(((C|1,D|1),(E|1,F|1)),((C|2,D|2),(E|2,F|2))));"
